@@ -1,0 +1,38 @@
+"""The queries of this subpackage: each operator, with production parameters, over its whole table."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from larkspur.llm import mixing, packing, token_counts, warc
+from larkspur.llm.common import load, materialize
+
+
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources flattened by the power 0.7 of their tokens, in the largest mixture without repeats."""
+    return mixing.mix(load(spark, sf_dir, "documents"), alpha=0.7, seed=17, columns=["doc_id", "source"])
+
+
+def op7_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of 1 MiB in bundles of 16 MiB."""
+    return warc.bundle(load(spark, sf_dir, "pages"), frame=1 << 20, size=1 << 24)
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins of 2,048 tokens."""
+    return packing.pack(load(spark, sf_dir, "documents"), capacity=2048, seed=17)
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every context limit holds and loses, by language."""
+    histogram = token_counts.length_histogram(load(spark, sf_dir, "documents"), by=("lang",))
+    return token_counts.context_table(materialize(histogram, "histogram"), by=("lang",))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_mix_sources, op7_warc_bundles, op8_best_fit_packing, op9_token_counts)
+}
+
+ORACLES: dict[str, str] = {}
