@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import mixing, packing, token_counts, warc
+from larkspur.llm import mixing, packing, quality, token_counts, warc
 from larkspur.llm.common import load, materialize
 
 
@@ -31,8 +31,14 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.context_table(materialize(histogram, "histogram"), by=("lang",))
 
 
+def op10_quality_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that resemble those labelled good and not toxic, as many as are more likely so than not."""
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    return quality.resample(docs, labels, max_labels=50_000, seed=17, columns=["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op7_warc_bundles, op8_best_fit_packing, op9_token_counts)
+    f.__name__: f for f in (op1_mix_sources, op7_warc_bundles, op8_best_fit_packing, op9_token_counts, op10_quality_resample)
 }
 
 ORACLES: dict[str, str] = {}
