@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import mixing, packing, quality, token_counts, warc
+from larkspur.llm import media, mixing, packing, quality, secret_scan, token_counts, warc
 from larkspur.llm.common import load, materialize
 
 
@@ -15,6 +15,16 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(load(spark, sf_dir, "documents"), alpha=0.7, seed=17, columns=["doc_id", "source"])
 
 
+def op5_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, with the payloads that they hold inline."""
+    return media.sequences(load(spark, sf_dir, "pages"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rules over all documents, from an empty ledger: findings at all paths."""
+    return secret_scan.scan(load(spark, sf_dir, "documents")).paths
+
+
 def op7_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames of 1 MiB in bundles of 16 MiB."""
     return warc.bundle(load(spark, sf_dir, "pages"), frame=1 << 20, size=1 << 24)
@@ -38,7 +48,7 @@ def op10_quality_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op7_warc_bundles, op8_best_fit_packing, op9_token_counts, op10_quality_resample)
+    f.__name__: f for f in (op1_mix_sources, op5_media_sequences, op6_secret_scan, op7_warc_bundles, op8_best_fit_packing, op9_token_counts, op10_quality_resample)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_secret_scan": secret_scan.oracle_sql()}
