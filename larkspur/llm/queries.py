@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import media, mixing, packing, quality, secret_scan, token_counts, warc
+from larkspur.llm import media, mixing, ngram_join, packing, quality, secret_scan, token_counts, warc
 from larkspur.llm.common import load, materialize
 
 
@@ -15,6 +15,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(load(spark, sf_dir, "documents"), alpha=0.7, seed=17, columns=["doc_id", "source"])
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets of word 3-grams, similarity 0.5 at least, found with probability 0.99 right there."""
+    return ngram_join.join(load(spark, sf_dir, "documents"), n=3, threshold=0.5, recall=0.99, seed=17)
+
+
 def op5_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages, with the payloads that they hold inline."""
     return media.sequences(load(spark, sf_dir, "pages"))
@@ -48,7 +53,7 @@ def op10_quality_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op5_media_sequences, op6_secret_scan, op7_warc_bundles, op8_best_fit_packing, op9_token_counts, op10_quality_resample)
+    f.__name__: f for f in (op1_mix_sources, op4_ngram_jaccard_join, op5_media_sequences, op6_secret_scan, op7_warc_bundles, op8_best_fit_packing, op9_token_counts, op10_quality_resample)
 }
 
-ORACLES: dict[str, str] = {"op6_secret_scan": secret_scan.oracle_sql()}
+ORACLES: dict[str, str] = {"op4_ngram_jaccard_join": ngram_join.oracle_sql(), "op6_secret_scan": secret_scan.oracle_sql()}
