@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import media, mixing, ngram_join, packing, quality, secret_scan, suffix_dedup, token_counts, warc
+from larkspur.llm import ann, media, mixing, ngram_join, packing, quality, secret_scan, suffix_dedup, token_counts, warc
 from larkspur.llm.common import load, materialize
 
 
@@ -20,6 +20,11 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeats(load(spark, sf_dir, "documents"), least=50, lead=8)
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest of every vector."""
+    return ann.neighbours(load(spark, sf_dir, "embeddings"), k=10, recall=0.95, seed=17)
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sets of word 3-grams, similarity 0.5 at least, found with probability 0.99 right there."""
     return ngram_join.join(load(spark, sf_dir, "documents"), n=3, threshold=0.5, recall=0.99, seed=17)
@@ -58,7 +63,7 @@ def op10_quality_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_suffix_dedup, op4_ngram_jaccard_join, op5_media_sequences, op6_secret_scan, op7_warc_bundles, op8_best_fit_packing, op9_token_counts, op10_quality_resample)
+    f.__name__: f for f in (op1_mix_sources, op2_suffix_dedup, op3_nearest_neighbours, op4_ngram_jaccard_join, op5_media_sequences, op6_secret_scan, op7_warc_bundles, op8_best_fit_packing, op9_token_counts, op10_quality_resample)
 }
 
 ORACLES: dict[str, str] = {"op2_suffix_dedup": suffix_dedup.oracle_sql(), "op4_ngram_jaccard_join": ngram_join.oracle_sql(), "op6_secret_scan": secret_scan.oracle_sql()}
