@@ -10,6 +10,7 @@ rare words add no noise. The parts are counted on documents with labels, and smo
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -49,16 +50,27 @@ def _digest(text: str, bits: int) -> int:
     return xxh3_64_intdigest(text) & (1 << bits) - 1
 
 
+@functools.lru_cache(maxsize=1 << 16)
+def _shape(signs: str, case: str) -> int:
+    return _digest(signs[:8] + case, SHAPE_BITS)
+
+
+@functools.lru_cache(maxsize=1 << 16)
+def _stem(stem: str) -> int:
+    return _digest(stem[:4], STEM_BITS) << STEM_BITS + SHAPE_BITS | _digest(stem + "-", STEM_BITS) << SHAPE_BITS
+
+
 class _Words(dict):
     """Of each word, in 64 bits: hashes of its letters and digits, of the first four and five of them, and of its shape."""
 
     def __missing__(self, word: str) -> int:
-        core = "".join(c for c in word.lower() if c.isalnum())
+        core, signs = word.lower(), ""
+        if not core.isalnum():
+            core, signs = "".join(filter(str.isalnum, core)), "".join([c for c in word if not c.isalnum()])
         case = "U" if len(core) > 1 and word.isupper() else "T" if word[:1].isupper() else "l"
-        shape = "".join(c for c in word if not c.isalnum())[:8] + case + "9" * (core.isdigit() and len(core) > 0)
-        value = _digest(core, WORD_BITS)
-        for text, bits in ((core[:4], STEM_BITS), (core[:5] + "-", STEM_BITS), (shape, SHAPE_BITS)):
-            value = value << bits | _digest(text, bits)
+        if core.isdigit():
+            case += "9"
+        value = _digest(core, WORD_BITS) << 64 - WORD_BITS | _stem(core[:5]) | _shape(signs, case)
         if len(self) >= REMEMBERED:
             self.clear()
         self[word] = value
@@ -169,7 +181,8 @@ def ratios(text: Column | str, model_ratios, session) -> Column:
                 out[k, i:j] = np.bincount(doc, table[k][bucket], minlength=j - i)
         return pa.StructArray.from_arrays([pa.array(out[0]), pa.array(out[1])], ["low", "toxic"], mask=pa.array([t is None for t in texts]))
 
-    return score(text)
+    # Taken as not deterministic, so that a filter on the result doesn't compute it twice.
+    return score.asNondeterministic()(text)
 
 
 def _weight(scores: str, shares: tuple[float, float, float]) -> Column:
