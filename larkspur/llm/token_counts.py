@@ -43,7 +43,8 @@ def token_count(text: Column | str, tokenizer: str = TOKENIZER) -> Column:
         encode = encoding(tokenizer).encode_ordinary
         return pa.array([None if t is None else len(encode(t)) for t in texts.to_pylist()], pa.int64())
 
-    return count(text)
+    # Taken as not deterministic, so that a filter on the count doesn't encode twice.
+    return count.asNondeterministic()(text)
 
 
 def length_histogram(docs: DataFrame, text: str = "text", by: tuple[str, ...] = (), tokenizer: str = TOKENIZER) -> DataFrame:
