@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +56,32 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     taken = {n.lower() for n in names}
     drop = [c for c in df.columns if c.lower() in taken]
     return df.drop(*drop) if drop else df
+
+
+_held: dict | None = None
+
+
+def claim(cache: dict) -> None:
+    """One cache of words a worker: that of the operator at work. Workers outlive stages, and what an earlier one remembered goes."""
+    global _held
+    if _held is not cache:
+        if _held is not None:
+            _held.clear()
+        _held = cache
+
+
+def slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, list[str | None]]]:
+    """(start, end, texts) of about `most` bytes, or of one text if it is longer: few are Python strings at a time. Afterwards
+    freed memory goes back to the machine, which other workers share."""
+    sizes = np.cumsum(pc.fill_null(pc.cast(pc.binary_length(texts), pa.int64()), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(texts):
+        before = sizes[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(sizes, before + most, side="right")))
+        yield start, end, texts.slice(start, end - start).to_pylist()
+        start = end
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass

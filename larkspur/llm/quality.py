@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from larkspur.llm.common import OWN, materialize, seeded, without
+from larkspur.llm.common import OWN, claim, materialize, seeded, slices, without
 
 #: Buckets: 2^BITS for words, as many for pairs, 2^STEM_BITS for each length of beginnings, 2^SHAPE_BITS for shapes.
 BITS, STEM_BITS, SHAPE_BITS = 18, 16, 10
@@ -35,7 +35,7 @@ MAX_LABELS = 50_000
 DEVIATIONS, LEAST_RATIO = 8.0, 0.5
 #: Raw n-grams that smooth each model.
 SMOOTHING = 100.0
-#: Characters that are turned to features at once (or one document, if it is longer).
+#: Bytes of text that are turned to features at once (or one document, if it is longer).
 SLICE = 1 << 20
 #: Words whose features a worker remembers.
 REMEMBERED = 300_000
@@ -80,17 +80,6 @@ class _Words(dict):
 _words = _Words()
 
 
-def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= SLICE:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(document, bucket) of every n-gram of the texts, whole texts."""
     words = [t.split() if t else [] for t in texts]
@@ -118,10 +107,11 @@ def count_ngrams(docs: DataFrame, labels: DataFrame, max_labels: int, seed: int)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((4, SIZE), np.int64)
+        claim(_words)
         for batch in batches:
-            texts, part = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
-            for i, j in _slices(texts):
-                doc, bucket = features(texts[i:j])
+            part = batch.column(1).to_numpy(zero_copy_only=False)
+            for i, j, texts in slices(batch.column(0), SLICE):
+                doc, bucket = features(texts)
                 sums[0] += np.bincount(bucket, minlength=SIZE)
                 for k in (1, 2, 3):
                     if (own := (part[i:j] >> k - 1 & 1).astype(bool)).any():
@@ -173,13 +163,13 @@ def ratios(text: Column | str, model_ratios, session) -> Column:
 
     @arrow_udf("struct<low: double, toxic: double>")
     def score(texts: pa.Array) -> pa.Array:
-        table, texts = held.value, texts.to_pylist()
-        out = np.zeros((2, len(texts)))
-        for i, j in _slices(texts):
-            doc, bucket = features(texts[i:j])
+        claim(_words)
+        table, out = held.value, np.zeros((2, len(texts)))
+        for i, j, some in slices(texts, SLICE):
+            doc, bucket = features(some)
             for k in (0, 1):
                 out[k, i:j] = np.bincount(doc, table[k][bucket], minlength=j - i)
-        return pa.StructArray.from_arrays([pa.array(out[0]), pa.array(out[1])], ["low", "toxic"], mask=pa.array([t is None for t in texts]))
+        return pa.StructArray.from_arrays([pa.array(out[0]), pa.array(out[1])], ["low", "toxic"], mask=texts.is_null())
 
     # Taken as not deterministic, so that a filter on the result doesn't compute it twice.
     return score.asNondeterministic()(text)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import OWN, materialize, partitions
+from larkspur.llm.common import OWN, claim, materialize, partitions
 
 LEAST, LEAD = 50, 8
 #: Words that one step of the sort compares.
@@ -98,6 +98,7 @@ def _cut(least: int, lead: int):
     """For mapInArrow over (id, hash, text): a row (id, hash, key, p, q) for each run."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(_words)
         for batch in batches:
             rows, held, size = [], [], 0
             texts = batch.column(2)
@@ -120,6 +121,7 @@ def _carry(least: int):
     """For mapInArrow over (id, hash, text, runs of (bucket, key, p, q)): a row a run, with the words it needs."""
 
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(_words)
         for batch in batches:
             ids, hashes, texts, lists = (batch.column(i) for i in range(4))
             out: list[list] = [[] for _ in range(6)]

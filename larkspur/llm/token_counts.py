@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from larkspur.llm.common import OWN
+from larkspur.llm.common import OWN, claim, slices
 
 #: Where the public tokenizers lie on each machine; nothing of them is copied into this repository.
 TOKENIZER = os.path.join(os.environ.get("LARKSPUR_TOKENIZERS", "/opt/tokenizers"), "byte_bpe_50k.tiktoken")
@@ -40,8 +40,9 @@ def token_count(text: Column | str, tokenizer: str = TOKENIZER) -> Column:
 
     @arrow_udf("bigint")
     def count(texts: pa.Array) -> pa.Array:
+        claim({})
         encode = encoding(tokenizer).encode_ordinary
-        return pa.array([None if t is None else len(encode(t)) for t in texts.to_pylist()], pa.int64())
+        return pa.array([None if t is None else len(encode(t)) for _, _, some in slices(texts) for t in some], pa.int64())
 
     # Taken as not deterministic, so that a filter on the count doesn't encode twice.
     return count.asNondeterministic()(text)
