@@ -46,29 +46,32 @@ def bounded_subset_sum(lengths: list[int], counts: list[int], target: int) -> li
 
 
 def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, slack: int = SLACK) -> np.ndarray:
-    """How many documents of each length (distinct, positive) come as near budget as possible without passing it."""
+    """How many documents of each length (distinct, positive) come as near budget as can be without passing it.
+
+    Up to slack the solver has the whole budget, and its choice is the best there is. Beyond it, each length gives its share
+    of the budget, and the solver what is left, with at least half of slack to choose for unless all documents are longer.
+    """
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
-    if budget <= 0:
-        return np.zeros_like(counts)
-    share = counts * (budget / total)
-    take = np.floor(share).astype(np.int64)
-    rest = budget - int((lengths * take).sum())
-    while rest < 0:  # a rounding of the share
-        i = int(np.argmax(take > 0))
-        take[i], rest = take[i] - 1, rest + int(lengths[i])
-    by_fraction = np.lexsort((lengths, take - share))
-    for i in by_fraction:  # largest fractions first
-        if rest <= slack:
-            break
-        if take[i] < counts[i] and lengths[i] <= rest:
-            take[i], rest = take[i] + 1, rest - int(lengths[i])
-    for i in by_fraction[::-1]:  # the solver needs some room
-        if rest >= slack // 2:
-            break
-        if take[i] > 0 and lengths[i] <= slack:
-            take[i], rest = take[i] - 1, rest + int(lengths[i])
+    take, rest = np.zeros_like(counts), max(0, budget)
+    if budget > slack:
+        share = counts * (budget / total)
+        take = np.floor(share).astype(np.int64)
+        rest = budget - int((lengths * take).sum())
+        by_fraction = np.lexsort((lengths, take - share))
+        for i in by_fraction:  # largest fractions first
+            if rest <= slack:
+                break
+            if take[i] < counts[i] and lengths[i] <= rest:
+                take[i], rest = take[i] + 1, rest - int(lengths[i])
+        while rest < slack // 2:  # the solver needs some room
+            short = [i for i in by_fraction[::-1] if take[i] > 0 and lengths[i] <= slack]
+            if not short:
+                break
+            for i in short:
+                if rest < slack // 2:
+                    take[i], rest = take[i] - 1, rest + int(lengths[i])
     order = [int(i) for i in np.argsort(-lengths, kind="stable") if lengths[i] <= rest and take[i] < counts[i]]
     more = bounded_subset_sum([int(lengths[i]) for i in order], [int(counts[i] - take[i]) for i in order], rest)
     for i, n in zip(order, more):
