@@ -1,0 +1 @@
+"""Operators that Spark has no word for, on DataFrames."""

@@ -69,6 +69,7 @@ class Session:
         self.functions: dict[str, str] = {}
         self.variables: dict[str, tuple[Any, str | None]] = {}
         self.registered: dict[tuple, tuple[str, Out]] = {}
+        self.streams: dict[tuple[str, str], Table] = {}
         self.affected = 0
 
     # What users call.
@@ -195,6 +196,8 @@ class Session:
         return tables
 
     def _find(self, db: _Database, name: str) -> Table | None:
+        if (db.name.lower(), name.lower()) in self.streams:
+            return self.streams[db.name.lower(), name.lower()]
         if name.lower() in db.changed:
             s = db.changed[name.lower()]
             return s.table if s else None
@@ -233,7 +236,7 @@ class Session:
             if one.affected is not None:
                 self.affected = one.affected
             if one.frame is not None or one.affected is not None:
-                last = Result(one.frame, one.affected, [*last.all, one])
+                last = Result(one.frame, one.affected, [*last.all, *(one.all or [one])])
         return last
 
     def _one(self, s: A.Node) -> Result | None:
@@ -319,6 +322,8 @@ class Session:
         if table is None:
             raise Problem(f"unknown table {'.'.join(parts)}")
         self._writable(db)
+        if (db.name.lower(), name.lower()) in self.streams:
+            raise Unsupported(f"{name} is a stream")
         return db, table
 
     @staticmethod

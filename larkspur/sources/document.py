@@ -118,8 +118,9 @@ class DocumentProvider(Provider):
         t = next(x for x in self.known.values() if x.name.lower() == table.lower())
         # Read as text first, so that a value of another type than its column's is cast, or null, but never loses the document.
         lines = spark.read.text(self.collections[t.name])
-        as_text = T.StructType([T.StructField(c.name, T.StringType()) for c in t.columns])
-        parsed = lines.select(F.from_json("value", as_text).alias("d"))
+        broken = "__lk_broken"
+        as_text = T.StructType([T.StructField(c.name, T.StringType()) for c in t.columns] + [T.StructField(broken, T.StringType())])
+        parsed = lines.select(F.from_json("value", as_text, {"columnNameOfCorruptRecord": broken}).alias("d"))
         cells = []
         for c in t.columns:
             cell = F.col(f"d.`{c.name.replace('`', '``')}`")
@@ -127,7 +128,7 @@ class DocumentProvider(Provider):
                 cells.append(F.expr(f"try_to_binary(d.`{c.name}`, 'base64')").alias(c.name))
             else:
                 cells.append((cell if isinstance(c.type, T.StringType) else cell.try_cast(c.type)).alias(c.name))
-        return parsed.where(F.col("d").isNotNull()).select(*cells)
+        return parsed.where(F.col("d").isNotNull() & F.col(f"d.{broken}").isNull()).select(*cells)
 
 
 def mapping_table(name: str, mapping: dict[str, str], key: list[str] | None = None, database: str = "main") -> Table:

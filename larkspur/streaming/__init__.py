@@ -1,0 +1 @@
+"""Statements over streams."""
