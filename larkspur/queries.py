@@ -25,8 +25,20 @@ FOREIGN = {
 }
 
 
+_providers: dict[tuple[str, str, str], ParquetProvider] = {}
+
+
+def _provider(spark: SparkSession, sf_dir: str, database: str = "main", names: list[str] = NAMES) -> ParquetProvider:
+    """The catalog of a directory; its schemas are read once an application. Providers are never written to, so sessions share them."""
+    key = (spark.sparkContext.applicationId, sf_dir, database)
+    if key not in _providers:
+        keys = (KEYS, FOREIGN) if database == "main" else (None, None)
+        _providers[key] = ParquetProvider(spark, sf_dir, names, *keys, database=database)
+    return _providers[key]
+
+
 def session(spark: SparkSession, sf_dir: str, **how) -> Session:
-    return Session(spark, [ParquetProvider(spark, sf_dir, NAMES, KEYS, FOREIGN)], **how)
+    return Session(spark, [_provider(spark, sf_dir)], **how)
 
 
 FLAGSHIP = """SELECT TOP 10 n.n_name AS nation, COUNT(*) AS n_orders, SUM(o.o_totalprice) AS revenue
@@ -210,12 +222,10 @@ _SP_COLUMNS = f"SELECT table_name AS TABLE_NAME, column_name AS COLUMN_NAME, {_K
 
 def _statement(text: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        s = session(spark, sf_dir)
-        if "other" in text:
-            s = Session(spark, [ParquetProvider(spark, sf_dir, NAMES, KEYS, FOREIGN), ParquetProvider(spark, sf_dir, ["customer"], database="other")])
-        elif "sys.databases" in text or "sp_databases" in text:
-            s = Session(spark, [ParquetProvider(spark, sf_dir, NAMES, KEYS, FOREIGN), ParquetProvider(spark, sf_dir, ["customer"], database="other")])
-        return s.sql(text)
+        providers = [_provider(spark, sf_dir)]
+        if any(word in text for word in ("other", "sys.databases", "sp_databases")):
+            providers.append(_provider(spark, sf_dir, "other", ["customer"]))
+        return Session(spark, providers).sql(text)
 
     return run
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.catalog import system_views
+from larkspur.catalog.frames import local_frame
 from larkspur.catalog.model import SYSTEM, Table, written
 from larkspur.dialect import ast as A
 from larkspur.dialect.parser import parse
@@ -224,7 +225,7 @@ class Session:
         if found is None:
             return None
         schema, rows = found
-        return self._register(f"{database}_{name}", self.spark.createDataFrame(rows, schema))
+        return self._register(f"{database}_{name}", local_frame(self.spark, rows, schema))
 
     # Statements.
     def _run(self, statements: list[A.Node]) -> Result:
@@ -488,7 +489,7 @@ class Session:
             return self._executesql(s.args)
         if name in ("sp_databases", "sp_tables", "sp_columns", "sp_columns_90"):
             schema, rows = self._catalog_procedure(name, s.args)
-            return Result(self.spark.createDataFrame(rows, schema))
+            return Result(local_frame(self.spark, rows, schema))
         if name.startswith("sp_"):
             return Result(affected=0)
         raise Problem(f"unknown procedure {'.'.join(s.name)}")
