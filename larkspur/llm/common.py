@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 OWN = "__lk_"
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def load(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A sample table. spread: rows of an input with fewer splits than there are cores are dealt out to all of them."""
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return table.repartition(cores) if spread and table.rdd.getNumPartitions() < cores else table
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,11 +40,21 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     Unlike DataFrame.checkpoint() this runs the plan once, and the copy has columns that can be pruned and filtered.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/larkspur/{tag}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/larkspur/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes what this application has written to the shared folder. Frames that were made from it can't be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def seeded(seed: int, *columns: str | Column) -> Column:
     """A 64-bit hash of the columns that depends on the seed and on nothing else."""
     return F.xxhash64(F.lit(seed), *[F.col(c) if isinstance(c, str) else c for c in columns])

@@ -12,12 +12,12 @@ from larkspur.llm.common import load, materialize
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources flattened by the power 0.7 of their tokens, in the largest mixture without repeats."""
-    return mixing.mix(load(spark, sf_dir, "documents"), alpha=0.7, seed=17, columns=["doc_id", "source"])
+    return mixing.mix(load(spark, sf_dir, "documents", spread=True), alpha=0.7, seed=17, columns=["doc_id", "source"])
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 50 words and more."""
-    return suffix_dedup.repeats(load(spark, sf_dir, "documents"), least=50, lead=8)
+    return suffix_dedup.repeats(load(spark, sf_dir, "documents", spread=True), least=50, lead=8)
 
 
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,38 +27,38 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sets of word 3-grams, similarity 0.5 at least, found with probability 0.99 right there."""
-    return ngram_join.join(load(spark, sf_dir, "documents"), n=3, threshold=0.5, recall=0.99, seed=17)
+    return ngram_join.join(load(spark, sf_dir, "documents", spread=True), n=3, threshold=0.5, recall=0.99, seed=17)
 
 
 def op5_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages, with the payloads that they hold inline."""
-    return media.sequences(load(spark, sf_dir, "pages"))
+    return media.sequences(load(spark, sf_dir, "pages", spread=True))
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rules over all documents, from an empty ledger: findings at all paths."""
-    return secret_scan.scan(load(spark, sf_dir, "documents")).paths
+    return secret_scan.scan(load(spark, sf_dir, "documents", spread=True)).paths
 
 
 def op7_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames of 1 MiB in bundles of 16 MiB."""
-    return warc.bundle(load(spark, sf_dir, "pages"), frame=1 << 20, size=1 << 24)
+    return warc.bundle(load(spark, sf_dir, "pages", spread=True), frame=1 << 20, size=1 << 24)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bins of 2,048 tokens."""
-    return packing.pack(load(spark, sf_dir, "documents"), capacity=2048, seed=17)
+    return packing.pack(load(spark, sf_dir, "documents", spread=True), capacity=2048, seed=17)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every context limit holds and loses, by language."""
-    histogram = token_counts.length_histogram(load(spark, sf_dir, "documents"), by=("lang",))
+    histogram = token_counts.length_histogram(load(spark, sf_dir, "documents", spread=True), by=("lang",))
     return token_counts.context_table(materialize(histogram, "histogram"), by=("lang",))
 
 
 def op10_quality_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that resemble those labelled good and not toxic, as many as are more likely so than not."""
-    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    docs, labels = load(spark, sf_dir, "documents", spread=True), load(spark, sf_dir, "labels")
     return quality.resample(docs, labels, max_labels=50_000, seed=17, columns=["doc_id"])
 
 
