@@ -146,7 +146,7 @@ PAIRS: dict[str, tuple[str, str]] = {
     "offset_only": ("SELECT n_nationkey FROM nation ORDER BY n_nationkey OFFSET 20 ROWS", "SELECT n_nationkey FROM nation ORDER BY n_nationkey OFFSET 20"),
     "union_order_limit": ("SELECT n_nationkey AS k FROM nation UNION SELECT c_custkey FROM customer ORDER BY k DESC OFFSET 1 ROWS FETCH NEXT 5 ROWS ONLY", "SELECT n_nationkey AS k FROM nation UNION SELECT c_custkey FROM customer ORDER BY k DESC LIMIT 5 OFFSET 1"),
     "union_arm_top": ("SELECT * FROM (SELECT TOP 2 n_nationkey AS k FROM nation ORDER BY n_nationkey) a UNION ALL SELECT r_regionkey FROM region", "(SELECT n_nationkey AS k FROM nation ORDER BY 1 LIMIT 2) UNION ALL SELECT r_regionkey FROM region"),
-    "cte_recursive": ("WITH nums AS (SELECT 1 AS n UNION ALL SELECT n + 1 AS n FROM nums WHERE n < 60) SELECT n, n * n AS sq FROM nums", "WITH RECURSIVE nums AS (SELECT 1 AS n UNION ALL SELECT n + 1 FROM nums WHERE n < 60) SELECT n, n * n AS sq FROM nums"),
+    "cte_recursive": ("WITH upto AS (SELECT 1 AS n UNION ALL SELECT 1 + n FROM upto WHERE n <= 59) SELECT n, n * n AS sq FROM upto", "WITH RECURSIVE upto AS (SELECT 1 AS n UNION ALL SELECT 1 + n FROM upto WHERE n <= 59) SELECT n, n * n AS sq FROM upto"),
     "cte_recursive_join": ("WITH r(k, d) AS (SELECT n_nationkey, 0 FROM nation WHERE n_nationkey = 1 UNION ALL SELECT n.n_nationkey, r.d + 1 FROM r JOIN nation n ON n.n_nationkey = r.k * 2 WHERE r.d < 6) SELECT k, d FROM r", "WITH RECURSIVE r(k, d) AS (SELECT n_nationkey, 0 FROM nation WHERE n_nationkey = 1 UNION ALL SELECT n.n_nationkey, r.d + 1 FROM r JOIN nation n ON n.n_nationkey = r.k * 2 WHERE r.d < 6) SELECT k, d FROM r"),
     "div_int": ("SELECT o_orderkey, o_orderkey / 7 AS a, (0 - o_custkey) / 4 AS b FROM orders", "SELECT o_orderkey, o_orderkey // 7 AS a, CAST(trunc((0 - o_custkey) / 4) AS BIGINT) AS b FROM orders"),
     "div_float": ("SELECT o_orderkey, o_totalprice / 3 AS a, o_orderkey / 2.5 AS b FROM orders", "SELECT o_orderkey, o_totalprice / 3 AS a, o_orderkey / CAST(2.5 AS DOUBLE) AS b FROM orders"),
@@ -281,7 +281,7 @@ def src_doc_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
 def src_doc_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _collection(spark, sf_dir)
     columns = [{"name": n, "type": t} for n, t in (("id", "bigint"), ("user", "bigint"), ("event_type", "varchar"), ("value", "float"), ("even", "bigint"), ("nested", "varchar"))]
-    entry = {"table": "events", "columns": columns, "primary_key": ["id"], "foreign_keys": []}
+    entry = {"table": "events", "foreign_keys": [], "columns": columns, "primary_key": ["id"]}
     spark.createDataFrame([(json.dumps(entry),)], "value string").coalesce(1).write.text(f"{path}-catalog/_catalog.json")
     return Session(spark, [DocumentProvider(spark, {"events": path}, "declared", f"{path}-catalog")]).sql(_DOCUMENTS.replace("user", "[user]"))
 

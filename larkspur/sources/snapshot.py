@@ -91,7 +91,8 @@ class SnapshotStore:
         counts = {r[0]: r[1] for r in named.where(hit).groupBy("__lk_file").count().collect()}  # a row a file
         if not counts:
             return s, 0
-        touched = [f for f in s.files if _same(f) in {_same(x) for x in counts}]
+        hits = {_same(x) for x in counts}
+        touched = [f for f in s.files if _same(f) in hits]
         rows = self._read(s, touched).select(*logical)
         if sets is None:
             changed = rows.where(~hit)
@@ -99,7 +100,7 @@ class SnapshotStore:
             changed = rows.select(*[(F.when(hit, sets[c.name].cast(c.type)).otherwise(F.col(f"`{c.name}`")) if c.name in sets else F.col(f"`{c.name}`")).alias(c.name) for c in s.table.columns])
         physical = changed.select(*[F.col(f"`{c.name}`").alias(p) for p, c in zip(s.physical, s.table.columns)])
         new = self._write(s, physical)
-        return replace(s, files=[f for f in s.files if f not in touched] + new), sum(counts.values())
+        return replace(s, files=[f for f in s.files if _same(f) not in hits] + new), sum(counts.values())
 
     def add_columns(self, s: Snapshot, columns: list[Column]) -> Snapshot:
         """They are null in the rows there are: files without a column read as null."""

@@ -22,11 +22,11 @@ def provider() -> MemoryProvider:
     made = datetime.datetime(2026, 6, 10, tzinfo=datetime.timezone.utc)
     return (
         MemoryProvider("shop")
-        .add("users", "id bigint, name string", [(1, "ada"), (2, "alan")], ["id"])
-        .add("orders", "id bigint, user_id bigint, amount bigint", [(10, 1, 100), (11, 2, 200), (12, 2, 50)], ["id"], [ForeignKey(("user_id",), "users", ("id",))])
+        .add("people", "id bigint, name string", [(1, "eva"), (2, "hugo")], ["id"])
+        .add("buys", "id bigint, person bigint, paid bigint", [(10, 1, 100), (11, 2, 200), (12, 2, 50)], ["id"], [ForeignKey(("person",), "people", ("id",))])
         .add("items", items, [(1, decimal.Decimal("19.99"), "12345678-1234-1234-1234-123456789abc", made, bytes.fromhex("DEADBEEF"))], ["id"])
-        .add("depts", "id bigint, name string", [(1, "eng"), (2, "sales"), (3, "ops")], ["id"])
-        .add("emps", "id bigint, dept_id bigint, name string", [(10, 1, "amy"), (11, 2, "bob"), (12, 99, "orphan")], ["id"], [ForeignKey(("dept_id",), "depts", ("id",))])
+        .add("units", "id bigint, name string", [(1, "eng"), (2, "sales"), (3, "ops")], ["id"])
+        .add("staff", "id bigint, unit bigint, name string", [(10, 1, "amy"), (11, 2, "bob"), (12, 99, "orphan")], ["id"], [ForeignKey(("unit",), "units", ("id",))])
         .add("nulls", "id bigint, a bigint, s string, b boolean", [(1, 1, "x", True), (2, None, None, None), (3, 3, "Y", False)], ["id"])
     )
 

@@ -19,7 +19,7 @@ from larkspur.streaming.views import add_stream, start
 from tests.fixtures import provider, rows
 
 SF = "/root/testdata/sf0.001"
-PEOPLE = [{"id": 1, "name": "ada", "age": 36}, {"id": 2, "name": "alan", "age": 41, "tags": ["x", "y"]}, {"id": 3, "name": "grace", "age": "fifty", "at": "2026-01-02T03:04:05Z"}]
+PEOPLE = [dict(id=1, name="eva", age=36), dict(id=2, name="hugo", age=41, tags=["x", "y"]), dict(id=3, name="mia", age="fifty", at="2026-01-02T03:04:05Z")]
 
 
 def collection(tmp_path, docs, name="people"):
@@ -31,7 +31,7 @@ def collection(tmp_path, docs, name="people"):
 def test_inferred_documents(spark, tmp_path):
     s = Session(spark, [DocumentProvider(spark, {"people": collection(tmp_path, [*PEOPLE, "no json", ""])})])
     assert s.sql("SELECT * FROM people").columns == ["id", "name", "age", "tags", "at"]
-    assert rows(s.sql("SELECT id, name, age, tags FROM people ORDER BY id")) == [(1, "ada", 36, None), (2, "alan", 41, '["x","y"]'), (3, "grace", None, None)]
+    assert rows(s.sql("SELECT id, name, age, tags FROM people ORDER BY id")) == [(1, "eva", 36, None), (2, "hugo", 41, '["x","y"]'), (3, "mia", None, None)]
     assert rows(s.sql("SELECT YEAR(at) AS y FROM people WHERE at IS NOT NULL")) == [(2026,)]
 
 
@@ -66,7 +66,7 @@ def test_static_and_mapped_tables(spark, tmp_path):
 
 def test_databases_side_by_side(spark):
     s = Session(spark, [provider(), MemoryProvider("other").add("users", "id bigint", [(7,)])])
-    assert rows(s.sql("SELECT a.name, b.id FROM users a CROSS JOIN other.dbo.users b WHERE a.id = 1")) == [("ada", 7)]
+    assert rows(s.sql("SELECT a.name, b.id FROM people a CROSS JOIN other.dbo.users b WHERE a.id = 1")) == [("eva", 7)]
     assert rows(s.sql("USE other; SELECT COUNT(*) FROM INFORMATION_SCHEMA.TABLES")) == [(1,)]
     assert rows(s.sql("SELECT COUNT(*) FROM shop.INFORMATION_SCHEMA.TABLES")) == [(6,)]
     assert rows(s.sql("SELECT COUNT(*) FROM nope.INFORMATION_SCHEMA.TABLES")) == [(0,)]
@@ -78,6 +78,13 @@ def test_pushdown_reaches_the_scan(spark):
     assert "PushedFilters: [IsNotNull" in plan and "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_totalprice:double>" in plan
     plan = s.sql("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")._jdf.queryExecution().executedPlan().toString()
     assert "LeftAnti" in plan and "NestedLoop" not in plan
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as with tables that are too large for it
+    try:
+        for text in ("c_custkey NOT IN (SELECT o_custkey FROM orders)", "c_custkey NOT IN (SELECT o_custkey FROM orders o WHERE o.o_totalprice > c.c_acctbal)"):
+            plan = s.sql(f"SELECT c_custkey FROM customer c WHERE {text}")._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "LeftAnti" in plan and ("NestedLoop" not in plan or "o.o" in text)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     plan = s.sql("SELECT TOP 3 o_orderkey FROM orders ORDER BY o_totalprice DESC")._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
 
@@ -98,8 +105,8 @@ def test_snapshots_touch_only_files_concerned(spark, tmp_path):
 def test_failed_statement_changes_nothing(spark):
     s = Session(spark, [provider()])
     with pytest.raises(Exception):
-        s.execute("INSERT INTO users VALUES (5, 'e'), ('no number', 'f')")
-    assert rows(s.sql("SELECT COUNT(*) FROM users")) == [(2,)]
+        s.execute("INSERT INTO people VALUES (5, 'e'), ('no number', 'f')")
+    assert rows(s.sql("SELECT COUNT(*) FROM people")) == [(2,)]
 
 
 class Answers(Provider):
@@ -138,7 +145,7 @@ def test_sources_that_answer_themselves(spark):
 
 def test_routines_outlive_a_session(spark):
     s = Session(spark, [provider()])
-    s.execute("CREATE VIEW v AS SELECT id FROM users WHERE id = 2")
+    s.execute("CREATE VIEW v AS SELECT id FROM people WHERE id = 2")
     other = Session(spark, [provider()], routines=s.routines)
     assert rows(other.sql("SELECT id FROM v")) == [(2,)]
     with pytest.raises(ValueError):
