@@ -64,6 +64,11 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def columns_of(df: DataFrame, names: list[str] | None = None) -> list[Column]:
+    """Columns by name, whatever is in the names."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in (df.columns if names is None else names)]
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df without the columns whose names an operator's output takes (in any case)."""
     taken = {n.lower() for n in names}

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import OWN, materialize, seeded, without
+from larkspur.llm.common import OWN, columns_of, materialize, seeded, without
 from larkspur.llm.token_counts import TOKENIZER, token_count
 
 #: Weights where none are given: each source's tokens to this power, which flattens a dominant source.
@@ -116,22 +116,24 @@ def draw(counted: DataFrame, takes: DataFrame, seed: int) -> DataFrame:
     return ranked.join(takes, same, "left_semi").drop(OWN + "rank", OWN + "order", OWN + "text")
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: int | None = None, alpha: float = ALPHA, seed: int = 17, slack: int = SLACK, tokenizer: str = TOKENIZER, columns: list[str] | None = None) -> DataFrame:
-    """The documents of the mixture: columns (all by default) and n_tokens. docs has doc_id, text and source.
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: int | None = None, alpha: float = ALPHA, seed: int = 17, slack: int = SLACK, tokenizer: str = TOKENIZER, columns: list[str] | None = None, lengths: bool = True) -> DataFrame:
+    """The documents of the mixture: columns (all by default) and, with lengths, n_tokens. docs has doc_id, text and source.
 
     Null and empty texts hold no tokens and are never drawn. A null source is a source of its own. A document of any length
     counts whole. Repeated rows are documents of their own; ties in the seeded order (rows with the same doc_id) fall to the
-    hash of the text, and beyond that the rows are alike. An empty table gives an empty one. An input column n_tokens is
-    replaced.
+    hash of the text, and beyond that the rows are alike. An empty table gives an empty one. With lengths, an input column
+    n_tokens is replaced.
     """
-    docs = without(docs, "n_tokens")
+    docs = without(docs, "n_tokens") if lengths else docs
     columns = columns or docs.columns
+    # The row goes along in a struct, so that its names can't clash with those used here.
     counted = docs.select(
-        *dict.fromkeys([*columns, "source"]), token_count("text", tokenizer).alias("n_tokens"),
+        F.struct(*columns_of(docs, columns)).alias(OWN + "row"), "source", token_count("text", tokenizer).alias("n_tokens"),
         seeded(seed, "doc_id").alias(OWN + "order"), F.xxhash64("text").alias(OWN + "text"),
     ).where(F.col("n_tokens") > 0)
     if "text" not in columns:  # thin rows: encoded once, kept in the shared folder
         counted = materialize(counted, "lengths")
     histogram = counted.groupBy("source", "n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
     takes = materialize(plan(materialize(histogram, "histogram"), weights, budget, alpha, slack), "takes")
-    return draw(counted, takes, seed).select(*columns, "n_tokens")
+    drawn = draw(counted, takes, seed)
+    return drawn.select(OWN + "row.*", "n_tokens") if lengths else drawn.select(OWN + "row.*")

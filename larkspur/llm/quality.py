@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from larkspur.llm.common import OWN, claim, materialize, seeded, slices, without
+from larkspur.llm.common import OWN, claim, columns_of, materialize, seeded, slices, without
 
 #: Buckets: 2^BITS for words, as many for pairs, 2^STEM_BITS for each length of beginnings, 2^SHAPE_BITS for shapes.
 BITS, STEM_BITS, SHAPE_BITS = 18, 16, 10
@@ -229,31 +229,33 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, seed:
 
 
 def keyed(scored: DataFrame, model: Model, seed: int) -> DataFrame:
-    """With log_weight, and the key of Gumbel top-k: log_weight plus seeded Gumbel noise."""
+    """Of rows with scores: with their own weight, and key of Gumbel top-k: the weight plus seeded Gumbel noise."""
     uniform = (F.shiftrightunsigned(seeded(seed, F.lit("gumbel"), F.col("doc_id")), 11) + 0.5) / float(1 << 53)
-    weighted = scored.where(F.col(OWN + "s").isNotNull()).withColumn("log_weight", _weight(OWN + "s", model.shares))
-    return weighted.withColumn(OWN + "key", F.col("log_weight") - F.log(-F.log(uniform)))
+    weighted = scored.where(F.col(OWN + "s").isNotNull()).withColumn(OWN + "w", _weight(OWN + "s", model.shares))
+    return weighted.withColumn(OWN + "key", F.col(OWN + "w") - F.log(-F.log(uniform)))
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, max_labels: int = MAX_LABELS, seed: int = 17, columns: list[str] | None = None) -> DataFrame:
-    """The k documents with the largest keys: columns (all by default) and log_weight; k draws without replacement by weight.
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, max_labels: int = MAX_LABELS, seed: int = 17, columns: list[str] | None = None, weights: bool = True) -> DataFrame:
+    """The k documents with the largest keys: columns (all by default) and, with weights, log_weight: k draws without replacement.
 
     docs has doc_id and text; labels has doc_id, quality (1: good) and toxic (1: toxic), null for unknown; of several labels
     of a document the worst holds. k None: as many as are more likely of the target's part than not. Null texts are never
     drawn. An empty text has no n-gram and the neutral weight 0. Rows with the same doc_id and text have the same key; all
     rows that tie with the last one drawn are drawn. Without any label for the target, or for neither other part, all weights
-    are alike and all documents with a text are kept (or k by noise alone). An empty table gives an empty one. An input
-    column log_weight is replaced.
+    are alike and all documents with a text are kept (or k by noise alone). An empty table gives an empty one. With
+    weights, an input column log_weight is replaced.
     """
-    docs = without(docs, "log_weight")
+    docs = without(docs, "log_weight") if weights else docs
     columns = columns or docs.columns
     model, scored = fit(docs, labels, max_labels, seed)
     keys = keyed(scored, model, seed)
     if k is None:
-        likely = F.col("log_weight") + float(np.log(model.shares[0])) >= float(np.log(0.5))
+        likely = F.col(OWN + "w") + float(np.log(model.shares[0])) >= float(np.log(0.5))
         k = keys.where(likely).count() if model.log_ratios.any() else keys.count()
     least = kth_largest(keys, OWN + "key", k)
-    if set(columns) != {"doc_id"}:
-        scored = docs.select(*dict.fromkeys([*columns, "doc_id"]), ratios("text", model.log_ratios, docs.sparkSession).alias(OWN + "s"))
-    rows = keyed(scored, model, seed)
-    return rows.where(F.col(OWN + "key") >= least if least is not None else F.lit(False)).select(*columns, "log_weight")
+    if columns != ["doc_id"]:
+        # The row goes along in a struct, so that its names can't clash with those used here.
+        scored = docs.select(F.struct(*columns_of(docs, columns)).alias(OWN + "row"), "doc_id", ratios("text", model.log_ratios, docs.sparkSession).alias(OWN + "s"))
+    kept = keyed(scored, model, seed).where(F.col(OWN + "key") >= least if least is not None else F.lit(False))
+    out = ["doc_id"] if columns == ["doc_id"] else [OWN + "row.*"]
+    return kept.select(*out, F.col(OWN + "w").alias("log_weight")) if weights else kept.select(*out)

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import OWN
+from larkspur.llm.common import OWN, columns_of
 
 
 @dataclass(frozen=True)
@@ -130,7 +130,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     if "n_chars" in docs.columns:
         changed = F.col("text") != F.col(OWN + "text")
         out = out.withColumn("n_chars", F.when(changed, F.length(OWN + "text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.withColumn("text", F.col(OWN + "text")).select(*docs.columns)
+    return out.withColumn("text", F.col(OWN + "text")).select(*columns_of(docs))
 
 
 def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:

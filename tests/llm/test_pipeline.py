@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -93,6 +94,26 @@ def test_run(spark):
     assert {r.doc_id for r in found} == {i for i, t in wanted[3].items() if t} and sorted(bins.values()) == loads
 
 
+ODD = "doc_id long, text string, lang string, source string, n_chars long, log_weight string, n_tokens int, hash int, id int, take int, `a.b` int"
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES, ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_tables(spark, name, stage):
+    prose = " ".join(f"word{i}" for i in range(40))
+    more = ("w", 1, 2, 3, 4, 5)
+    data = [(1, prose, "en", "a", 9), (1, prose, "en", "a", 9), (2, None, None, None, None), (3, "", "en", "a", 0), (None, "without a number", None, "b", 1), (4, "tie", "en", None, 3), (5, "x " * 200_000, "en", "b", 7)]
+    docs = spark.createDataFrame([(*r, *more) for r in data], ODD)
+    for table in (docs, docs.limit(0)):
+        out = stage(spark, table, SF_MORE)
+        found = out.collect()
+        if stage is corpus_pipeline.STAGES[-1][1]:
+            assert out.columns == ["doc_id", "piece", "first_token", "n_tokens", "bin_id", "bin_offset"]
+        else:
+            assert out.schema.names == docs.schema.names and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+            assert all(tuple(r)[5:] == more for r in found)
+        assert bool(found) == (table is docs)
+
+
 def test_registered(spark):
     import __spark_entry__ as entry
 
