@@ -143,6 +143,7 @@ PAIRS: dict[str, tuple[str, str]] = {
     "top_n": ("SELECT TOP 7 c_custkey, c_name FROM customer ORDER BY c_custkey", "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 7"),
     "topk": ("SELECT TOP (25) o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25"),
     "top_percent": ("SELECT TOP 3 PERCENT c_custkey FROM customer WHERE c_acctbal > 0 ORDER BY c_custkey", "SELECT c_custkey FROM customer WHERE c_acctbal > 0 QUALIFY row_number() OVER (ORDER BY c_custkey) <= ceil(3 * count(*) OVER () / 100.0)"),
+    "top_ties": ("SELECT TOP 5 WITH TIES p_partkey, p_size FROM part ORDER BY p_size DESC", "SELECT p_partkey, p_size FROM part QUALIFY rank() OVER (ORDER BY p_size DESC) <= 5"),
     "offset_fetch": ("SELECT c_custkey FROM customer ORDER BY c_custkey OFFSET 20 ROWS FETCH NEXT 10 ROWS ONLY", "SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 10 OFFSET 20"),
     "offset_only": ("SELECT n_nationkey FROM nation ORDER BY n_nationkey OFFSET 20 ROWS", "SELECT n_nationkey FROM nation ORDER BY n_nationkey OFFSET 20"),
     "union_order_limit": ("SELECT n_nationkey AS k FROM nation UNION SELECT c_custkey FROM customer ORDER BY k DESC OFFSET 1 ROWS FETCH NEXT 5 ROWS ONLY", "SELECT n_nationkey AS k FROM nation UNION SELECT c_custkey FROM customer ORDER BY k DESC LIMIT 5 OFFSET 1"),
