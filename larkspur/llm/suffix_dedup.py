@@ -26,6 +26,8 @@ LEAST, LEAD = 50, 8
 STEP = 10
 #: Words that are cut to runs at once (or one document), and windows that are sorted at once (or one lead).
 SLICE, SORTED = 1 << 18, 1 << 16
+#: Runs that are sent on in a batch.
+CARRIED = 5000
 #: Suffixes that are sampled for each splitter.
 SAMPLES = 50
 BROADCAST_ROWS = 500_000
@@ -120,6 +122,11 @@ def _cut(least: int, lead: int):
 def _carry(least: int):
     """For mapInArrow over (id, hash, text, runs of (bucket, key, p, q)): a row a run, with the words it needs."""
 
+    types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+
+    def batch_of(columns: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["bucket", "key", "id", "hash", "p", "words"])
+
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim(_words)
         for batch in batches:
@@ -129,11 +136,16 @@ def _carry(least: int):
                 w = (word_hashes(texts[i].as_py()) >> _U(32)).astype(np.uint32)
                 flat = lists[i].values
                 bucket, key, p, q = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
-                for held, new in zip(out, (bucket.tolist(), key.tolist(), [ids[i].as_py()] * len(p), [hashes[i].as_py()] * len(p), p.tolist(), [w[a : b + least].tobytes() for a, b in zip(p, q)])):
-                    held.extend(new)
-                if len(out[0]) >= 5000 or i == batch.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["bucket", "key", "id", "hash", "p", "words"])
-                    out = [[] for _ in range(6)]
+                for j in range(0, len(p), CARRIED):
+                    k = slice(j, j + CARRIED)
+                    n = len(p[k])
+                    for held, new in zip(out, (bucket[k].tolist(), key[k].tolist(), [ids[i].as_py()] * n, [hashes[i].as_py()] * n, p[k].tolist(), [w[a : b + least].tobytes() for a, b in zip(p[k], q[k])])):
+                        held.extend(new)
+                    if len(out[0]) >= CARRIED:
+                        yield batch_of(out)
+                        out = [[] for _ in range(6)]
+            if out[0]:
+                yield batch_of(out)
 
     return carry
 
