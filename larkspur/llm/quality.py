@@ -38,7 +38,7 @@ SMOOTHING = 100.0
 #: Bytes of text that are turned to features at once (or one document, if it is longer).
 SLICE = 1 << 20
 #: Words whose features a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 REPEATED = 1 << BITS
 
 COUNTS = ("raw", "target", "low", "toxic")
