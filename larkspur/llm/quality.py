@@ -5,7 +5,8 @@ five letters of words, and shapes of words (punctuation and case); a word that f
 low quality and toxic ones, so p_raw(text) = sum of share * p_part(text), with the shares found by expectation maximization
 over all documents; one bag for all raw text would let a long document's ordinary words outweigh a few toxic ones. A bucket
 whose count in a part is no more than chance away from the target's keeps the target's rate there, up to a common factor, so
-rare words add no noise. The parts are counted on documents with labels, and smoothed by the counts of all documents.
+rare words add no noise. The parts are counted on documents with labels, and smoothed by the counts of all documents. They have
+no document in common: toxic documents of low quality are in the low part only, for their junk would be most of the toxic one.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ MAX_LABELS = 50_000
 DEVIATIONS, LEAST_RATIO = 8.0, 0.5
 #: Raw n-grams that smooth each model.
 SMOOTHING = 100.0
+#: A document with more n-grams than this counts as so many in its part, all scaled alike, in units of 1 / UNIT.
+MOST, UNIT = 1 << 14, 1 << 10
 #: Bytes of text that are turned to features at once (or one document, if it is longer).
 SLICE = 1 << 20
 #: Words whose features a worker remembers.
@@ -98,12 +101,12 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count_ngrams(docs: DataFrame, labels: DataFrame, max_labels: int, seed: int) -> np.ndarray:
-    """Counts by COUNTS and bucket: raw over all documents, the others over documents with labels."""
+    """Counts by COUNTS and bucket: raw over all documents, the others over documents with labels, none of them for more than MOST."""
     known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias(OWN + "q"), F.max("toxic").alias(OWN + "t"))
     # Bounded by max_labels, so it can be sent to all.
     known = F.broadcast(known.orderBy(seeded(seed, "doc_id"), "doc_id").limit(max_labels))
     quality, toxic = F.coalesce(F.col(OWN + "q"), F.lit(-1)), F.coalesce(F.col(OWN + "t"), F.lit(-1))
-    parts = F.when((quality == 1) & (toxic == 0), 1).otherwise(0) + F.when(quality == 0, 2).otherwise(0) + F.when(toxic == 1, 4).otherwise(0)
+    parts = F.when((quality == 1) & (toxic == 0), 1).otherwise(0) + F.when(quality == 0, 2).otherwise(0) + F.when((toxic == 1) & (quality != 0), 4).otherwise(0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((4, SIZE), np.int64)
@@ -113,9 +116,12 @@ def count_ngrams(docs: DataFrame, labels: DataFrame, max_labels: int, seed: int)
             for i, j, texts in slices(batch.column(0), SLICE):
                 doc, bucket = features(texts)
                 sums[0] += np.bincount(bucket, minlength=SIZE)
+                # Whole units: the order of summing mustn't matter.
+                units = np.rint(UNIT * np.minimum(1.0, MOST / np.maximum(1, np.bincount(doc, minlength=j - i))))
                 for k in (1, 2, 3):
                     if (own := (part[i:j] >> k - 1 & 1).astype(bool)).any():
-                        sums[k] += np.bincount(bucket[own[doc]], minlength=SIZE)
+                        at = own[doc]
+                        sums[k] += np.bincount(bucket[at], units[doc[at]], minlength=SIZE).astype(np.int64)
         (at,) = np.nonzero(sums[0])
         for i in range(0, len(at), 1 << 16):
             some = at[i : i + (1 << 16)]
@@ -125,7 +131,7 @@ def count_ngrams(docs: DataFrame, labels: DataFrame, max_labels: int, seed: int)
     sums = texts.mapInArrow(count, "bucket long, " + ", ".join(f"{c} long" for c in COUNTS)).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in COUNTS])
     table, counts = sums.toArrow(), np.zeros((4, SIZE))  # at most SIZE rows, at any size of the corpus
     for k, c in enumerate(COUNTS):
-        counts[k, table["bucket"].to_numpy()] = table[c].to_numpy()
+        counts[k, table["bucket"].to_numpy()] = table[c].to_numpy() / (UNIT if k else 1)
     return counts
 
 

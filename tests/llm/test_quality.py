@@ -91,3 +91,26 @@ def test_odd_rows(spark):
     clash = docs(spark, [(1, "x", "a", 5, 6), (2, "y", "b", 5, 6)], "doc_id long, text string, source string, log_weight int, quality int")
     got = Q.resample(clash, spark.createDataFrame([(1, 1, 0)], LABELS))
     assert got.columns == ["doc_id", "text", "source", "quality", "log_weight"] and got.count() == 2
+
+
+@pytest.mark.parametrize("sf", [SF_MORE, "/root/testdata/sf0.1"])
+def test_labelled_toxic_documents_go_in_every_language(spark, sf):
+    d, labels = sample(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
+    kept = {r.doc_id for r in Q.resample(d, labels, columns=["doc_id"]).collect()}
+    known = d.join(labels, "doc_id").select("doc_id", "lang", "quality", "toxic").collect()
+    for lang in {r.lang for r in known}:
+        toxic = [r.doc_id for r in known if r.lang == lang and r.toxic == 1]
+        assert toxic and not kept & set(toxic), lang
+    good = [r.doc_id in kept for r in known if (r.quality, r.toxic) == (1, 0)]
+    assert np.mean(good) >= 0.97
+
+
+def test_parts_have_no_document_in_common_and_none_dominates(spark):
+    long = "junk " * 50_000
+    d = docs(spark, [(1, "a b c", "s"), (2, "d e", "s"), (3, "f g", "s"), (4, long, "s"), (5, long, "s")])
+    counts = Q.count_ngrams(d, spark.createDataFrame([(1, 1, 0), (2, 0, 1), (3, None, 1), (4, 1, 1)], LABELS), 100, 1)
+    of = lambda *texts: np.bincount(np.concatenate([Q.features([t])[1] for t in texts]), minlength=Q.SIZE)
+    assert (counts[0] == of("a b c", "d e", "f g", long, long)).all()
+    assert (counts[1] == of("a b c")).all() and (counts[2] == of("d e")).all()
+    scaled = of(long) * round(Q.MOST / of(long).sum() * Q.UNIT) / Q.UNIT
+    assert np.allclose(counts[3], of("f g") + scaled) and counts[3].sum() <= 1.1 * Q.MOST
