@@ -22,6 +22,8 @@ from larkspur.llm.token_counts import TOKENIZER, token_count
 ALPHA = 0.7
 #: Tokens of a source's budget that are left to the exact solver.
 SLACK = 1 << 14
+#: Sources that hold this part of the weights or less together don't limit a mixture without a budget.
+MINOR = 0.02
 
 
 def bounded_subset_sum(lengths: list[int], counts: list[int], target: int) -> list[int]:
@@ -79,12 +81,38 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, slack: int
     return take
 
 
+def level(tokens: DataFrame, budget: int | None) -> float:
+    """Tokens a unit of weight, of sources with own have and own w.
+
+    With a budget: such that sources with less than their share give all they have and the others make up for it. None: as many
+    as all sources have but those with the least, which hold no more than MINOR of all weights together.
+    """
+    have, w = F.col(OWN + "have"), F.col(OWN + "w")
+    if budget is None:
+        # Bins of one per cent, some thousand at any number of sources.
+        bins = tokens.groupBy(F.floor(F.log2(have / w) * 64).alias("bin")).agg(F.sum(w), F.min(have / w)).orderBy("bin").collect()
+        left = MINOR * sum(r[1] for r in bins)
+        for _, weight, least in bins:
+            left -= weight
+            if left < 0:
+                return least
+        return 0.0
+    found = 0.0
+    while True:  # more sources are short each time
+        short = have <= w * found
+        given, weights = tokens.agg(F.sum(F.when(short, have)), F.sum(F.when(~short, w))).first()
+        more = (budget - (given or 0)) / weights if weights else found
+        if more <= found * (1 + 1e-12):
+            return found
+        found = more
+
+
 def plan(histogram: DataFrame, weights: dict[str, float] | None = None, budget: int | None = None, alpha: float = ALPHA, slack: int = SLACK) -> DataFrame:
     """(source, n_tokens, take) from (source, n_tokens, n_docs); lengths of which none is taken are left out.
 
     weights: by source, in any unit; a source that has none gets nothing. None: tokens to the power alpha. budget: tokens of
-    the mixture; None: as many as the weights allow without repeating a document. A source with less than its share gives
-    all it has.
+    the mixture; None: as many as the weights allow without repeating a document, but for sources that hold little of the
+    weights (see level). A source with less than its share gives all it has, and the others share out the rest of a budget.
     """
     tokens = histogram.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n_docs")).alias(OWN + "have"))
     if weights is None:
@@ -93,10 +121,8 @@ def plan(histogram: DataFrame, weights: dict[str, float] | None = None, budget:
         given = histogram.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], f"{OWN}s string, {OWN}w double")
         tokens = tokens.join(given, F.col("source").eqNullSafe(F.col(OWN + "s")), "left").drop(OWN + "s")
     tokens = tokens.where(F.col(OWN + "w") > 0)
-    sums = tokens.agg(F.sum(OWN + "w").alias(OWN + "sum"), F.min(F.col(OWN + "have") / F.col(OWN + "w")).alias(OWN + "least"))
-    per_weight = F.col(OWN + "least") if budget is None else F.lit(float(budget)) / F.col(OWN + "sum")
-    share = F.floor(F.round(F.col(OWN + "w") * per_weight, 2)).cast("long")  # rounded: the order of summing mustn't matter
-    shares = tokens.crossJoin(F.broadcast(sums)).select(F.col("source").alias(OWN + "source"), share.alias(OWN + "share"))
+    share = F.floor(F.round(F.col(OWN + "w") * F.lit(level(tokens, budget)), 2)).cast("long")  # rounded: the order of summing mustn't matter
+    shares = tokens.select(F.col("source").alias(OWN + "source"), share.alias(OWN + "share"))
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("n_tokens", ignore_index=True)

@@ -94,3 +94,27 @@ def test_odd_rows(spark):
     assert rows(M.mix(docs(spark, []))) == [] and rows(M.mix(d, budget=0)) == [] and rows(M.mix(d, weights={"zzz": 1.0})) == []
     clash = docs(spark, [(1, "hi", "a", 7, 1)], "doc_id long, text string, source string, n_tokens int, take int")
     assert rows(M.mix(clash, budget=9)) == [(1, "hi", "a", 1, 1)] and M.mix(clash, budget=9).columns == ["doc_id", "text", "source", "take", "n_tokens"]
+
+
+def histogram(spark, have):
+    return spark.createDataFrame([(s, 10, n // 10) for s, n in have.items()], "source string, n_tokens long, n_docs long")
+
+
+def taken(plan):
+    return {r.source: r.n for r in plan.groupBy("source").agg({"take": "sum"}).withColumnRenamed("sum(take)", "n").collect()}
+
+
+def test_a_rare_source_does_not_decide(spark):
+    """A source of 40 M tokens, 18 of 2 M, and one of 200 or a null one of 10, which give all they have."""
+    have = {"hot": 40_000_000} | {f"s{i}": 2_000_000 for i in range(18)}
+    for rare in ({"rare": 200}, {None: 10}):
+        got = taken(M.plan(histogram(spark, have | rare)))
+        assert all(got[s] * 10 == n for s, n in (have | rare).items() if s != "hot")
+        assert got["hot"] == int(2_000_000 * 20**0.7) // 10
+
+
+def test_others_share_what_a_short_source_lacks(spark):
+    have = {"a": 1_000, "b": 50_000, "c": 50_000, "d": 8_000}
+    got = taken(M.plan(histogram(spark, have), weights={"a": 1, "b": 2, "c": 1, "d": 1}, budget=50_000))
+    # b and c share 50,000 - 1,000 - 8,000 two to one.
+    assert got == {"a": 100, "b": 2733, "c": 1366, "d": 800}
