@@ -20,8 +20,8 @@ from larkspur.llm.token_counts import TOKENIZER, token_count
 
 #: Weights where none are given: each source's tokens to this power, which flattens a dominant source.
 ALPHA = 0.7
-#: Tokens of a source's budget that are left to the exact solver.
-SLACK = 1 << 14
+#: Tokens of a source's budget that are left to the exact solver at most, and the part of it that is at first.
+SLACK, ROOM = 1 << 14, 8
 #: Sources that hold this part of the weights or less together don't limit a mixture without a budget.
 MINOR = 0.02
 
@@ -47,38 +47,49 @@ def bounded_subset_sum(lengths: list[int], counts: list[int], target: int) -> li
     return take
 
 
+def in_proportion(lengths: np.ndarray, counts: np.ndarray, tokens: int) -> np.ndarray:
+    """How many documents of each length for some `tokens` in all: about the same part everywhere, evenly along the lengths."""
+    order, part = np.argsort(lengths, kind="stable"), tokens / int((lengths * counts).sum())
+    upto = np.floor(np.cumsum(counts[order]) * part + 0.5).astype(np.int64)
+    take = np.zeros(len(counts), np.int64)
+    take[order] = np.diff(upto, prepend=0)
+    return np.minimum(take, counts)
+
+
 def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, slack: int = SLACK) -> np.ndarray:
     """How many documents of each length (distinct, positive) come as near budget as can be without passing it.
 
-    Up to slack the solver has the whole budget, and its choice is the best there is. Beyond it, each length gives its share
-    of the budget, and the solver what is left, with at least half of slack to choose for unless all documents are longer.
+    At every budget each length gives its share first, and the solver has what is left: a ROOM-th part of the budget, at most
+    slack. Where that doesn't meet the budget (up to slack: the best there is), the solver gets twice as much, up to slack.
     """
-    total = int((lengths * counts).sum())
+    total, budget = int((lengths * counts).sum()), max(0, budget)
     if budget >= total:
         return counts.copy()
-    take, rest = np.zeros_like(counts), max(0, budget)
-    if budget > slack:
-        share = counts * (budget / total)
-        take = np.floor(share).astype(np.int64)
-        rest = budget - int((lengths * take).sum())
-        by_fraction = np.lexsort((lengths, take - share))
-        for i in by_fraction:  # largest fractions first
-            if rest <= slack:
-                break
-            if take[i] < counts[i] and lengths[i] <= rest:
-                take[i], rest = take[i] + 1, rest - int(lengths[i])
-        while rest < slack // 2:  # the solver needs some room
-            short = [i for i in by_fraction[::-1] if take[i] > 0 and lengths[i] <= slack]
-            if not short:
-                break
-            for i in short:
-                if rest < slack // 2:
-                    take[i], rest = take[i] - 1, rest + int(lengths[i])
-    order = [int(i) for i in np.argsort(-lengths, kind="stable") if lengths[i] <= rest and take[i] < counts[i]]
-    more = bounded_subset_sum([int(lengths[i]) for i in order], [int(counts[i] - take[i]) for i in order], rest)
-    for i, n in zip(order, more):
-        take[i] += n
-    return take
+    order = [int(i) for i in np.argsort(-lengths, kind="stable")]
+
+    def solve(take: np.ndarray, rest: int) -> np.ndarray:
+        some = [i for i in order if lengths[i] <= rest and take[i] < counts[i]]
+        take = take.copy()
+        for i, n in zip(some, bounded_subset_sum([int(lengths[i]) for i in some], [int(counts[i] - take[i]) for i in some], rest)):
+            take[i] += n
+        return take
+
+    used = lambda take: int((lengths * take).sum())
+    found = solve(np.zeros(len(counts), np.int64), budget) if budget <= slack else None
+    goal, most, nearest = budget if found is None else used(found), min(budget, slack), None
+    room = min(most, budget // ROOM)
+    while True:
+        aim = budget - room
+        take = in_proportion(lengths, counts, aim)
+        while (rest := budget - used(take)) < room // 2:  # the solver needs some room
+            aim = max(0, aim - max(1, room // 8, room // 2 - rest))
+            take = in_proportion(lengths, counts, aim)
+        take = solve(take, rest)
+        if nearest is None or used(take) > used(nearest):
+            nearest = take
+        if used(nearest) == goal or room >= most:
+            return nearest if found is None or used(nearest) == goal else found
+        room = min(most, max(1, 2 * room))
 
 
 def level(tokens: DataFrame, budget: int | None) -> float:

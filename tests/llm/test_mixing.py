@@ -96,6 +96,17 @@ def test_odd_rows(spark):
     assert rows(M.mix(clash, budget=9)) == [(1, "hi", "a", 1, 1)] and M.mix(clash, budget=9).columns == ["doc_id", "text", "source", "take", "n_tokens"]
 
 
+def test_small_budgets_are_drawn_from_all_lengths():
+    rng = np.random.default_rng(4)
+    lengths = np.sort(rng.choice(np.arange(250, 1277), 212, replace=False))
+    counts = np.ones(len(lengths), np.int64)
+    for budget in (16_000, 17_000):
+        take = M.fit_counts(lengths, counts, budget)
+        assert int((take * lengths).sum()) == budget
+        quarters = [int(q.sum()) for q in np.array_split(take, 4)]
+        assert min(quarters) >= 3 and max(quarters) <= 10
+
+
 def histogram(spark, have):
     return spark.createDataFrame([(s, 10, n // 10) for s, n in have.items()], "source string, n_tokens long, n_docs long")
 
