@@ -21,9 +21,13 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.common import OWN
 
-_SILENT = "script|style|noscript|template|title|textarea|svg"
+#: Elements whose content is dropped, up to their own end tag. Of noscript only the text is: see parse().
+_SILENT = "script|style|template|title|textarea|svg"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?:{_SILENT})\b[^>]*+>.*?(?:</(?:{_SILENT})\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)"
+    # Closed in itself, by a slash that isn't the end of an unquoted value.
+    rf"""|<(?:{_SILENT})(?=[\s/>])(?:[^>"'=/]++|/(?!>)|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]++)?+|"[^"]*+"|'[^']*+')*+/>"""
+    rf"|<({_SILENT})(?=[\s/>])[^>]*+>.*?(?:</\1(?=[\s/>])[^>]*+>|\Z)"
     r"""|<(/?)([a-z][a-z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|</?[a-z][^>]*+>|<[!?/][^>]*+>""",
     re.S | re.I,
 )
@@ -115,17 +119,20 @@ def parse(page: str, url: str | None = None) -> tuple[list[dict], list[dict]]:
         figure = caption = None
 
     def text(piece: str) -> None:
-        (pieces if not captioning else caption).append(piece)
+        if not quiet:
+            (pieces if not captioning else caption).append(piece)
 
-    at, captioning = 0, False
+    at, captioning, quiet = 0, False, False
     for m in _TOKEN.finditer(page):
         if m.start() > at:
             text(page[at : m.start()])
-        at, tag = m.end(), m[2]
+        at, tag = m.end(), m[3]
         if tag is None:
             continue
-        tag, ends = tag.lower(), bool(m[1])
-        if tag in _INLINE:
+        tag, ends = tag.lower(), bool(m[2])
+        if tag == "noscript":  # its media count, its text doesn't
+            quiet = not ends and not m[4].endswith("/")
+        if tag in _INLINE or tag == "noscript" or quiet and tag not in _MEDIA and tag != "source":
             continue
         if captioning and tag not in ("figcaption", "figure"):
             if tag not in _MEDIA:
@@ -137,13 +144,13 @@ def parse(page: str, url: str | None = None) -> tuple[list[dict], list[dict]]:
             if ends:
                 open_media = None
                 continue
-            a = _attributes(m[3])
+            a = _attributes(m[4])
             item = {"position": len(items), "kind": _MEDIA[tag], "alt": a.get("alt") or a.get("title") or None}
             refer(item, a)
             items.append(item)
             open_media = item if tag != "img" else open_media
         elif tag == "source" and open_media is not None and not open_media.get("src"):
-            refer(open_media, _attributes(m[3]))
+            refer(open_media, _attributes(m[4]))
         elif tag == "figure":
             captioning = False
             close_figure()
@@ -152,7 +159,7 @@ def parse(page: str, url: str | None = None) -> tuple[list[dict], list[dict]]:
         elif tag == "figcaption" and figure is not None:
             captioning = not ends
             caption = caption if caption is not None else []
-        elif tag == "base" and (href := _attributes(m[3]).get("href")):
+        elif tag == "base" and (href := _attributes(m[4]).get("href")):
             try:
                 base = urljoin(url or "", href)
             except ValueError:

@@ -119,3 +119,14 @@ def test_odd_rows(spark):
     assert rows(D.sequences(spark.createDataFrame([], SCHEMA))) == []
     clash = spark.createDataFrame([(1, "u", "<p>a<img src=b>", "x", "y")], SCHEMA + ", items string, payloads string")
     assert [len(r["items"]) for r in D.sequences(clash).collect()] == [2]
+
+
+def test_silent_elements_end_where_they_end():
+    both = [("text", "a"), ("image", "x")]
+    for page in (
+        "<svg class=\"i\"/><p>a</p><img src=x>", "<svg/><p>a</p><img src=x>", "<svg a='>' /><p>a</p><img src=x>", "<script src=/s/>no</script><p>a</p><img src=x>",
+        "<style-guide><p>a</p></style-guide><img src=x>", "<title-bar>a</title-bar><img src=x>", "<svg><title>t</title>no</svg><p>a</p><img src=x>",
+        "<SCRIPT>'</style>' no</Script ><p>a</p><img src=x>", "<p>a<noscript>no<p>no<img src=x></noscript>", "<noscript/><p>a<noscript><img src=x></noscript>",
+    ):
+        assert fast(page) == both, page
+    assert fast("a <noscript><p>no</p></noscript>b") == [("text", "a b")]
