@@ -9,6 +9,7 @@ from __future__ import annotations
 import base64
 import functools
 import os
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -24,6 +25,11 @@ TOKENIZER = os.path.join(os.environ.get("LARKSPUR_TOKENIZERS", "/opt/tokenizers"
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: Runs of white space as long as this are encoded apart: the split looks ahead behind them, a frame of its stack for each sign.
+LONG = 1024
+_LONG_RUN = re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{LONG},}}")
+
+
 @functools.lru_cache(maxsize=4)
 def encoding(path: str):
     """The encoding of a rank file; one per Python worker."""
@@ -34,15 +40,26 @@ def encoding(path: str):
     return tiktoken.Encoding(os.path.basename(path), pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
 
+def length(encoding, text: str) -> int:
+    """The tokens of a text. The split never joins a sign and white space behind it, and of a run of white space only the last
+    sign may belong to what follows. So a text can be cut there, and a long run is a piece of its own, with the same tokens."""
+    total = start = 0
+    for run in _LONG_RUN.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        total += len(encoding.encode_ordinary(text[start : run.start()])) + len(encoding._encode_single_piece(text[run.start() : end]))
+        start = end
+    return total + len(encoding.encode_ordinary(text[start:] if start else text))
+
+
 def token_count(text: Column | str, tokenizer: str = TOKENIZER) -> Column:
-    """The number of tokens of a text: null for null, 0 for an empty text. Whole texts are encoded, of any length;
-    strings of special tokens are ordinary text."""
+    """The number of tokens of a text: null for null, 0 for an empty text. Whole texts are encoded, of any length and whatever
+    runs of one sign they hold; strings of special tokens are ordinary text."""
 
     @arrow_udf("bigint")
     def count(texts: pa.Array) -> pa.Array:
         claim({})
-        encode = encoding(tokenizer).encode_ordinary
-        return pa.array([None if t is None else len(encode(t)) for _, _, some in slices(texts) for t in some], pa.int64())
+        held = encoding(tokenizer)
+        return pa.array([None if t is None else length(held, t) for _, _, some in slices(texts) for t in some], pa.int64())
 
     # Taken as not deterministic, so that a filter on the count doesn't encode twice.
     return count.asNondeterministic()(text)

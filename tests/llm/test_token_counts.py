@@ -1,5 +1,6 @@
 """Against encoding every text by itself."""
 
+import random
 from collections import Counter
 
 from larkspur.llm import token_counts as K
@@ -36,3 +37,28 @@ def test_odd_rows(spark):
     assert rows(K.context_table(K.length_histogram(docs(spark, [])))) == []
     clash = docs(spark, [(1, "hi", "a", 7)], "doc_id long, text string, source string, n_tokens int")
     assert rows(K.length_histogram(clash)) == [(1, 1)]
+
+
+def test_long_runs_count_as_the_whole():
+    held, r = K.encoding(K.TOKENIZER), random.Random(1)
+    for _ in range(1500):
+        text = ""
+        for _ in range(r.randint(1, 5)):
+            text += r.choice(["a", "Zed", "12", "--", "\x1c", "​", "'s", ""])
+            text += r.choice([" ", "\n", "　", "\xa0", "\t", "\x85"]) * r.choice([1, 2, K.LONG - 1, K.LONG, K.LONG + 1, 3000]) + r.choice(["", "\n", " "])
+        text += r.choice(["", "x"])
+        assert K.length(held, text) == len(ENCODE(text)), text
+
+
+def very_long():
+    """Five million of one sign, a letter behind."""
+    return [(i, c * 5_000_000 + "x", "a") for i, c in enumerate(" \na-")]
+
+
+def test_very_long_runs(spark):
+    got = dict(rows(K.length_histogram(docs(spark, very_long()))))
+    # Blanks and line feeds by what their run and the rest give apart: the whole is too much for the split.
+    held = K.encoding(K.TOKENIZER)
+    blanks = len(held._encode_single_piece(" " * 4_999_999)) + len(ENCODE(" x"))
+    feeds = len(held._encode_single_piece("\n" * 4_999_999)) + len(ENCODE("\nx"))
+    assert got == Counter([blanks, feeds, len(ENCODE("a" * 5_000_000 + "x")), len(ENCODE("-" * 5_000_000 + "x"))])
