@@ -1,7 +1,7 @@
 """Collections of JSON documents, one a line, as tables.
 
-Three ways to a schema: inferred from the first documents, declared in a catalog document that lies beside the collections, or
-given in code. Values that are no scalars become their JSON text. Every document is read; no scan is capped.
+Three ways to a schema: inferred from all documents (or, where asked, the first ones), declared in a catalog document that lies
+beside the collections, or given in code. Values that are no scalars become their JSON text. Every document is read; no scan is capped.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ from pyspark.sql import types as T
 from larkspur.catalog.model import Column, ForeignKey, Table, kind_of
 from larkspur.sources.provider import Provider
 
-#: Documents that inference looks at.
+#: Documents whose fields come first, as they were seen; others follow by name.
 SAMPLE = 100
+_MOMENT = r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:?\d\d)?"
 #: The file that declares tables.
 CATALOG = "_catalog.json"
 
@@ -41,7 +42,7 @@ def _value_type(v) -> T.DataType:
         return T.LongType()
     if isinstance(v, float):
         return T.DoubleType()
-    if isinstance(v, str) and re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:?\d\d)?", v):
+    if isinstance(v, str) and re.fullmatch(_MOMENT, v):
         return T.TimestampType()
     return T.StringType()
 
@@ -67,22 +68,40 @@ def infer(documents: list[str], order: str = "seen") -> list[Column]:
 class DocumentProvider(Provider):
     """collections: by table name, a path to JSON lines.
 
-    mode "inferred": columns from the first documents, no keys. "declared": columns and keys from CATALOG in `directory`, which is
+    mode "inferred": columns from the documents, no keys. sample: only so many are looked at, and a field has the type of its first value;
+    without it all are, in one pass of Spark's own, and a field has a type that holds all its values. strict: a line that is no
+    document is an error instead of being passed over. "declared": columns and keys from CATALOG in `directory`, which is
     written from inference if it is missing (the key is then `id`, where there is one). "static": `tables`, given in code.
     """
 
-    def __init__(self, spark: SparkSession, collections: dict[str, str], mode: str = "inferred", directory: str | None = None, tables: list[Table] | None = None, database: str = "main", order: str = "seen"):
+    def __init__(self, spark: SparkSession, collections: dict[str, str], mode: str = "inferred", directory: str | None = None, tables: list[Table] | None = None, database: str = "main", order: str = "seen", sample: int | None = None, strict: bool = False):
         if mode not in ("inferred", "declared", "static"):
             raise ValueError(f"unknown mode {mode}")
-        self.spark, self.collections, self.database, self.order = spark, collections, database, order
+        self.spark, self.collections, self.database, self.order, self.sample, self.strict = spark, collections, database, order, sample, strict
         if mode == "static":
             self.known = {t.name: t for t in tables or []}
         else:
             self.known = self._declared(directory) if mode == "declared" else {n: self._inferred(n) for n in collections}
 
     def _inferred(self, name: str) -> Table:
-        lines = [r[0] for r in self.spark.read.text(self.collections[name]).limit(SAMPLE).collect()]
-        return Table(name, infer(lines, self.order), [], [], self.database)
+        lines = [r[0] for r in self.spark.read.text(self.collections[name]).limit(self.sample or SAMPLE).collect()]
+        first = infer(lines, self.order)
+        return Table(name, first if self.sample else self._inferred_of_all(name, [c.name for c in first]), [], [], self.database)
+
+    def _inferred_of_all(self, name: str, seen: list[str]) -> list[Column]:
+        broken = "__lk_broken"
+        read = self.spark.read.option("columnNameOfCorruptRecord", broken).json(self.collections[name])
+        types = {f.name: f.dataType for f in read.schema.fields if f.name != broken}
+        texts = [n for n, t in types.items() if isinstance(t, T.StringType)]
+        if texts:  # moments are texts to JSON
+            quoted = [f"d.`{n.replace('`', '``')}`" for n in texts]
+            lines = self.spark.read.text(self.collections[name]).select(F.from_json("value", T.StructType([T.StructField(n, T.StringType()) for n in texts])).alias("d"))
+            found = lines.agg(*[F.coalesce(F.every(F.col(q).rlike(f"^{_MOMENT}$")), F.lit(False)).alias(f"m{i}") for i, q in enumerate(quoted)]).first()
+            types |= {n: T.TimestampType() for n, moment in zip(texts, found) if moment}
+        scalar = (T.BooleanType, T.LongType, T.DoubleType, T.TimestampType)
+        place = {n: i for i, n in enumerate(seen)}
+        names = sorted(types, key=lambda n: (n != "_id", place.get(n, len(place)) if self.order == "seen" else 0, n))
+        return [Column(n, t := types[n] if isinstance(types[n], scalar) else T.StringType(), kind_of(t)) for n in names]
 
     def _declared(self, directory: str) -> dict[str, Table]:
         path = f"{directory.rstrip('/')}/{CATALOG}"
@@ -128,7 +147,10 @@ class DocumentProvider(Provider):
                 cells.append(F.expr(f"try_to_binary(d.`{c.name}`, 'base64')").alias(c.name))
             else:
                 cells.append((cell if isinstance(c.type, T.StringType) else cell.try_cast(c.type)).alias(c.name))
-        return parsed.where(F.col("d").isNotNull() & F.col(f"d.{broken}").isNull()).select(*cells)
+        whole = F.col("d").isNotNull() & F.col(f"d.{broken}").isNull()
+        if self.strict:
+            whole = F.when(whole, True).otherwise(F.raise_error(F.lit(f"{t.name} has a line that is no document")).cast("boolean"))
+        return parsed.where(whole).select(*cells)
 
 
 def mapping_table(name: str, mapping: dict[str, str], key: list[str] | None = None, database: str = "main") -> Table:
