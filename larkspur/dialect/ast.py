@@ -129,8 +129,11 @@ class Case(Node):
 
 @dataclass
 class Cast(Node):
+    """style: of CONVERT."""
+
     arg: Node
     type: "TypeName"
+    style: Node | None = None
 
 
 @dataclass
@@ -208,6 +211,7 @@ class Select(Node):
     group: list[Node] = field(default_factory=list)
     grouping: str | None = None
     having: Node | None = None
+    into: list[str] | None = None
 
 
 @dataclass
@@ -235,6 +239,7 @@ class Query(Node):
     offset: Node | None = None
     fetch: Node | None = None
     text: str = ""
+    recursion: int | None = None
 
 
 @dataclass
@@ -250,12 +255,39 @@ class Update(Node):
     table: list[str]
     sets: list[tuple[str, Node]]
     where: Node | None
+    source: Node | None = None
 
 
 @dataclass
 class Delete(Node):
     table: list[str]
     where: Node | None
+    source: Node | None = None
+
+
+@dataclass
+class When(Node):
+    """A clause of MERGE. on: matched, target (a row that the target lacks) or source (one that the source lacks). test: its AND.
+    sets: of an update; columns and values: of an insert; none of them: a delete."""
+
+    on: str
+    test: Node | None
+    sets: list[tuple[str, Node]] | None = None
+    columns: list[str] | None = None
+    values: list[Node] | None = None
+
+
+@dataclass
+class Merge(Node):
+    target: TableRef
+    source: Node
+    on: Node
+    clauses: list[When]
+
+
+@dataclass
+class Truncate(Node):
+    table: list[str]
 
 
 @dataclass

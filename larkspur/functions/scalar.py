@@ -145,6 +145,8 @@ SCALAR: dict[str, tuple[int, int | None, Callable]] = {
     "DATEPART": (2, 2, _datepart), "DATEADD": (3, 3, _dateadd), "DATEDIFF": (3, 3, _datediff),
     "DATEFROMPARTS": (3, 3, lambda a, c: (f"make_date({', '.join(integer(x[0]) for x in a)})", "date")), "EOMONTH": (1, 1, lambda a, c: (f"last_day({a[0][0]})", "date")),
     "IIF": (3, 3, lambda a, c: (f"if({a[0][0]}, {a[1][0]}, {a[2][0]})", a[1][1])), "CHOOSE": (2, None, _choose),
+    "NEWID": (0, 0, lambda a, c: ("uuid()", "str")), "JSON_VALUE": (2, 2, lambda a, c: (f"get_json_object({text(a[0])}, {text(a[1])})", "str")),
+    "GROUPING": (1, 1, lambda a, c: (f"cast(grouping({a[0][0]}) as bigint)", "int")), "GROUPING_ID": (0, None, lambda a, c: (f"grouping_id({', '.join(x[0] for x in a)})", "int")),
     "GREATEST": (2, None, _first_kind("greatest")), "LEAST": (2, None, _first_kind("least")),
 }
 

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from larkspur.catalog.model import Column, ForeignKey, Table, kind_of
 from larkspur.session import Session
-from larkspur.sources.document import DocumentProvider, declared_type
+from larkspur.sources.document import DocumentProvider, declared_type, mapping_table
 from larkspur.sources.memory import MemoryProvider
 from larkspur.sources.parquet import ParquetProvider
+from larkspur.sources.provider import Unsupported
 
 NAMES = "region nation customer supplier part orders lineitem events".split()
 KEYS = {"region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"], "part": ["p_partkey"], "orders": ["o_orderkey"], "events": ["event_id"]}
@@ -103,7 +104,7 @@ SAME: dict[str, str] = {
     "exists_uncorrelated": "SELECT r_name FROM region WHERE EXISTS (SELECT 1 FROM orders WHERE o_totalprice > 1000)",
     "exists_correlated": "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P')",
     "not_exists_correlated": "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 250000)",
-    "not_in_nulls": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT NULLIF(o_custkey, 7) FROM orders WHERE o_totalprice > 250000)",
+    "not_in_nulls": "SELECT c_custkey, 'a' AS kept FROM customer WHERE c_custkey NOT IN (SELECT NULLIF(o_custkey, o_custkey) FROM orders) UNION ALL SELECT c_custkey, 'b' FROM customer WHERE NULLIF(c_custkey, 1) NOT IN (SELECT NULLIF(o_custkey, 7) FROM orders WHERE o_custkey > 7 AND o_totalprice > 250000) UNION ALL SELECT c_custkey, 'c' FROM customer WHERE NULLIF(c_custkey, 1) NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey < 0)",
     "in_correlated": "SELECT c_custkey FROM customer c WHERE c.c_nationkey IN (SELECT s_nationkey FROM supplier s WHERE s.s_acctbal > c.c_acctbal)",
     "scalar_subquery": "SELECT o_orderkey FROM orders WHERE o_totalprice = (SELECT MAX(o_totalprice) FROM orders)",
     "scalar_correlated": "SELECT n.n_name, (SELECT COUNT(*) FROM customer c WHERE c.c_nationkey = n.n_nationkey) AS customers FROM nation n",
@@ -261,19 +262,19 @@ def _collection(spark: SparkSession, sf_dir: str) -> str:
 
     from larkspur.session import _root
 
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 1000")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
     doc = F.struct(
         F.col("event_id").alias("id"), F.col("user_id").alias("user"), "event_type", "value",
-        F.when(F.col("event_id") % 2 == 0, F.col("event_id") * 2).alias("even"), F.struct(F.col("event_id").alias("e"), F.col("event_type").alias("t")).alias("nested"),
+        F.when(F.col("event_id") % 2 == 0, F.col("event_id") * 2).alias("even"), F.when(F.col("event_id") % 1000 == 999, "late").alias("late"), F.struct(F.col("event_id").alias("e"), F.col("event_type").alias("t")).alias("nested"),
     )
     path = f"{_root(spark)}/events-{uuid.uuid4().hex}"
     events.select(F.to_json(doc).alias("value")).write.text(path)
     return path
 
 
-_DOCUMENTS = "SELECT id, user, event_type, value, even, nested FROM events"
-_DOCUMENTS_ORACLE = """SELECT event_id AS id, user_id AS "user", event_type, value, CASE WHEN event_id % 2 = 0 THEN event_id * 2 END AS even,
-    '{"e":' || event_id || ',"t":"' || event_type || '"}' AS nested FROM events WHERE event_id < 1000"""
+_DOCUMENTS = "SELECT id, user, event_type, value, even, late, nested FROM events"
+_DOCUMENTS_ORACLE = """SELECT event_id AS id, user_id AS "user", event_type, value, CASE WHEN event_id % 2 = 0 THEN event_id * 2 END AS even, CASE WHEN event_id % 1000 = 999 THEN 'late' END AS late,
+    '{"e":' || event_id || ',"t":"' || event_type || '"}' AS nested FROM events"""
 
 
 def src_doc_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,14 +283,14 @@ def src_doc_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def src_doc_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _collection(spark, sf_dir)
-    columns = [{"name": n, "type": t} for n, t in (("id", "bigint"), ("user", "bigint"), ("event_type", "varchar"), ("value", "float"), ("even", "bigint"), ("nested", "varchar"))]
+    columns = [{"name": n, "type": t} for n, t in (("id", "bigint"), ("user", "bigint"), ("event_type", "varchar"), ("value", "float"), ("even", "bigint"), ("late", "varchar"), ("nested", "varchar"))]
     entry = {"table": "events", "foreign_keys": [], "columns": columns, "primary_key": ["id"]}
     spark.createDataFrame([(json.dumps(entry),)], "value string").coalesce(1).write.text(f"{path}-catalog/_catalog.json")
     return Session(spark, [DocumentProvider(spark, {"events": path}, "declared", f"{path}-catalog")]).sql(_DOCUMENTS.replace("user", "[user]"))
 
 
 def src_doc_static(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = (("id", "bigint"), ("user", "bigint"), ("event_type", "varchar"), ("value", "float"), ("even", "bigint"), ("nested", "varchar"))
+    names = (("id", "bigint"), ("user", "bigint"), ("event_type", "varchar"), ("value", "float"), ("even", "bigint"), ("late", "varchar"), ("nested", "varchar"))
     table = Table("events", [Column(n, t := declared_type(k), kind_of(t)) for n, k in names], ["id"])
     return Session(spark, [DocumentProvider(spark, {"events": _collection(spark, sf_dir)}, "static", tables=[table])]).sql(_DOCUMENTS.replace("user", "[user]"))
 
@@ -299,9 +300,167 @@ def compat_not(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session(spark, sf_dir, compat=True).sql(f"SELECT o_orderkey, UPPER(st) AS u, LEN(st) AS n FROM {_NULLS} WHERE NOT st = 'F' AND k NOT IN (1, 2)")
 
 
+#: What earlier names leave out: (statement, DuckDB's SQL).
+PAIRS |= {
+    "star_qualified": ("SELECT n.*, r.r_name FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey", "SELECT n.*, r.r_name FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey"),
+    "naming_columns": ("SELECT n.n_name, n_nationkey + 1 FROM nation n", "SELECT n_name, n_nationkey + 1 AS expr_2 FROM nation"),
+    "naming_aggregates": ("SELECT COUNT(*), SUM(p_size), MAX(p_retailprice) FROM part", 'SELECT COUNT(*) AS "count", CAST(SUM(p_size) AS DOUBLE) AS agg, MAX(p_retailprice) AS p_retailprice FROM part'),
+    "null_in_expressions": ("SELECT n_nationkey, NULL AS x, CASE WHEN n_regionkey = 1 THEN NULL ELSE n_name END AS y, n_nationkey + NULL AS z FROM nation", "SELECT n_nationkey, NULL AS x, CASE WHEN n_regionkey = 1 THEN NULL ELSE n_name END AS y, CAST(NULL AS BIGINT) AS z FROM nation"),
+    "join_semi_keys": ("SELECT o.o_orderkey, c.c_name FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_custkey WHERE o.o_totalprice > 200000", "SELECT o.o_orderkey, c.c_name FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_custkey WHERE o.o_totalprice > 200000"),
+    "semi_anti": ("SELECT s_suppkey, 'semi' AS k FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) UNION ALL SELECT s_suppkey, 'anti' FROM supplier WHERE NOT s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) UNION ALL SELECT s_suppkey, 'none' FROM supplier s WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_nationkey = s.s_nationkey AND c.c_acctbal > 9500)",
+        "SELECT s_suppkey, CASE WHEN n_regionkey = 1 THEN 'semi' ELSE 'anti' END AS k FROM supplier JOIN nation ON n_nationkey = s_nationkey UNION ALL SELECT s_suppkey, 'none' FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9500)"),
+    "join_null_keys": (f"SELECT a.o_orderkey AS x, b.n_name AS y FROM {_NULLS.replace(' AS x', ' AS a')} LEFT JOIN (SELECT NULLIF(n_nationkey, 5) AS k, n_name FROM nation) b ON a.k = b.k", "SELECT o_orderkey AS x, n_name AS y FROM (SELECT o_orderkey, NULLIF(o_custkey % 10, 3) AS k FROM orders) a LEFT JOIN (SELECT NULLIF(n_nationkey, 5) AS k, n_name FROM nation) b ON a.k = b.k"),
+    "join_comma_cross_apply": ("SELECT r.r_name, t.n_name FROM region r, nation n CROSS APPLY (SELECT UPPER(n.n_name) AS n_name) t WHERE n.n_regionkey = r.r_regionkey", "SELECT r_name, upper(n_name) AS n_name FROM region JOIN nation ON n_regionkey = r_regionkey"),
+    "agg_sum_nothing": (f"SELECT k, SUM(NULLIF(o_orderkey, o_orderkey)) AS s FROM {_NULLS} GROUP BY k", "SELECT DISTINCT NULLIF(o_custkey % 10, 3) AS k, CAST(NULL AS DOUBLE) AS s FROM orders"),
+    "agg_first_row": ("SELECT o_orderstatus, MIN(o_orderkey) AS first_key, COUNT(*) AS n FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, MIN(o_orderkey) AS first_key, COUNT(*) AS n FROM orders GROUP BY o_orderstatus"),
+    "agg_distinct": ("SELECT DISTINCT COUNT(*) AS n FROM orders GROUP BY o_custkey", "SELECT DISTINCT COUNT(*) AS n FROM orders GROUP BY o_custkey"),
+    "group_by_exact_keys": ("SELECT a, b, COUNT(*) AS n FROM (SELECT 'a b' AS a, 'c' AS b UNION ALL SELECT 'a', 'b c' UNION ALL SELECT 'a', 'b c') t GROUP BY a, b", "SELECT * FROM (VALUES ('a b', 'c', 1), ('a', 'b c', 2)) t(a, b, n)"),
+    "group_by_expression": ("SELECT YEAR(o_orderdate) AS y, MONTH(o_orderdate) AS m, COUNT(*) AS n FROM orders GROUP BY YEAR(o_orderdate), MONTH(o_orderdate)", "SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, COUNT(*) AS n FROM orders GROUP BY ALL"),
+    "grouping_cube": ("SELECT o_orderstatus, o_orderpriority, GROUPING(o_orderstatus) AS g, COUNT(*) AS n FROM orders GROUP BY CUBE(o_orderstatus, o_orderpriority)", "SELECT o_orderstatus, o_orderpriority, GROUPING(o_orderstatus) AS g, COUNT(*) AS n FROM orders GROUP BY CUBE(o_orderstatus, o_orderpriority)"),
+    "agg_string": ("SELECT n_regionkey, STRING_AGG(n_name, ', ') WITHIN GROUP (ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ', ' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey"),
+    "agg_spread": ("SELECT p_brand, ROUND(STDEV(p_size), 6) AS a, ROUND(VARP(p_size), 6) AS b FROM part GROUP BY p_brand", "SELECT p_brand, ROUND(stddev_samp(p_size), 6) AS a, ROUND(var_pop(p_size), 6) AS b FROM part GROUP BY p_brand"),
+    "order_by_alias": ("SELECT TOP 9 c_custkey AS k, c_acctbal * -1 AS owed FROM customer ORDER BY owed DESC, k", "SELECT c_custkey AS k, c_acctbal * -1 AS owed FROM customer ORDER BY owed DESC, k LIMIT 9"),
+    "order_nulls": (f"SELECT TOP 40 o_orderkey, k FROM {_NULLS} ORDER BY k, o_orderkey", f"SELECT o_orderkey, k FROM {_NULLS} ORDER BY k NULLS FIRST, o_orderkey LIMIT 40"),
+    "order_nulls_desc": (f"SELECT o_orderkey, k FROM {_NULLS} WHERE o_orderkey < 400 ORDER BY k DESC, o_orderkey OFFSET 5 ROWS FETCH NEXT 300 ROWS ONLY", f"SELECT o_orderkey, k FROM {_NULLS} WHERE o_orderkey < 400 ORDER BY k DESC NULLS LAST, o_orderkey LIMIT 300 OFFSET 5"),
+    "top_zero": ("SELECT TOP 0 n_name FROM nation UNION ALL SELECT r_name FROM region", "SELECT r_name AS n_name FROM region"),
+    "top_ties_many": ("SELECT TOP 30 WITH TIES o_orderpriority, o_orderstatus FROM orders ORDER BY o_orderpriority DESC, o_orderstatus", "SELECT o_orderpriority, o_orderstatus FROM orders QUALIFY rank() OVER (ORDER BY o_orderpriority DESC, o_orderstatus) <= 30"),
+    "top_ties_nulls": (f"SELECT TOP 3 WITH TIES o_orderkey, k FROM {_NULLS} ORDER BY k", f"SELECT o_orderkey, k FROM {_NULLS} QUALIFY rank() OVER (ORDER BY k NULLS FIRST) <= 3"),
+    "intersect_first": ("SELECT n_regionkey AS k FROM nation WHERE n_nationkey > 20 UNION SELECT r_regionkey + 90 FROM region INTERSECT SELECT c_custkey FROM customer", "SELECT n_regionkey AS k FROM nation WHERE n_nationkey > 20 UNION (SELECT r_regionkey + 90 FROM region INTERSECT SELECT c_custkey FROM customer)"),
+    "set_op_left_to_right": ("SELECT n_nationkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region EXCEPT SELECT r_regionkey FROM region WHERE r_regionkey > 2", "(SELECT n_nationkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region) EXCEPT SELECT r_regionkey FROM region WHERE r_regionkey > 2"),
+    "intersect_all": ("SELECT n_regionkey AS k FROM nation INTERSECT ALL SELECT o_custkey % 7 FROM orders WHERE o_orderkey < 30", "SELECT n_regionkey AS k FROM nation INTERSECT ALL SELECT o_custkey % 7 FROM orders WHERE o_orderkey < 30"),
+    "except_all": ("SELECT n_regionkey AS k FROM nation EXCEPT ALL SELECT r_regionkey FROM region", "SELECT n_regionkey AS k FROM nation EXCEPT ALL SELECT r_regionkey FROM region"),
+    "union_types": ("SELECT n_nationkey AS k FROM nation UNION ALL SELECT c_acctbal FROM customer WHERE c_custkey < 20", "SELECT CAST(n_nationkey AS DOUBLE) AS k FROM nation UNION ALL SELECT c_acctbal FROM customer WHERE c_custkey < 20"),
+    "correlated_unqualified": ("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000 + c_acctbal)", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000 + c_acctbal)"),
+    "subquery_having": ("SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey HAVING COUNT(*) > (SELECT AVG(m) FROM (SELECT COUNT(*) AS m FROM orders GROUP BY o_custkey) t)", "SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey HAVING COUNT(*) > (SELECT AVG(m) FROM (SELECT COUNT(*) AS m FROM orders GROUP BY o_custkey) t)"),
+    "subquery_on": ("SELECT n.n_name, r.r_name FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey AND n.n_nationkey > (SELECT AVG(n_nationkey) FROM nation)", "SELECT n.n_name, r.r_name FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey AND n.n_nationkey > (SELECT AVG(n_nationkey) FROM nation)"),
+    "subquery_order": ("SELECT TOP 5 n_name FROM nation n ORDER BY (SELECT COUNT(*) FROM customer) - n_nationkey", "SELECT n_name FROM nation ORDER BY n_nationkey DESC LIMIT 5"),
+    "union_in_subqueries": ("SELECT t.k, (SELECT MAX(m) FROM (SELECT r_regionkey AS m FROM region UNION SELECT n_nationkey FROM nation) u) AS most FROM (SELECT n_nationkey AS k FROM nation UNION SELECT r_regionkey + 100 FROM region) t WHERE t.k IN (SELECT r_regionkey FROM region UNION ALL SELECT n_nationkey + 80 FROM nation)",
+        "SELECT k, 24 AS most FROM (SELECT n_nationkey AS k FROM nation UNION SELECT r_regionkey + 100 FROM region) t WHERE k IN (SELECT r_regionkey FROM region UNION ALL SELECT n_nationkey + 80 FROM nation)"),
+    "quantified": ("SELECT p_partkey FROM part WHERE p_size >= ALL (SELECT p_size FROM part) OR p_retailprice = ANY (SELECT MIN(p_retailprice) FROM part)", "SELECT p_partkey FROM part WHERE p_size >= ALL (SELECT p_size FROM part) OR p_retailprice = ANY (SELECT MIN(p_retailprice) FROM part)"),
+    "precedence": ("SELECT n_nationkey, 2 + 3 * n_nationkey - 8 / 4 % 3 AS a, -(n_nationkey - 1) * 2 AS b, 10 - 4 - 3 AS c FROM nation WHERE NOT n_regionkey = 1 AND n_nationkey > 3 OR n_nationkey = 1", "SELECT n_nationkey, 2 + 3 * n_nationkey - 2 AS a, -(n_nationkey - 1) * 2 AS b, 3 AS c FROM nation WHERE (NOT n_regionkey = 1 AND n_nationkey > 3) OR n_nationkey = 1"),
+    "calls_nested": ("SELECT n_name, LEN(REPLACE(UPPER(SUBSTRING(n_name, 1, 6)), 'A', '')) AS n, COALESCE(NULLIF(LOWER(n_name), 'france'), CONCAT('<', n_name, '>')) AS s FROM nation", "SELECT n_name, length(replace(upper(substring(n_name, 1, 6)), 'A', '')) AS n, coalesce(NULLIF(lower(n_name), 'france'), '<' || n_name || '>') AS s FROM nation"),
+    "fn_has_dbaccess": ("SELECT n_nationkey, HAS_DBACCESS(n_name) AS h FROM nation", "SELECT n_nationkey, 1 AS h FROM nation"),
+    "fn_schema": ("SELECT SCHEMA_NAME() AS a, SCHEMA_NAME(7) AS b, SCHEMA_ID('dbo') AS c", "SELECT 'dbo' AS a, 'dbo' AS b, 1 AS c"),
+    "fn_serverproperty": ("SELECT SERVERPROPERTY('ProductVersion') AS v, SERVERPROPERTY('EngineEdition') AS e, SERVERPROPERTY('Collation') AS c, SERVERPROPERTY('nope') AS n", "SELECT '16.0.1000.6' AS v, 3 AS e, 'SQL_Latin1_General_CP1_CI_AS' AS c, '' AS n"),
+    "convert_styles": ("SELECT o_orderkey, CONVERT(VARCHAR(10), o_orderdate, 112) AS a, CONVERT(VARCHAR(10), o_orderdate, 103) AS b, CONVERT(VARCHAR(30), o_orderdate, 120) AS c, CONVERT(DATE, '31.12.1999', 104) AS d FROM orders", "SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d') AS a, strftime(o_orderdate, '%d/%m/%Y') AS b, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS c, DATE '1999-12-31' AS d FROM orders"),
+    "like_sets": ("SELECT n_name FROM nation WHERE n_name LIKE '[a-f]%' OR n_name LIKE '%[^a-z]%' OR n_name LIKE '_[r]%[np]'", "SELECT n_name FROM nation WHERE regexp_matches(n_name, '(?i)^[a-f].*$') OR regexp_matches(n_name, '(?i)^.*[^a-z].*$') OR regexp_matches(n_name, '(?i)^.[r].*[np]$')"),
+    "cte_max_recursion": ("WITH upto AS (SELECT 1 AS n UNION ALL SELECT 1 + n FROM upto WHERE n < 400) SELECT COUNT(*) AS c, MAX(n) AS m FROM upto OPTION (MAXRECURSION 500)", "SELECT 400 AS c, 400 AS m"),
+    "set_options": ("SET NOCOUNT ON; SET ANSI_NULLS, QUOTED_IDENTIFIER ON; SET TRANSACTION ISOLATION LEVEL READ COMMITTED; SELECT r_name FROM region", "SELECT r_name FROM region"),
+    "sp_unknown": ("EXEC sp_who2; SELECT r_name FROM region", "SELECT r_name FROM region"),
+    "catalog_scope": ("USE other; SELECT t.name AS t, d.name AS d FROM sys.tables t CROSS JOIN sys.databases d WHERE d.database_id > 4 UNION ALL SELECT TABLE_NAME, 'main' FROM main.INFORMATION_SCHEMA.TABLES WHERE TABLE_NAME LIKE 'n%'", "SELECT 'customer' AS t, unnest(['main', 'other']) AS d UNION ALL SELECT 'nation', 'main'"),
+    "proc_body": ("CREATE PROC two @least INT AS DECLARE @m INT; SET @m = @least + 1; SELECT n_name FROM nation WHERE n_nationkey > @m\nGO\nEXEC two 20", "SELECT n_name FROM nation WHERE n_nationkey > 21"),
+    "view_columns": ("CREATE VIEW v(a, b) AS SELECT n_nationkey, n_name FROM nation; ALTER VIEW v(a, b) AS SELECT n_nationkey + 1, n_name FROM nation WHERE n_regionkey = 2; SELECT a, b FROM v", "SELECT n_nationkey + 1 AS a, n_name AS b FROM nation WHERE n_regionkey = 2"),
+    "dml_rows_affected": ("DELETE FROM nation WHERE n_regionkey = 2; SELECT @@ROWCOUNT AS n", "SELECT COUNT(*) AS n FROM nation WHERE n_regionkey = 2"),
+    "dml_mixed_types": ("DELETE FROM nation WHERE n_nationkey = '3'; UPDATE nation SET n_regionkey = '7' WHERE n_name = 5 OR n_nationkey < 2; SELECT * FROM nation", "SELECT n_nationkey, n_name, CASE WHEN n_nationkey < 2 THEN 7 ELSE n_regionkey END AS n_regionkey FROM nation WHERE n_nationkey <> 3"),
+    "dml_update_from": ("UPDATE n SET n_name = r.r_name + '/' + n.n_name FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey WHERE r.r_regionkey > 2; SELECT * FROM nation", "SELECT n_nationkey, CASE WHEN r_regionkey > 2 THEN r_name || '/' || n_name ELSE n_name END AS n_name, n_regionkey FROM nation JOIN region ON r_regionkey = n_regionkey"),
+    "dml_update_subquery": ("UPDATE region SET r_name = (SELECT MAX(n_name) FROM nation WHERE n_regionkey = r_regionkey) WHERE r_regionkey IN (SELECT n_regionkey FROM nation WHERE n_nationkey < 3); SELECT * FROM region", "SELECT r_regionkey, CASE WHEN r_regionkey IN (SELECT n_regionkey FROM nation WHERE n_nationkey < 3) THEN (SELECT MAX(n_name) FROM nation WHERE n_regionkey = r_regionkey) ELSE r_name END AS r_name FROM region"),
+    "dml_delete_from": ("DELETE FROM customer FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey WHERE n.n_regionkey = 1; DELETE FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000); SELECT c_custkey, c_name FROM customer", "SELECT c_custkey, c_name FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey <> 1 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000)"),
+    "dml_merge": ("MERGE INTO region AS t USING (SELECT n_nationkey AS k, n_name AS v FROM nation WHERE n_nationkey > 1 AND n_nationkey < 9) AS s ON t.r_regionkey = s.k WHEN MATCHED AND s.k = 2 THEN DELETE WHEN MATCHED THEN UPDATE SET r_name = s.v + '!' WHEN NOT MATCHED AND s.k <> 7 THEN INSERT (r_regionkey, r_name) VALUES (s.k, s.v) WHEN NOT MATCHED BY SOURCE AND t.r_regionkey = 0 THEN UPDATE SET r_name = 'none'; SELECT * FROM region",
+        "SELECT r_regionkey, CASE WHEN r_regionkey = 0 THEN 'none' WHEN r_regionkey = 1 THEN r_name ELSE (SELECT n_name || '!' FROM nation WHERE n_nationkey = r_regionkey) END AS r_name FROM region WHERE r_regionkey <> 2 UNION ALL SELECT n_nationkey, n_name FROM nation WHERE n_nationkey IN (5, 6, 8)"),
+    "select_into": ("SELECT c_nationkey, COUNT(*) AS n INTO counted FROM customer GROUP BY c_nationkey; INSERT INTO counted VALUES (99, 0); SELECT * FROM counted", "SELECT c_nationkey, COUNT(*) AS n FROM customer GROUP BY c_nationkey UNION ALL SELECT 99, 0"),
+    "truncate": ("TRUNCATE TABLE region; INSERT INTO region VALUES (7, 'new'); SELECT * FROM region", "SELECT 7 AS r_regionkey, 'new' AS r_name"),
+    "window_value": ("SELECT event_id, FIRST_VALUE(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS f, NTILE(4) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS q, SUM(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM events", "SELECT event_id, first_value(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS f, ntile(4) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS q, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM events"),
+}
+
+
+class _Thick(ParquetProvider):
+    """A source that answers by itself: whole statements, or aggregates alone. What it answers bears its mark."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, full: bool):
+        super().__init__(spark, sf_dir, NAMES)
+        self.full_query, self.aggregates, self.writable = full, not full, False
+
+    def query(self, spark: SparkSession, database: str, sql: str) -> DataFrame:
+        for n in self.names:
+            self.scan(spark, database, n).createOrReplaceTempView(n)
+        return spark.sql(sql).withColumn("by", F.lit("source"))
+
+    aggregate = query
+
+
+def src_full_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Session(spark, [_Thick(spark, sf_dir, True)]).sql("SELECT n_name, r_name FROM nation JOIN region ON r_regionkey = n_regionkey")
+
+
+def src_aggregate_pushdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The aggregate goes to the source; the join doesn't."""
+    s = Session(spark, [_Thick(spark, sf_dir, False)])
+    pushed = s.sql("SELECT o_orderstatus AS k, COUNT(*) AS n FROM orders GROUP BY o_orderstatus")
+    scanned = s.sql("SELECT r.r_name AS k, COUNT(*) AS n FROM region r JOIN nation n ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name")
+    return pushed.unionByName(scanned.withColumn("by", F.lit("engine")))
+
+
+def src_read_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a source that can't be written says, beside what it still answers."""
+    s = Session(spark, [_Thick(spark, sf_dir, True)])
+    try:
+        s.execute("DELETE FROM region")
+        said = "written"
+    except Unsupported:
+        said = "refused"
+    return s.sql("SELECT r_name FROM region").select("r_name", F.lit(said).alias("said"))
+
+
+def src_search_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search index: columns by name, no cap on documents."""
+    return Session(spark, [DocumentProvider(spark, {"events": _collection(spark, sf_dir)}, order="name")]).sql("SELECT id, event_type, late FROM events WHERE value > 0")
+
+
+def src_search_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search index with a declared mapping and key."""
+    table = mapping_table("events", {"id": "long", "event_type": "keyword", "value": "half_float", "nested": "object"}, ["id"])
+    s = Session(spark, [DocumentProvider(spark, {"events": _collection(spark, sf_dir)}, "static", tables=[table])])
+    return s.sql("SELECT _id, id, event_type, value, nested FROM events WHERE id < 5000")
+
+
+def src_databases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of several databases, and what each says of its tables."""
+    p = MemoryProvider("mem").add("pets", "id bigint, name string", [(1, "rex")], ["id"])
+    s = Session(spark, [_provider(spark, sf_dir), _provider(spark, sf_dir, "other", ["customer"]), p])
+    return s.sql("SELECT TABLE_CATALOG AS d, TABLE_NAME AS t FROM mem.INFORMATION_SCHEMA.TABLES UNION ALL SELECT TABLE_CATALOG, TABLE_NAME FROM other.INFORMATION_SCHEMA.TABLES UNION ALL SELECT name, name FROM mem.sys.databases WHERE database_id > 4")
+
+
+def src_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV, ORC and JSON files beside Parquet."""
+    import uuid
+
+    from larkspur.session import _root
+    from larkspur.sources.files import FileProvider
+
+    nation, root = spark.read.parquet(f"{sf_dir}/nation.parquet"), f"{_root(spark)}/{uuid.uuid4().hex}"
+    nation.write.option("header", True).csv(f"{root}/csv")
+    nation.write.orc(f"{root}/orc")
+    nation.write.json(f"{root}/json")
+    p = FileProvider(spark, {"c": ("csv", f"{root}/csv", nation.schema), "o": ("orc", f"{root}/orc"), "j": ("json", f"{root}/json"), "p": ("parquet", f"{sf_dir}/nation.parquet")}, "files")
+    return Session(spark, [p]).sql("SELECT c.n_nationkey, c.n_name AS a, o.n_name AS b, j.n_name AS d, p.n_regionkey FROM c JOIN o ON o.n_nationkey = c.n_nationkey JOIN j ON j.n_nationkey = c.n_nationkey JOIN p ON p.n_nationkey = c.n_nationkey WHERE c.n_regionkey > 1")
+
+
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream with a watermark, in tumbling windows of a day: what has been written when all of it is read."""
+    import uuid
+
+    from larkspur.session import _root
+    from larkspur.streaming.views import add_stream, start
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    root = f"{_root(spark)}/{uuid.uuid4().hex}"
+    events.write.parquet(f"{root}/in")
+    s = Session(spark, [_provider(spark, sf_dir)])
+    add_stream(s, "arriving", spark.readStream.schema(events.schema).parquet(f"{root}/in"), "ts", "1 hour", window="1 day")
+    start(s, "SELECT window, event_type, COUNT(*) AS n FROM arriving GROUP BY window, event_type", f"{root}/out", f"{root}/state").awaitTermination()
+    # Windows that the watermark hasn't passed aren't final yet.
+    return spark.read.parquet(f"{root}/out").select(F.col("window.start").alias("day"), "event_type", "n")
+
+
+def agg_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sum of nothing, and NULLs that a list of a subquery holds, read the two-valued way."""
+    return session(spark, sf_dir, compat=True).sql("SELECT n_regionkey, SUM(NULLIF(n_nationkey, n_nationkey)) AS s FROM nation WHERE n_nationkey NOT IN (SELECT NULLIF(r_regionkey, 1) FROM region) GROUP BY n_regionkey")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{k: _statement(v) for k, v in SAME.items()}, **{k: _statement(v[0]) for k, v in PAIRS.items()},
-    **{f.__name__: f for f in (sp_columns, params_bound, udf_scalar, fn_getdate, src_memory, src_doc_inferred, src_doc_declared, src_doc_static, compat_not)},
+    **{f.__name__: f for f in (sp_columns, params_bound, udf_scalar, fn_getdate, src_memory, src_doc_inferred, src_doc_declared, src_doc_static, compat_not,
+        src_full_query, src_aggregate_pushdown, src_read_only, src_search_inferred, src_search_mapping, src_databases, src_formats, stream_windows, agg_compat)},
 }
 
 ORACLES: dict[str, str] = {
@@ -311,5 +470,14 @@ ORACLES: dict[str, str] = {
     "udf_scalar": "SELECT o_orderkey, o_totalprice * 1.5 AS taxed FROM orders WHERE o_orderstatus = 'P'",
     "src_memory": "SELECT * FROM (VALUES (2, 'tom', NULL), (1, 'rex', 3), (3, NULL, 9)) t(id, name, age)",
     **dict.fromkeys(("src_doc_inferred", "src_doc_declared", "src_doc_static"), _DOCUMENTS_ORACLE),
+    "src_full_query": "SELECT n_name, r_name, 'source' AS by FROM nation JOIN region ON r_regionkey = n_regionkey",
+    "src_aggregate_pushdown": "SELECT o_orderstatus AS k, COUNT(*) AS n, 'source' AS by FROM orders GROUP BY 1 UNION ALL SELECT r_name, COUNT(*), 'engine' FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1",
+    "src_read_only": "SELECT r_name, 'refused' AS said FROM region",
+    "src_search_inferred": "SELECT event_id AS id, event_type, CASE WHEN event_id % 1000 = 999 THEN 'late' END AS late FROM events WHERE value > 0",
+    "src_search_mapping": """SELECT CAST(NULL AS VARCHAR) AS _id, event_id AS id, event_type, value, '{"e":' || event_id || ',"t":"' || event_type || '"}' AS nested FROM events WHERE event_id < 5000""",
+    "src_databases": "SELECT * FROM (VALUES ('mem', 'pets'), ('other', 'customer'), ('main', 'main'), ('other', 'other'), ('mem', 'mem')) v(d, t)",
+    "src_formats": "SELECT n_nationkey, n_name AS a, n_name AS b, n_name AS d, n_regionkey FROM nation WHERE n_regionkey > 1",
+    "stream_windows": "SELECT date_trunc('day', ts) AS day, event_type, COUNT(*) AS n FROM events GROUP BY 1, 2 HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT MAX(ts) - INTERVAL 1 HOUR FROM events)",
+    "agg_compat": "SELECT n_regionkey, CAST(0 AS DOUBLE) AS s FROM nation WHERE n_nationkey NOT IN (SELECT r_regionkey FROM region WHERE r_regionkey <> 1) GROUP BY n_regionkey",
     "compat_not": f"SELECT o_orderkey, coalesce(upper(st), '') AS u, coalesce(strlen(st), 0) AS n FROM {_NULLS} WHERE NOT coalesce(st = 'F', false) AND NOT coalesce(k IN (1, 2), false)",
 }

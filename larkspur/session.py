@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import dataclasses
 import datetime
 import decimal
 import uuid
@@ -16,21 +17,20 @@ from pyspark.sql import types as T
 
 from larkspur.catalog import system_views
 from larkspur.catalog.frames import local_frame
-from larkspur.catalog.model import SYSTEM, Table, written
+from larkspur.catalog.model import SYSTEM, Table, columns_of, written
 from larkspur.dialect import ast as A
 from larkspur.dialect.parser import parse
 from larkspur.functions import scalar as FN
 from larkspur.plans.lower import Lowering, Out, Problem, Scope, kind_of, kind_of_name, quote, walk
 from larkspur.routines import Routine, RoutineStore
 from larkspur.sources.provider import Provider, Unsupported
-from larkspur.sources.snapshot import Snapshot, SnapshotStore
+from larkspur.sources.snapshot import GONE, PLACE, Snapshot, SnapshotStore
 
 VERSION = "Larkspur 1.0 (Spark SQL)"
 SERVER = "larkspur"
-LOOPS = 100_000
 
 _PROPERTIES = {
-    "PRODUCTVERSION": "1.0.0.0", "PRODUCTLEVEL": "RTM", "EDITION": "Developer Edition (64-bit)", "ENGINEEDITION": 3,
+    "PRODUCTVERSION": "16.0.1000.6", "PRODUCTLEVEL": "RTM", "EDITION": "Developer Edition (64-bit)", "ENGINEEDITION": 3,
     "COLLATION": "SQL_Latin1_General_CP1_CI_AS", "ISCLUSTERED": 0, "ISINTEGRATEDSECURITYONLY": 0, "SERVERNAME": SERVER,
 }
 
@@ -247,6 +247,8 @@ class Session:
         return Lowering(self, self.variables, **how)
 
     def _on_query(self, q: A.Query) -> Result:
+        if isinstance(q.body, A.Select) and q.body.into:
+            return self._into(q)
         pushed = self._push(q)
         if pushed is not None:
             return Result(pushed)
@@ -309,11 +311,9 @@ class Session:
 
     def _on_while(self, s: A.While) -> Result:
         last = Result()
-        for _ in range(LOOPS):
-            if not self._holds(s.test):
-                return last
+        while self._holds(s.test):
             last = self._run(s.body)
-        raise Problem(f"a loop of more than {LOOPS} rounds")
+        return last
 
     # Writes.
     def _target(self, parts: list[str]) -> tuple[_Database, Table]:
@@ -392,10 +392,130 @@ class Session:
         return Result(affected=n)
 
     def _on_update(self, s: A.Update) -> Result:
-        return self._change(s.table, s.where, s.sets)
+        if s.source is None and not _queries([s.where, *[e for _, e in s.sets]]):
+            return self._change(s.table, s.where, s.sets)
+        return self._change_from(s.table, s.source, s.where, s.sets)
 
     def _on_delete(self, s: A.Delete) -> Result:
-        return self._change(s.table, s.where, None)
+        if s.source is None and not _queries([s.where]):
+            return self._change(s.table, s.where, None)
+        return self._change_from(s.table, s.source, s.where, None)
+
+    def _placed(self, ref: A.TableRef, lowering: Lowering) -> tuple[_Database, Table, Snapshot, DataFrame]:
+        """The target of a statement that joins; lowering is told to read it with the place of each row."""
+        db, table = self._target(ref.parts)
+        snapshot, rows = self.store.placed(self._snapshot(db, table))
+        lowering.instead[id(ref)] = self._register(f"{db.name}_{table.name}_{uuid.uuid4().hex[:8]}_rows", rows, table)
+        return db, table, snapshot, rows
+
+    def _set_columns(self, table: Table, sets: list[tuple[str, A.Node]]) -> list[tuple[str, A.Node]]:
+        for name, _ in sets:
+            if table.column(name) is None:
+                raise Problem(f"{table.name} has no column {name}")
+        return sets
+
+    def _change_from(self, parts: list[str], source: A.Node | None, where: A.Node | None, sets: list[tuple[str, A.Node]] | None) -> Result:
+        """UPDATE and DELETE with FROM, or with subqueries. The target is what FROM calls by this name, else one more table of it. Of several
+        values for a row the least are taken, so that every run gives the same."""
+        refs = [n for n in walk(source) if isinstance(n, A.TableRef)] if source is not None else []
+        named = [n for n in refs if (n.alias or n.parts[-1]).lower() == parts[-1].lower()] or [n for n in refs if [x.lower() for x in n.parts] == [x.lower() for x in parts]]
+        target = named[0] if named else A.TableRef(parts, None)
+        if not named:
+            source = target if source is None else A.Join("CROSS", target, source, None)
+        lowering = self._lower()
+        db, table, snapshot, rows = self._placed(target, lowering)
+        scope, alias = Scope(), quote(target.alias or target.parts[-1])
+        tail = lowering.source(source, scope)
+        values = [f"{lowering.expr(e, scope)[0]} AS c{i}" for i, (_, e) in enumerate(self._set_columns(table, sets or []))]
+        places = [f"{alias}.`{p}`" for p in PLACE]
+        test = f" WHERE {lowering.filter(where, scope)}" if where is not None else ""
+        found = self.spark.sql(f"SELECT {', '.join([*places, *values])} FROM {tail}{test}", args=lowering.args or None)
+        numbers = range(len(values))
+        one = found.groupBy(*PLACE).agg(F.min(F.struct(F.lit(0), *[F.col(f"c{i}") for i in numbers])).alias("v"))
+        changes = one.select(*PLACE, F.lit(sets is None).alias(GONE), *[F.col(f"v.c{i}").alias(f"c{i}") for i in numbers], *[F.lit(True).alias(f"s{i}") for i in numbers])
+        return self._applied(db, table, snapshot, rows, changes, [n for n, _ in sets or []])
+
+    def _applied(self, db: _Database, table: Table, snapshot: Snapshot, rows: DataFrame, changes: DataFrame, sets: list[str], added: DataFrame | None = None) -> Result:
+        snapshot, n = self.store.apply(snapshot, rows, changes, sets, added)
+        if n:
+            self._commit(db, table.name, snapshot)
+        return Result(affected=n)
+
+    def _on_merge(self, s: A.Merge) -> Result:
+        """MERGE: of the clauses of a kind the first whose condition holds. A target row that several source rows would change is an
+        error, as nothing says which of them is meant."""
+        lowering = self._lower()
+        db, table, snapshot, rows = self._placed(s.target, lowering)
+        scope, alias = Scope(), quote(s.target.alias or s.target.parts[-1])
+        target, source = lowering.source(s.target, scope), lowering.source(s.source, scope)
+        on = lowering.test(s.on, scope)
+        sets: list[str] = []
+        for c in s.clauses:
+            for name, _ in self._set_columns(table, c.sets or []):
+                if name.lower() not in [x.lower() for x in sets]:
+                    sets.append(name)
+
+        def cases(kind: str) -> tuple[str, list[A.When]]:
+            own = [c for c in s.clauses if c.on == kind]
+            whens = " ".join(f"WHEN {lowering.test(c.test, scope) if c.test is not None else 'true'} THEN {i}" for i, c in enumerate(own))
+            return (f"CASE {whens} END" if own else "cast(NULL as int)"), own
+
+        parts = []
+        for kind, tail in (("matched", f"{target} JOIN {source} ON {on}"), ("source", f"{target} LEFT ANTI JOIN {source} ON {on}")):
+            which, own = cases(kind)
+            if not own:
+                continue
+            columns = [f"{alias}.`{p}`" for p in PLACE]
+            columns.append(f"CASE {which} " + " ".join(f"WHEN {i} THEN {'false' if c.sets is not None else 'true'}" for i, c in enumerate(own)) + f" END AS `{GONE}`")
+            for k, name in enumerate(sets):
+                given = [(i, e) for i, c in enumerate(own) for n, e in c.sets or [] if n.lower() == name.lower()]
+                kind_ = table.column(name).type.simpleString()
+                value = f"CASE {which} " + " ".join(f"WHEN {i} THEN CAST({lowering.expr(e, scope)[0]} AS {kind_})" for i, e in given) + " END" if given else f"CAST(NULL AS {kind_})"
+                columns += [f"{value} AS c{k}", (f"coalesce({which} IN ({', '.join(str(i) for i, _ in given)}), false)" if given else "false") + f" AS s{k}"]
+            parts.append(f"SELECT {', '.join(columns)} FROM {tail} WHERE {which} IS NOT NULL")
+        nothing = f"SELECT {', '.join(f'{alias}.`{p}`' for p in PLACE)}, true AS `{GONE}`" + "".join(f", CAST(NULL AS {table.column(n).type.simpleString()}) AS c{k}, false AS s{k}" for k, n in enumerate(sets)) + f" FROM {target} WHERE false"
+        changes = self.spark.sql(" UNION ALL ".join(parts) or nothing, args=lowering.args or None)
+        twice = F.count(F.lit(1)) > 1
+        rest = [c for c in changes.columns if c not in PLACE]
+        changes = changes.groupBy(*PLACE).agg(F.when(twice, F.raise_error(F.lit("MERGE would change a row more than once"))).otherwise(F.first(F.struct(*rest))).alias("v")).select(*PLACE, "v.*")
+
+        added = None
+        which, own = cases("target")
+        if own:
+            picked = lambda cells, i: f"SELECT {cells} FROM {source} LEFT ANTI JOIN {target} ON {on} WHERE {which} = {i}"
+            for i, c in enumerate(own):
+                names = c.columns or [x.name for x in table.columns]
+                if any(table.column(n) is None for n in names) or len(names) != len(c.values):
+                    raise Problem(f"{table.name} has no such columns, or as many values aren't given: {', '.join(names)}")
+                given = {n.lower(): lowering.expr(e, scope)[0] for n, e in zip(names, c.values)}
+                cells = ", ".join(f"CAST({given.get(x.name.lower(), 'NULL')} AS {x.type.simpleString()}) AS {quote(x.name)}" for x in table.columns)
+                new = self.spark.sql(picked(cells, i), args=lowering.args or None)
+                added = new if added is None else added.unionByName(new)
+        return self._applied(db, table, snapshot, rows, changes, sets, added)
+
+    def _on_truncate(self, s: A.Truncate) -> Result:
+        db, table = self._target(s.table)
+        self._commit(db, table.name, self.store.truncate(self._snapshot(db, table)))
+        return Result(affected=0)
+
+    def _into(self, q: A.Query) -> Result:
+        """SELECT ... INTO: a new table with the rows and column types of the query."""
+        database, _, name = self._split(q.body.into)
+        db = self.databases.get(database.lower())
+        if db is None:
+            raise Problem(f"unknown database {database}")
+        self._writable(db)
+        if self._find(db, name) is not None:
+            raise Problem(f"{name} exists already")
+        lowering = self._lower()
+        sql, _ = lowering.query(q)
+        frame = self.spark.sql(sql, args=lowering.args or None)
+        if len({c.lower() for c in frame.columns}) != len(frame.columns):
+            raise Problem("a column is named twice")
+        columns = [dataclasses.replace(c, nullable=True) for c in columns_of(frame.schema)]
+        snapshot, n = self.store.insert(self.store.create(Table(name, columns, [], [], db.name)), frame)
+        self._commit(db, name, snapshot)
+        return Result(affected=n)
 
     def _on_createtable(self, s: A.CreateTable) -> Result:
         database, _, name = self._split(s.table)
@@ -544,11 +664,19 @@ class Session:
 
 
 def _root(spark: SparkSession) -> str:
-    """Where changed tables go: a folder that all executors share."""
+    """Where changed tables go: a folder that all executors share; none (writing is then an error) on a cluster that names none."""
     import tempfile
 
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/larkspur-tables/{uuid.uuid4().hex}" if shared else f"file://{tempfile.mkdtemp(prefix='larkspur_tables_')}"
+    if shared:
+        return f"{shared.rstrip('/')}/larkspur-tables/{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        return ""
+    return f"file://{tempfile.mkdtemp(prefix='larkspur_tables_')}"
+
+
+def _queries(nodes: Iterable[A.Node | None]) -> bool:
+    return any(isinstance(x, A.Query) for n in nodes for x in walk(n))
 
 
 def _kind_of_value(v: Any) -> str | None:

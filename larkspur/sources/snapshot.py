@@ -18,6 +18,10 @@ from pyspark.sql import types as T
 from larkspur.catalog.model import Column, Table
 
 
+#: Where a row lies, and whether it goes.
+PLACE, GONE = ("__lk_file", "__lk_row"), "__lk_gone"
+
+
 @dataclass
 class Snapshot:
     """table, the physical name of each of its columns, and files. base: a scan that files don't hold yet."""
@@ -58,6 +62,8 @@ class SnapshotStore:
         return df.select(*[F.col(f"`{p}`").alias(c.name) for p, c in zip(s.physical, s.table.columns)])
 
     def _write(self, s: Snapshot, df: DataFrame) -> list[str]:
+        if not self.root:
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         path = f"{self.root}/{s.table.database}/{s.table.name}/{uuid.uuid4().hex}"
         df.write.parquet(path)
         return list(self.spark.read.schema(self._fields(s)).parquet(path).inputFiles())
@@ -102,6 +108,43 @@ class SnapshotStore:
         new = self._write(s, physical)
         return replace(s, files=[f for f in s.files if _same(f) not in hits] + new), sum(counts.values())
 
+    def placed(self, s: Snapshot) -> tuple[Snapshot, DataFrame]:
+        """s with all its rows in files, and these rows with their place: file and number in it."""
+        s = self.settled(s)
+        if not s.files:
+            none = self._logical(s, self._read(s, []))
+            return s, none.select("*", F.lit("").alias(PLACE[0]), F.lit(0).cast("long").alias(PLACE[1]))
+        logical = [F.col(f"`{p}`").alias(c.name) for p, c in zip(s.physical, s.table.columns)]
+        return s, self._read(s, s.files).select(*logical, F.col("_metadata.file_path").alias(PLACE[0]), F.col("_metadata.row_index").alias(PLACE[1]))
+
+    def apply(self, s: Snapshot, rows: DataFrame, changes: DataFrame, sets: list[str], added: DataFrame | None = None) -> tuple[Snapshot, int]:
+        """Changes rows by their place. s and rows: of placed(). changes: one row a place, with GONE (the row goes) and values c0, c1, ... for
+        the columns in sets; a column of which its flag s0, s1, ... isn't true keeps its value. Only files that hold a changed row are written."""
+        path = f"{self.root}/{s.table.database}/{s.table.name}/changes-{uuid.uuid4().hex}"
+        changes.write.parquet(path)
+        changes = self.spark.read.schema(changes.schema).parquet(path)
+        counts = {r[0]: r[1] for r in changes.groupBy(PLACE[0]).count().collect()}  # a row a file
+        files, done = s.files, sum(counts.values())
+        if counts:
+            hits = {_same(x) for x in counts}
+            touched = replace(s, files=[f for f in s.files if _same(f) in hits])
+            _, some = self.placed(touched)
+            joined = some.join(changes, list(PLACE), "left").where(~F.coalesce(F.col(GONE), F.lit(False)))
+            number = {n.lower(): i for i, n in enumerate(sets)}
+            cells = []
+            for p, c in zip(s.physical, s.table.columns):
+                old, i = F.col(f"`{c.name}`"), number.get(c.name.lower())
+                cells.append((old if i is None else F.when(F.col(f"s{i}"), F.col(f"c{i}").cast(c.type)).otherwise(old)).alias(p))
+            files = [f for f in s.files if _same(f) not in hits] + self._write(s, joined.select(*cells))
+        s = replace(s, files=files)
+        if added is not None:
+            s, n = self.insert(s, added)
+            done += n
+        return s, done
+
+    def truncate(self, s: Snapshot) -> Snapshot:
+        return replace(s, files=[], base=None)
+
     def add_columns(self, s: Snapshot, columns: list[Column]) -> Snapshot:
         """They are null in the rows there are: files without a column read as null."""
         s = self.settled(s)

@@ -28,13 +28,31 @@ def collection(tmp_path, docs, name="people"):
     return str(path)
 
 
-def test_inferred_documents(spark, tmp_path):
-    s = Session(spark, [DocumentProvider(spark, {"people": collection(tmp_path, [*PEOPLE, "no json", ""])})])
+@pytest.mark.parametrize("sample,ages", [(100, (36, 41, None)), (None, ("36", "41", "fifty"))])
+def test_inferred_documents(spark, tmp_path, sample, ages):
+    """By the first documents a field has its first value's type; by all of them one that holds every value."""
+    s = Session(spark, [DocumentProvider(spark, {"people": collection(tmp_path, [*PEOPLE, "no json", ""])}, sample=sample)])
     assert s.sql("SELECT * FROM people").columns == ["id", "name", "age", "tags", "at"]
-    assert rows(s.sql("SELECT id, name, age, tags FROM people ORDER BY id")) == [(1, "eva", 36, None), (2, "hugo", 41, '["x","y"]'), (3, "mia", None, None)]
+    assert rows(s.sql("SELECT id, name, age, tags FROM people ORDER BY id")) == [(1, "eva", ages[0], None), (2, "hugo", ages[1], '["x","y"]'), (3, "mia", ages[2], None)]
     assert rows(s.sql("SELECT YEAR(at) AS y FROM people WHERE at IS NOT NULL")) == [(2026,)]
 
 
+def test_fields_and_types_of_late_documents(spark, tmp_path):
+    docs = [{"id": i, "n": 1} for i in range(5000)] + [{"id": 5000, "n": 2.5, "late": {"x": 1}, "when": "2026-01-02T03:04:05Z", "flag": True}, {"id": 5001, "none": None}]
+    s = Session(spark, [DocumentProvider(spark, {"d": collection(tmp_path, docs, "d")})])
+    assert s.sql("SELECT * FROM d").columns == ["id", "n", "flag", "late", "none", "when"]
+    assert rows(s.sql("SELECT n, late, YEAR([when]) AS y, flag, none FROM d WHERE id = 5000")) == [(2.5, '{"x":1}', 2026, True, None)]
+    assert rows(s.sql("SELECT SUM(n) AS n FROM d")) == [(5002.5,)]
+    assert Session(spark, [DocumentProvider(spark, {"d": collection(tmp_path, [], "e")})]).sql("SELECT 1 AS x").count() == 1
+
+
+def test_broken_documents_can_be_an_error(spark, tmp_path):
+    path = collection(tmp_path, [{"id": 1}, "no json"])
+    assert rows(Session(spark, [DocumentProvider(spark, {"d": path})]).sql("SELECT id FROM d")) == [(1,)]
+    with pytest.raises(Exception, match="no document"):
+        Session(spark, [DocumentProvider(spark, {"d": path}, strict=True)]).sql("SELECT id FROM d").collect()
+
+
 def test_inference_rules():
     lines = [json.dumps(x) for x in ({"b": None, "a": 1}, {"_id": "k", "b": 2.5}, {"a": "text", "c": True})]
     assert [(c.name, c.kind) for c in infer(lines)] == [("_id", "nvarchar"), ("b", "float"), ("a", "bigint"), ("c", "bit")]
@@ -48,7 +66,7 @@ def test_no_cap_on_documents(spark, tmp_path):
 
 def test_declared_documents(spark, tmp_path):
     path, where = collection(tmp_path, PEOPLE), str(tmp_path / "cat")
-    s = Session(spark, [DocumentProvider(spark, {"people": path}, "declared", where)])  # written from inference
+    s = Session(spark, [DocumentProvider(spark, {"people": path}, "declared", where, sample=100)])  # written from inference
     assert rows(s.sql("SELECT CONSTRAINT_NAME FROM INFORMATION_SCHEMA.TABLE_CONSTRAINTS")) == [("PK_people",)]
     again = Session(spark, [DocumentProvider(spark, {"people": path}, "declared", where)])
     assert rows(again.sql("SELECT DATA_TYPE FROM INFORMATION_SCHEMA.COLUMNS ORDER BY ORDINAL_POSITION")) == [("bigint",), ("nvarchar",), ("bigint",), ("nvarchar",), ("datetime2",)]
@@ -178,3 +196,49 @@ def test_stream(spark, tmp_path):
     assert sorted(map(tuple, spark.table("lk_hours").selectExpr("window.start", "n").collect())) == sorted(map(tuple, wanted.selectExpr("window.start", "count").collect()))
     with pytest.raises(Unsupported):
         s.execute("DELETE FROM events")
+
+
+def test_changes_with_joins(spark):
+    from larkspur.plans.lower import Problem
+
+    s = Session(spark, [ParquetProvider(spark, SF, ["region", "nation"])])
+    assert s.execute("UPDATE n SET n_name = r.r_name FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey AND n.n_nationkey < 2").affected == 2
+    assert s.execute("UPDATE nation SET n_name = r_name FROM region WHERE r_regionkey = n_regionkey AND n_nationkey = 3").affected == 1
+    assert s.sql("SELECT COUNT(*) FROM nation JOIN region ON n_name = r_name").first()[0] == 3
+    # Several values for a row: the least, in every run.
+    assert s.execute("UPDATE region SET r_name = n.n_name FROM nation n WHERE n.n_regionkey = r_regionkey").affected == 5
+    assert s.sql("SELECT r_name FROM region WHERE r_regionkey = 1").first()[0] == min(r[0] for r in s.sql("SELECT n_name FROM nation WHERE n_regionkey = 1").collect())
+    assert s.execute("DELETE n FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey WHERE r.r_regionkey = 0").affected == 5
+    assert s.execute("DELETE FROM nation WHERE n_nationkey > (SELECT AVG(n_nationkey) FROM nation)").affected == 10
+    assert s.execute("DELETE FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_regionkey > 90)").affected == 0
+    left = s.sql("SELECT COUNT(*) FROM nation").first()[0]
+    merge = "MERGE nation USING (SELECT 1 AS k UNION ALL SELECT 1) s ON nation.n_regionkey = s.k WHEN MATCHED THEN DELETE"
+    with pytest.raises(Exception, match="more than once"):
+        s.execute(merge)
+    assert s.sql("SELECT COUNT(*) FROM nation").first()[0] == left
+    one = "MERGE nation t USING (SELECT 900 AS k, 'new' AS v) s ON t.n_nationkey = s.k WHEN MATCHED THEN UPDATE SET n_name = s.v + '!' WHEN NOT MATCHED THEN INSERT VALUES (s.k, s.v, NULL)"
+    assert [s.execute(one).affected for _ in range(2)] == [1, 1] and s.sql("SELECT n_name FROM nation WHERE n_nationkey = 900").first()[0] == "new!"
+    assert s.execute("MERGE nation t USING region s ON 1 = 0 WHEN NOT MATCHED BY SOURCE THEN DELETE").affected == left + 1
+    for bad in ("UPDATE nation SET nope = 1 FROM region", "SELECT 1 AS a INTO region", "SELECT 1 AS a, 2 AS a INTO t", "MERGE nation t USING region s ON 1 = 1 WHEN NOT MATCHED THEN INSERT (nope) VALUES (1)"):
+        with pytest.raises(Problem):
+            s.execute(bad)
+    assert s.execute("SELECT n_nationkey AS k INTO empty FROM nation; INSERT INTO empty VALUES (1), (2); TRUNCATE TABLE empty; SELECT COUNT(*) FROM empty").frame.first()[0] == 0
+
+
+def test_tables_are_not_written_to_a_machine_of_a_cluster(spark, monkeypatch):
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        monkeypatch.setattr(type(spark.sparkContext), "master", property(lambda self: "spark://somewhere:7077"))
+        s = Session(spark, [ParquetProvider(spark, SF, ["region"])])
+        assert s.sql("SELECT COUNT(*) FROM region").first()[0] == 5
+        with pytest.raises(RuntimeError):
+            s.execute("INSERT INTO region VALUES (9, 'x')")
+
+
+def test_files_of_other_formats(spark, tmp_path):
+    from larkspur.sources.files import FileProvider
+
+    spark.read.parquet(f"{SF}/region.parquet").write.option("header", True).csv(f"{tmp_path}/c")
+    s = Session(spark, [FileProvider(spark, {"c": ("csv", f"{tmp_path}/c"), "p": ("parquet", f"{SF}/region.parquet")})])
+    assert rows(s.sql("SELECT COUNT(*) FROM c JOIN p ON p.r_regionkey = c.r_regionkey AND p.r_name = c.r_name")) == [(5,)]
+    assert rows(s.sql("SELECT DATA_TYPE FROM INFORMATION_SCHEMA.COLUMNS WHERE TABLE_NAME = 'c'")) == [("int",), ("nvarchar",)]
+    assert s.execute("DELETE FROM c WHERE r_regionkey = 1").affected == 1 and s.sql("SELECT COUNT(*) FROM c").first()[0] == 4
