@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import OWN, columns_of, materialize, seeded, without
+from larkspur.llm.common import OWN, columns_of, finished, materialize, row_hash, seeded, without
 from larkspur.llm.token_counts import TOKENIZER, token_count
 
 #: Weights where none are given: each source's tokens to this power, which flattens a dominant source.
@@ -24,6 +24,10 @@ ALPHA = 0.7
 SLACK, ROOM = 1 << 14, 8
 #: Sources that hold this part of the weights or less together don't limit a mixture without a budget.
 MINOR = 0.02
+#: Parts of the seeded order that are counted apart, a power of two.
+SLOTS = 1024
+#: Cutoffs (one a source and length) that may be broadcast, some 80 bytes each; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def bounded_subset_sum(lengths: list[int], counts: list[int], target: int) -> list[int]:
@@ -144,13 +148,40 @@ def plan(histogram: DataFrame, weights: dict[str, float] | None = None, budget:
     return joined.groupBy("source").applyInPandas(solve, "source string, n_tokens long, take long")
 
 
-def draw(counted: DataFrame, takes: DataFrame, seed: int) -> DataFrame:
-    """Of counted (with source, n_tokens, own order columns) the first `take` rows of each source and length, in seeded order."""
-    within = Window.partitionBy("source", "n_tokens").orderBy(OWN + "order", OWN + "text")
+def draw(counted: DataFrame, takes: DataFrame) -> DataFrame:
+    """Of counted (with source, n_tokens and own order, text, hash) the first `take` rows of each source and length, in that order.
+
+    The order is a seeded hash, so its first bits cut each length into SLOTS of like size. Slots before the one where `take`
+    is reached go whole, ranks are counted within that one only, and each length gets one cutoff: no task ever holds all
+    rows of a length, and whole rows stay where they are. Rows at a cutoff that are alike in all columns are counted too.
+    """
+    order = [OWN + c for c in ("order", "text", "hash")]
+    slot = F.shiftright(OWN + "order", 64 - SLOTS.bit_length() + 1)
+    thin = counted.select("source", "n_tokens", *order, slot.alias(OWN + "slot"))
     takes = takes.select(F.col("source").alias(OWN + "source"), F.col("n_tokens").alias(OWN + "n"), F.col("take").alias(OWN + "take"))
-    ranked = counted.withColumn(OWN + "rank", F.row_number().over(within))
-    same = F.col("source").eqNullSafe(F.col(OWN + "source")) & (F.col("n_tokens") == F.col(OWN + "n")) & (F.col(OWN + "rank") <= F.col(OWN + "take"))
-    return ranked.join(takes, same, "left_semi").drop(OWN + "rank", OWN + "order", OWN + "text")
+    same = F.col("source").eqNullSafe(F.col(OWN + "source")) & (F.col("n_tokens") == F.col(OWN + "n"))
+    upto = Window.partitionBy("source", "n_tokens").orderBy(OWN + "slot")
+    slots = thin.groupBy("source", "n_tokens", OWN + "slot").agg(F.count(F.lit(1)).alias(OWN + "count"))
+    slots = slots.withColumn(OWN + "upto", F.sum(OWN + "count").over(upto)).join(takes, same)
+    last = slots.where((F.col(OWN + "upto") >= F.col(OWN + "take")) & (F.col(OWN + "upto") - F.col(OWN + "count") < F.col(OWN + "take")))
+    last = last.select(OWN + "source", OWN + "n", F.col(OWN + "slot").alias(OWN + "last"), (F.col(OWN + "take") - F.col(OWN + "upto") + F.col(OWN + "count")).alias(OWN + "need"))
+    # Of the last slot: how many rows come before each kind of row, and how many are alike.
+    kinds = thin.join(last, same & (F.col(OWN + "slot") == F.col(OWN + "last"))).groupBy("source", "n_tokens", OWN + "need", *order).agg(F.count(F.lit(1)).alias(OWN + "alike"))
+    within = Window.partitionBy("source", "n_tokens").orderBy(*order)
+    kinds = kinds.withColumn(OWN + "upto", F.sum(OWN + "alike").over(within))
+    cut = kinds.where((F.col(OWN + "upto") >= F.col(OWN + "need")) & (F.col(OWN + "upto") - F.col(OWN + "alike") < F.col(OWN + "need")))
+    cut = cut.select(
+        F.col("source").alias(OWN + "source"), F.col("n_tokens").alias(OWN + "n"), F.struct(*order).alias(OWN + "cut"),
+        F.when(F.col(OWN + "upto") > F.col(OWN + "need"), F.col(OWN + "need") - F.col(OWN + "upto") + F.col(OWN + "alike")).alias(OWN + "some"),
+    )
+    cut = materialize(cut, "cutoffs")
+    size, split = cut.agg(F.count(F.lit(1)), F.count(OWN + "some")).first()
+    reached = counted.join(F.broadcast(cut) if size <= BROADCAST_ROWS else cut, same & (F.struct(*order) <= F.col(OWN + "cut")))
+    if split:  # of the rows alike at these cutoffs only some are drawn; which is the same
+        apart = F.col(OWN + "some").isNotNull() & (F.struct(*order) == F.col(OWN + "cut"))
+        ranked = reached.where(apart).withColumn(OWN + "rank", F.row_number().over(Window.partitionBy("source", "n_tokens").orderBy(*order)))
+        reached = reached.where(~apart).unionByName(ranked.where(F.col(OWN + "rank") <= F.col(OWN + "some")).drop(OWN + "rank"))
+    return reached.select(*[c for c in counted.columns if c not in order])
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: int | None = None, alpha: float = ALPHA, seed: int = 17, slack: int = SLACK, tokenizer: str = TOKENIZER, columns: list[str] | None = None, lengths: bool = True) -> DataFrame:
@@ -158,19 +189,21 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: int |
 
     Null and empty texts hold no tokens and are never drawn. A null source is a source of its own. A document of any length
     counts whole. Repeated rows are documents of their own; ties in the seeded order (rows with the same doc_id) fall to the
-    hash of the text, and beyond that the rows are alike. An empty table gives an empty one. With lengths, an input column
-    n_tokens is replaced.
+    hash of the text, then to that of the columns asked for, and beyond that the rows are alike. An empty table gives an empty one. With
+    lengths, an input column n_tokens is replaced; other columns may have any name.
     """
     docs = without(docs, "n_tokens") if lengths else docs
     columns = columns or docs.columns
     # The row goes along in a struct, so that its names can't clash with those used here.
     counted = docs.select(
         F.struct(*columns_of(docs, columns)).alias(OWN + "row"), "source", token_count("text", tokenizer).alias("n_tokens"),
-        seeded(seed, "doc_id").alias(OWN + "order"), F.xxhash64("text").alias(OWN + "text"),
+        seeded(seed, "doc_id").alias(OWN + "order"), F.xxhash64("text").alias(OWN + "text"), row_hash(docs, columns).alias(OWN + "hash"),
     ).where(F.col("n_tokens") > 0)
-    if "text" not in columns:  # thin rows: encoded once, kept in the shared folder
-        counted = materialize(counted, "lengths")
-    histogram = counted.groupBy("source", "n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
-    takes = materialize(plan(materialize(histogram, "histogram"), weights, budget, alpha, slack), "takes")
-    drawn = draw(counted, takes, seed)
+    counted = materialize(counted, "lengths")  # encoded once
+    takes = finished(docs.sparkSession, lambda: plan(histogram_of(counted), weights, budget, alpha, slack), "takes")
+    drawn = draw(counted, takes)
     return drawn.select(OWN + "row.*", "n_tokens") if lengths else drawn.select(OWN + "row.*")
+
+
+def histogram_of(counted: DataFrame) -> DataFrame:
+    return materialize(counted.groupBy("source", "n_tokens").agg(F.count(F.lit(1)).alias("n_docs")), "histogram")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from larkspur.llm.common import OWN, claim, columns_of, materialize, seeded, slices, without
+from larkspur.llm.common import OWN, claim, columns_of, integer, materialize, seeded, slices, without
 
 #: Buckets: 2^BITS for words, as many for pairs, 2^STEM_BITS for each length of beginnings, 2^SHAPE_BITS for shapes.
 BITS, STEM_BITS, SHAPE_BITS = 18, 16, 10
@@ -44,6 +44,8 @@ SLICE = 1 << 20
 REMEMBERED = 120_000
 REPEATED = 1 << BITS
 
+#: Shares that stand for a model without parts.
+ONE_BAG = (0.0, 1.0, 0.0)
 COUNTS = ("raw", "target", "low", "toxic")
 
 
@@ -155,6 +157,15 @@ def log_ratios(counts: np.ndarray) -> np.ndarray:
     return np.stack(found)
 
 
+def raw_ratio(counts: np.ndarray) -> np.ndarray:
+    """log(p_raw / p_target) by bucket, with one bag for all raw text: the plain form of the method. In place of log_ratios."""
+    raw, target = counts[0] / max(1.0, counts[0].sum()), counts[1]
+    seen, found = raw > 0, np.zeros((2, SIZE), np.float32)
+    if target.sum():
+        found[0, seen] = np.log(raw[seen] / ((target[seen] + SMOOTHING * raw[seen]) / (target.sum() + SMOOTHING)))
+    return found
+
+
 @dataclass
 class Model:
     """log_ratios: 4 MB at any size of the corpus. shares: of the target, low quality and toxic documents among all."""
@@ -184,6 +195,8 @@ def ratios(text: Column | str, model_ratios, session) -> Column:
 def _weight(scores: str, shares: tuple[float, float, float]) -> Column:
     """log(p_target / p_raw), from the ratios of the parts."""
     low, toxic = F.col(scores + ".low"), F.col(scores + ".toxic")
+    if shares == ONE_BAG:
+        return F.round(-low, 6)
     most = F.greatest(F.lit(0.0), low, toxic)
     mixed = sum((F.lit(s) * F.exp(x - most) for s, x in zip(shares, (F.lit(0.0), low, toxic))), F.lit(0.0))
     return F.round(-(most + F.log(mixed)), 6)  # rounded: the order of summing mustn't matter
@@ -224,11 +237,16 @@ def kth_largest(values: DataFrame, column: str, k: int, bins: int = 4096, few: i
             k -= n
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, seed: int = 17) -> tuple[Model, DataFrame]:
-    """The model, and (doc_id, scores) of all documents, kept in the shared folder."""
+def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, seed: int = 17, columns: list[str] | None = None, one_bag: bool = False) -> tuple[Model, DataFrame]:
+    """The model, and (own row of columns, doc_id, own scores) of all documents: each is scored once and kept in the shared folder,
+    so that threshold and result are read from there."""
     counts = count_ngrams(docs, labels, max_labels, seed)
-    table = log_ratios(counts)
-    scored = materialize(docs.select("doc_id", ratios("text", table, docs.sparkSession).alias(OWN + "s")), "scores")
+    table = raw_ratio(counts) if one_bag else log_ratios(counts)
+    # The row goes along in a struct, so that its names can't clash with those used here.
+    row = [F.struct(*columns_of(docs, columns)).alias(OWN + "row")] if columns else []
+    scored = materialize(docs.select(*row, integer(docs, "doc_id").alias("doc_id"), ratios("text", table, docs.sparkSession).alias(OWN + "s")), "scores")
+    if one_bag:
+        return Model(table, ONE_BAG), scored
     sizes = np.maximum(counts[1:].sum(1), 1.0)
     start = tuple(float(x) for x in sizes / sizes.sum())
     return Model(table, fit_shares(scored, start)), scored
@@ -241,11 +259,12 @@ def keyed(scored: DataFrame, model: Model, seed: int) -> DataFrame:
     return weighted.withColumn(OWN + "key", F.col(OWN + "w") - F.log(-F.log(uniform)))
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, max_labels: int = MAX_LABELS, seed: int = 17, columns: list[str] | None = None, weights: bool = True) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, max_labels: int = MAX_LABELS, seed: int = 17, columns: list[str] | None = None, weights: bool = True, one_bag: bool = False) -> DataFrame:
     """The k documents with the largest keys: columns (all by default) and, with weights, log_weight: k draws without replacement.
 
-    docs has doc_id and text; labels has doc_id, quality (1: good) and toxic (1: toxic), null for unknown; of several labels
-    of a document the worst holds. k None: as many as are more likely of the target's part than not. Null texts are never
+    docs has doc_id, an integer (any other kind is a TypeError), and text; labels has doc_id, quality (1: good) and toxic (1: toxic), null for
+    unknown; of several labels of a document the worst holds. one_bag: p_raw is one bag of all raw n-grams instead of a mixture of
+    parts; with k None as many as are likelier in the target than in it. k None: as many as are more likely of the target's part than not. Null texts are never
     drawn. An empty text has no n-gram and the neutral weight 0. Rows with the same doc_id and text have the same key; all
     rows that tie with the last one drawn are drawn. Without any label for the target, or for neither other part, all weights
     are alike and all documents with a text are kept (or k by noise alone). An empty table gives an empty one. With
@@ -253,15 +272,11 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, max_label
     """
     docs = without(docs, "log_weight") if weights else docs
     columns = columns or docs.columns
-    model, scored = fit(docs, labels, max_labels, seed)
+    model, scored = fit(docs, labels, max_labels, seed, columns, one_bag)
     keys = keyed(scored, model, seed)
     if k is None:
-        likely = F.col(OWN + "w") + float(np.log(model.shares[0])) >= float(np.log(0.5))
+        likely = F.col(OWN + "w") + (0.0 if one_bag else float(np.log(model.shares[0]))) >= (0.0 if one_bag else float(np.log(0.5)))
         k = keys.where(likely).count() if model.log_ratios.any() else keys.count()
     least = kth_largest(keys, OWN + "key", k)
-    if columns != ["doc_id"]:
-        # The row goes along in a struct, so that its names can't clash with those used here.
-        scored = docs.select(F.struct(*columns_of(docs, columns)).alias(OWN + "row"), "doc_id", ratios("text", model.log_ratios, docs.sparkSession).alias(OWN + "s"))
-    kept = keyed(scored, model, seed).where(F.col(OWN + "key") >= least if least is not None else F.lit(False))
-    out = ["doc_id"] if columns == ["doc_id"] else [OWN + "row.*"]
-    return kept.select(*out, F.col(OWN + "w").alias("log_weight")) if weights else kept.select(*out)
+    kept = keys.where(F.col(OWN + "key") >= least if least is not None else F.lit(False))
+    return kept.select(OWN + "row.*", F.col(OWN + "w").alias("log_weight")) if weights else kept.select(OWN + "row.*")

@@ -3,6 +3,7 @@
 import os
 
 import pyarrow as pa
+import pytest
 
 from larkspur.llm import common as C
 from tests.llm.helpers import SF, docs, rows
@@ -45,3 +46,40 @@ def test_one_cache_at_a_time():
     assert a == {} and b == {2: 2}
     C.claim(b)
     assert b == {2: 2}
+
+
+def test_finished_leaves_only_its_result(spark):
+    C.clear(spark)
+    d = docs(spark, [(1, "a", None), (2, "b", None)])
+    kept = C.finished(spark, lambda: C.materialize(d, "step").where("doc_id = 1"), "done")
+    where = C._own_dir(spark).removeprefix("file://")
+    assert [x.split("-")[0] for x in os.listdir(where)] == ["done"] and rows(kept) == [(1, "a", None)]
+    outer = C.finished(spark, lambda: C.finished(spark, lambda: C.materialize(d, "a"), "b"), "c")
+    assert sorted(x.split("-")[0] for x in os.listdir(where)) == ["c", "done"] and outer.count() == 2
+    with pytest.raises(ZeroDivisionError):
+        C.finished(spark, lambda: C.materialize(d, "lost") and 1 / 0, "never")
+    C.release(kept, outer, d)
+    assert os.listdir(where) == []
+
+
+def test_no_machine_local_folder_on_a_cluster(spark, monkeypatch):
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://somewhere:7077")
+    monkeypatch.setattr(C, "_local", {})
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        with pytest.raises(RuntimeError):
+            C.shared_dir(spark)
+
+
+def test_identifiers_are_integers(spark):
+    for kind in ("byte", "short", "int", "long"):
+        assert docs(spark, [], f"doc_id {kind}").select(C.integer(docs(spark, [], f"doc_id {kind}"), "doc_id")).count() == 0
+    with pytest.raises(TypeError):
+        C.integer(docs(spark, [], "doc_id string"), "doc_id")
+
+
+def test_one_of_alike_rows_in_any_order(spark):
+    data = [(1, {"a": 1}, "x"), (1, {"a": 2}, None), (2, None, None)]
+    d = docs(spark, data, "k long, m map<string, int>, `a.b` string")
+    for x in (d, d.repartition(3)):
+        assert sorted((r[0], r[1]) for r in C.one_of(x, d.columns, ["k"]).collect()) == [(1, {"a": 1}), (2, None)]
+    assert d.select(C.row_hash(d, d.columns)).distinct().count() == 3

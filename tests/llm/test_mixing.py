@@ -129,3 +129,45 @@ def test_others_share_what_a_short_source_lacks(spark):
     got = taken(M.plan(histogram(spark, have), weights={"a": 1, "b": 2, "c": 1, "d": 1}, budget=50_000))
     # b and c share 50,000 - 1,000 - 8,000 two to one.
     assert got == {"a": 100, "b": 2733, "c": 1366, "d": 800}
+
+
+def test_rows_alike_at_a_cutoff(spark):
+    """Of equal rows exactly as many are drawn as are taken, and of rows that differ in other columns alone always the same."""
+    same = [(5, "one two three", "a", 1)] * 6 + [(5, "one two three", "a", k) for k in range(2, 6)]
+    schema = "doc_id long, text string, source string, more int"
+    n = len(ENCODE("one two three"))
+    seen = set()
+    for order in (same, same[::-1], same[3:] + same[:3]):
+        d = docs(spark, order, schema)
+        for parts in (1, 4):
+            got = rows(M.mix(d.repartition(parts), weights={"a": 1}, budget=4 * n, lengths=False))
+            assert len(got) == 4
+            seen.add(tuple(got))
+    assert len(seen) == 1
+
+
+def test_slots_draw_the_first_in_seeded_order(spark):
+    """However the order is cut, the same rows come out as by sorting all of a length."""
+    from pyspark.sql import functions as F
+
+    from larkspur.llm.common import seeded
+
+    d = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "one two").otherwise("one two three").alias("text"), F.lit(None).cast("string").alias("source"))
+    order = [(r.doc_id, len(ENCODE(r.text))) for r in d.orderBy(seeded(9, "doc_id")).collect()]
+    got = {r.doc_id: r.n_tokens for r in M.mix(d, budget=3 * 1000, seed=9).collect()}
+    for n in set(got.values()):
+        mine = [i for i, m in order if m == n]
+        assert {i for i, m in got.items() if m == n} == set(mine[: sum(m == n for m in got.values())])
+
+
+def test_budget_is_met_on_both_sides_of_slack():
+    """The solver's room decides the way, not the total: where single tokens are there, every budget is met exactly."""
+    lengths, counts = np.array([1, 7, 40, 333]), np.array([400, 900, 900, 600])
+    for budget in (100, M.SLACK - 1, M.SLACK, M.SLACK + 1, 3 * M.SLACK, 10 * M.SLACK):
+        totals = {int((M.fit_counts(lengths, counts, budget, slack) * lengths).sum()) for slack in (512, M.SLACK, 1 << 16)}
+        assert totals == {budget}
+
+
+def test_very_long_blanks(spark):
+    d = docs(spark, [(1, " " * 1_200_000 + "x", "a"), (2, "y", "a")])
+    assert len(rows(M.mix(d, weights={"a": 1}, budget=10**9, columns=["doc_id"]))) == 2

@@ -1,11 +1,16 @@
 """Held-out accuracy, and the parts by hand."""
 
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from larkspur.llm import quality as Q
+from larkspur.llm.common import seeded
 from tests.llm.helpers import SF_MORE, docs, rows, sample
 
 LABELS = "doc_id long, quality int, toxic int"
@@ -114,3 +119,86 @@ def test_parts_have_no_document_in_common_and_none_dominates(spark):
     assert (counts[1] == of("a b c")).all() and (counts[2] == of("d e")).all()
     scaled = of(long) * round(Q.MOST / of(long).sum() * Q.UNIT) / Q.UNIT
     assert np.allclose(counts[3], of("f g") + scaled) and counts[3].sum() <= 1.1 * Q.MOST
+
+
+def own_ngrams(text):
+    """Every n-gram's bucket, a word at a time, with nothing of the operator's."""
+    h = lambda t, bits: xxh3_64_intdigest(t) % 2**bits
+    out, last = Counter(), None
+    for word in text.split():
+        core = "".join(c for c in word.lower() if c.isalnum())
+        signs = "" if word.lower().isalnum() else "".join(c for c in word if not c.isalnum())
+        case = ("U" if len(core) > 1 and word.isupper() else "T" if word[0].isupper() else "l") + ("9" if core.isdigit() else "")
+        this = h(core, 22)
+        out["word", this % 2**18] += 1
+        out["stem4", h(core[:4], 16)] += 1
+        out["stem5", h(core[:5] + "-", 16)] += 1
+        out["shape", h(signs[:8] + case, 10)] += 1
+        if last is not None:
+            out["pair", 0 if this == last else (last * 0x9E3779B97F4A7C15 + this * 0xC2B2AE3D27D4EB4F) % 2**64 >> 46] += 1
+        last = this
+    return out
+
+
+def own_weights(docs_, labels, seed=17):
+    """{doc_id: log weight} by the formulas, in plain Python."""
+    bags = {i: own_ngrams(t) for i, t in docs_.items()}
+    raw, parts = Counter(), {"target": Counter(), "low": Counter(), "toxic": Counter()}
+    for i, bag in bags.items():
+        raw.update(bag)
+        q, t = labels.get(i, (None, None))
+        part = "low" if q == 0 else "toxic" if t == 1 else "target" if (q, t) == (1, 0) else None
+        if part:
+            share = round(1024 * min(1, 16384 / max(1, bag.total()))) / 1024
+            for g, n in bag.items():
+                parts[part][g] += n * share
+    total, target, ratios = raw.total(), parts["target"], {}
+    m = target.total()
+    for name in ("low", "toxic"):
+        part, found, away_p, away_q = parts[name], {}, 0.0, 0.0
+        n = part.total()
+        for g in part.keys() | target.keys():
+            p, q = ((c[g] + 100 * raw[g] / total) / (s + 100) for c, s in ((part, n), (target, m)))
+            expected = (part[g] + target[g]) * n / (n + m)
+            if abs(part[g] - expected) > 8 * math.sqrt(expected * m / (n + m)) and abs(math.log(p / q)) > 0.5:
+                found[g] = math.log(p / q)
+                away_p, away_q = away_p + p, away_q + q
+        rest = math.log(max(1e-9, 1 - away_p) / max(1e-9, 1 - away_q))
+        ratios[name] = {i: sum(c * found.get(g, rest) for g, c in bag.items()) for i, bag in bags.items()}
+    sizes = [max(1.0, c.total()) for c in parts.values()]
+    shares = [s / sum(sizes) for s in sizes]
+    logs = lambda i: (0.0, ratios["low"][i], ratios["toxic"][i])
+
+    def weight(i):
+        most = max(logs(i))
+        return -(most + math.log(sum(s * math.exp(x - most) for s, x in zip(shares, logs(i)))))
+
+    for _ in range(6):
+        posts = [[s * math.exp(weight(i) + x) for s, x in zip(shares, logs(i))] for i in bags]
+        shares = [min(1, max(1e-4, sum(p[k] for p in posts) / len(posts))) for k in range(3)]
+    return {i: weight(i) for i in bags}, shares[0]
+
+
+def test_against_plain_python(spark):
+    """Every weight, and the documents drawn, by an own count of n-grams; then the draw of 100 by the same keys."""
+    d = sample(spark, SF_MORE).where("doc_id < 400")
+    labels = {r.doc_id: (r.quality, r.toxic) for r in spark.read.parquet(f"{SF_MORE}/labels.parquet").collect()}
+    wanted, share = own_weights({r.doc_id: r.text for r in d.collect()}, labels)
+    known = spark.read.parquet(f"{SF_MORE}/labels.parquet").where("doc_id < 400")
+    noise = {r.doc_id: -math.log(-math.log(((r.h % 2**64 >> 11) + 0.5) / 2**53)) for r in d.select("doc_id", seeded(17, F.lit("gumbel"), F.col("doc_id")).alias("h")).collect()}
+    order = sorted(wanted, key=lambda i: wanted[i] + noise[i], reverse=True)
+    for k in (None, 100):
+        got = {r.doc_id: r.log_weight for r in Q.resample(d, known, k=k).collect()}
+        count = k or sum(w + math.log(share) >= math.log(0.5) for w in wanted.values())
+        assert set(got) == set(order[:count]) and 0 < count < 400
+        assert all(got[i] == pytest.approx(wanted[i], abs=2e-3, rel=1e-4) for i in got)
+
+
+def test_one_bag(spark):
+    """The plain form: log p_target - log p_raw, summed over a document's n-grams."""
+    d = docs(spark, [(1, "a b", "s"), (2, "a c c", "s"), (3, "z z z", "s")])
+    got = {r.doc_id: r.log_weight for r in Q.resample(d, spark.createDataFrame([(1, 1, 0)], LABELS), k=3, one_bag=True).collect()}
+    bags = {i: own_ngrams(t) for i, t in ((1, "a b"), (2, "a c c"), (3, "z z z"))}
+    raw = sum(bags.values(), Counter())
+    weight = lambda bag: sum(c * math.log((bags[1][g] + 100 * raw[g] / raw.total()) / (bags[1].total() + 100) * raw.total() / raw[g]) for g, c in bag.items())
+    assert got == {i: pytest.approx(weight(b), abs=1e-4) for i, b in bags.items()}
