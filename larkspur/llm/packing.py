@@ -9,7 +9,7 @@ their rank within their length by a distributed count, and look their bin up.
 
 from __future__ import annotations
 
-import heapq
+import bisect
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ class Plan:
         self.left = {n: c for n, c in histogram.items() if c > 0}
         self.placed = dict.fromkeys(self.left, 0)
         self.gaps: dict[int, list[tuple[int, int]]] = {}  # free tokens: [(first bin, bins)]
-        self.heap: list[int] = []
+        self.sizes: list[int] = []  # the gaps that there are, rising
         self._large(sorted((n for n in self.left if 3 * n > capacity), reverse=True))
         self._small(sorted((n for n in self.left if 3 * n <= capacity), reverse=True))
         if any(c >> RANK_BITS for c in histogram.values()):
@@ -46,23 +46,38 @@ class Plan:
 
     def _free(self, gap: int, bin_: int, count: int) -> None:
         if gap > 0 and count > 0:
-            self.gaps.setdefault(gap, []).append((bin_, count))
+            if not self.gaps.setdefault(gap, []):
+                bisect.insort(self.sizes, gap)
+            self.gaps[gap].append((bin_, count))
 
     def _large(self, lengths: list[int]) -> None:
+        up = lengths[::-1]
+        below = list(range(len(up)))  # by length: the next one down, itself included, that may have documents left
+
+        def partner(i: int) -> int:
+            """The longest at i or below with documents left; -1 without any."""
+            path = []
+            while i >= 0 and not self.left[up[i]]:
+                path.append(i)
+                i = below[i] if below[i] < i else i - 1
+            for j in path:
+                below[j] = i
+            return i
+
         for a in lengths:
-            for b in (x for x in lengths if x <= a and a + x <= self.capacity):
+            i = partner(bisect.bisect_right(up, min(a, self.capacity - a)) - 1)
+            while self.left[a] and i >= 0:
+                b = up[i]
                 m = self.left[a] // 2 if a == b else min(self.left[a], self.left[b])
-                if not m:
-                    continue
-                if a == b:
-                    self._run(a, 2 * m, self.bins, 2, 0)
-                else:
-                    self._run(a, m, self.bins, 1, 0)
-                    self._run(b, m, self.bins, 1, a)
-                self._free(self.capacity - a - b, self.bins, m)
-                self.bins += m
-                if not self.left[a]:
-                    break
+                if m:
+                    if a == b:
+                        self._run(a, 2 * m, self.bins, 2, 0)
+                    else:
+                        self._run(a, m, self.bins, 1, 0)
+                        self._run(b, m, self.bins, 1, a)
+                    self._free(self.capacity - a - b, self.bins, m)
+                    self.bins += m
+                i = partner(i - 1)
             if alone := self.left[a]:
                 self._run(a, alone, self.bins, 1, 0)
                 self._free(self.capacity - a, self.bins, alone)
@@ -72,12 +87,12 @@ class Plan:
         """The tightest gap that fits is always the least one that is large enough; lengths fall, so gaps below the present
         length wait for later."""
         for n in lengths:
-            heap = sorted(g for g in self.gaps if g >= n and self.gaps[g])
-            while self.left[n] and heap:
-                gap = heapq.heappop(heap)
-                while self.left[n] and self.gaps[gap]:
-                    bin_, count = self.gaps[gap].pop()
-                    self._fill(n, gap, bin_, count)
+            while self.left[n] and (i := bisect.bisect_left(self.sizes, n)) < len(self.sizes):
+                gap = self.sizes[i]
+                bin_, count = self.gaps[gap].pop()
+                if not self.gaps[gap]:
+                    del self.sizes[i]
+                self._fill(n, gap, bin_, count)
             if self.left[n]:
                 bin_, count = self.bins, -(-self.left[n] // (self.capacity // n))
                 self.bins += count

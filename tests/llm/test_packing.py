@@ -100,3 +100,18 @@ def test_odd_rows(spark):
     assert rows(P.pack(docs(spark, []), 64)) == []
     clash = docs(spark, [(1, "hi", "a", 7, 8)], "doc_id long, text string, source string, n_tokens int, bin_id int")
     assert rows(P.pack(clash, 64)) == [(1, 0, 0, 1, 0, 0)]
+
+
+def test_large_capacities_are_planned_fast():
+    """A dense histogram of a capacity of 131,072: neither partners nor gaps are looked for one by one."""
+    import time
+
+    began = time.process_time()
+    plan = P.Plan({n: 1 + n % 5 for n in range(1, 1 << 17)}, 1 << 17)
+    assert plan.bins > 1 << 16 and not any(plan.left.values()) and time.process_time() - began < 60
+
+
+def test_very_long_blanks(spark):
+    d = docs(spark, [(1, " " * 1_200_000 + "x", "a"), (2, "y", "a")])
+    out = P.pack(d, 1 << 20).collect()
+    assert sum(r.n_tokens for r in out if r.doc_id == 1) == K.length(K.encoding(K.TOKENIZER), " " * 1_200_000 + "x")
