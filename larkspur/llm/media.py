@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import OWN
+from larkspur.llm.common import OWN, materialize
 
 #: Elements whose content is dropped, up to their own end tag. Of noscript only the text is: see parse().
 _SILENT = "script|style|template|title|textarea|svg"
@@ -36,13 +36,17 @@ _SPACE = re.compile(r"\s+")
 #: Tags that neither begin nor end a block of text.
 _INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _MEDIA = {"img": "image", "video": "video", "audio": "audio"}
+#: Pages that share a payload and are joined with it in one place; a payload that more pages hold is sent to several.
+HOT = 10_000
+#: Such payloads' digests (some 60 bytes each) that may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 #: No page without a match of this has a media item.
 HINT = r"(?i)<(?:img|video|audio)"
 
-ITEM = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("src", pa.string()), ("digest", pa.string()), ("alt", pa.string()), ("caption", pa.string())])
-PAYLOAD = pa.struct([("digest", pa.string()), ("mime", pa.string()), ("content", pa.binary())])
-_ITEM_DDL = "array<struct<position: int, kind: string, text: string, src: string, digest: string, alt: string, caption: string>>"
-_PAYLOAD_DDL = "array<struct<digest: string, mime: string, content: binary>>"
+ITEM = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("src", pa.string()), ("digest", pa.string()), ("mime", pa.string()), ("alt", pa.string()), ("caption", pa.string())])
+PAYLOAD = pa.struct([("digest", pa.string()), ("content", pa.binary())])
+_ITEM_DDL = "array<struct<position: int, kind: string, text: string, src: string, digest: string, mime: string, alt: string, caption: string>>"
+_PAYLOAD_DDL = "array<struct<digest: string, content: binary>>"
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -99,7 +103,8 @@ def parse(page: str, url: str | None = None) -> tuple[list[dict], list[dict]]:
             if got := _inline_payload(src):
                 item["digest"] = hashlib.sha256(got[1]).hexdigest()
                 item["src"] = "sha256:" + item["digest"]
-                payloads.append({"digest": item["digest"], "mime": got[0], "content": got[1]})
+                item["mime"] = got[0]
+                payloads.append({"digest": item["digest"], "content": got[1]})
         elif src:
             item["digest"] = _integrity(a.get("integrity", ""))
             try:
@@ -192,8 +197,10 @@ def sequences(pages: DataFrame, store: DataFrame | None = None) -> DataFrame:
     """(page_id, url, items): a row a page, items an array of (position, kind, text, src, digest, alt, caption, mime, payload).
 
     pages has page_id, url and html; other columns are not read. store: (digest, mime, content) of payloads that pages refer
-    to by an integrity digest; of several rows for a digest one is taken, and inline payloads need no store. kind is text,
-    image, video or audio; positions count from 0 without gaps. A reference that nothing resolves keeps a null payload. A
+    to by an integrity digest; of several rows for a digest the one of the least mime, then content, is taken. Inline payloads need no
+    store, and each keeps the mime that its own address gives. kind is text, image, video or audio (object, embed and iframe are no
+    media, nor are alternatives in srcset beyond the first); positions count from 0 without gaps. A reference that nothing
+    resolves, and a broken inline one, keeps a null payload. A
     figure's caption goes to each of its media; without any it is text. A null html gives null items, an empty one no items.
     Repeated rows each give a row. Pages of any length are parsed whole. An empty table gives an empty one.
     """
@@ -202,13 +209,30 @@ def sequences(pages: DataFrame, store: DataFrame | None = None) -> DataFrame:
     plain = parse_pages(pages.where(~media | F.col("html").isNull())).select(
         "page_id", "url", F.expr("transform(items, i -> " + item.format("cast(null as string)", "cast(null as binary)") + ")").alias("items")
     )
-    identity = F.sha2(F.concat_ws("\x01", F.coalesce(F.col("page_id").cast("string"), F.lit("\x02")), F.coalesce("url", F.lit("\x02")), "html").cast("binary"), 256)
-    parsed = parse_pages(pages.where(media).withColumn(OWN + "page", identity), keep=(OWN + "page",))
-    inline = parsed.select(F.explode("payloads").alias("p")).select("p.*")
-    payloads = (inline if store is None else inline.unionByName(store.select("digest", "mime", "content"))).dropDuplicates(["digest"])
-    wanted = parsed.select(OWN + "page", F.explode(F.array_distinct(F.expr("transform(filter(items, i -> i.digest is not null), i -> i.digest)"))).alias("digest")).distinct()
-    found = wanted.join(payloads, "digest").groupBy(OWN + "page").agg(F.map_from_entries(F.collect_list(F.struct("digest", F.struct("mime", "content")))).alias(OWN + "found"))
+    # Parsed once; a number stands for the row, which may be repeated.
+    parsed = parse_pages(pages.where(media).withColumn(OWN + "page", F.monotonically_increasing_id()), keep=(OWN + "page",))
+    parsed = materialize(parsed, "parsed")
+    payloads = parsed.select(F.explode("payloads").alias("p")).select("p.digest", F.lit(None).cast("string").alias("mime"), "p.content")
+    if store is not None:
+        payloads = payloads.unionByName(store.select("digest", "mime", "content"))
+    payloads = payloads.groupBy("digest").agg(F.min(F.struct(F.col("mime").isNull(), "mime", "content")).alias("p")).select("digest", "p.mime", "p.content")
+    wanted = parsed.select(OWN + "page", F.explode(F.array_distinct(F.expr("transform(filter(items, i -> i.digest is not null), i -> i.digest)"))).alias("digest"))
+    found = _spread(wanted, payloads).groupBy(OWN + "page").agg(F.map_from_entries(F.collect_list(F.struct("digest", F.struct("mime", "content")))).alias(OWN + "found"))
     joined = parsed.join(found, OWN + "page", "left")
     got = f"try_element_at({OWN}found, i.digest)"
-    resolved = joined.select("page_id", "url", F.expr("transform(items, i -> " + item.format(got + ".mime", got + ".content") + ")").alias("items"))
+    resolved = joined.select("page_id", "url", F.expr("transform(items, i -> " + item.format(f"coalesce(i.mime, {got}.mime)", got + ".content") + ")").alias("items"))
     return plain.unionByName(resolved)
+
+
+def _spread(wanted: DataFrame, payloads: DataFrame) -> DataFrame:
+    """wanted (own page, digest) with payloads: those that very many pages hold (a logo, a pixel) are copied, a part of the pages each."""
+    parts = wanted.groupBy("digest").agg(F.ceil(F.count(F.lit(1)) / HOT).alias(OWN + "parts")).where(F.col(OWN + "parts") > 1)
+    parts = materialize(parts, "hot")
+    count = parts.count()
+    if not count:
+        return wanted.join(payloads, "digest")
+    parts = F.broadcast(parts) if count <= BROADCAST_ROWS else parts
+    many = F.coalesce(F.col(OWN + "parts"), F.lit(1))
+    pages = wanted.join(parts, "digest", "left").withColumn(OWN + "part", F.pmod(F.xxhash64(OWN + "page"), many)).drop(OWN + "parts")
+    copies = payloads.join(parts, "digest", "left").withColumn(OWN + "part", F.explode(F.sequence(F.lit(0).cast("long"), many - 1))).drop(OWN + "parts")
+    return pages.join(copies, ["digest", OWN + "part"]).drop(OWN + "part")

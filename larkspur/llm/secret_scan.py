@@ -31,15 +31,46 @@ class Rule:
 
 _ASSIGNED = r"(?i)(?:token|secret|password|passwd|api_?key|access_?key)[\"']?[ ]{0,3}[:=]{1,2}[ ]{0,3}[\"']"
 
+#: Values have no upper bound: a longer one is found, and redacted, as a whole. A version goes up whenever a pattern changes.
 RULES: tuple[Rule, ...] = (
-    Rule("assigned-secret", 1, _ASSIGNED, _ASSIGNED + r"[0-9A-Za-z_+/=.-]{16,200}[\"']"),
+    Rule("assigned-secret", 2, _ASSIGNED, _ASSIGNED + r"[0-9A-Za-z_+/=.-]{16,}[\"']"),
     Rule("aws-access-key", 1, "A[KS]IA", "(?:AKIA|ASIA)[0-9A-Z]{16}"),
-    Rule("github-token", 1, "gh[pousr]_", "gh[pousr]_[0-9A-Za-z]{36,255}"),
+    Rule("azure-storage-key", 1, "AccountKey=", "AccountKey=[0-9A-Za-z+/]{86}=="),
+    Rule("age-secret-key", 1, "AGE-SECRET-KEY-1", "AGE-SECRET-KEY-1[0-9A-Z]{58}"),
+    Rule("basic-authorization", 1, "uthorization: Basic ", "[Aa]uthorization: Basic [0-9A-Za-z+/]{16,}={0,2}"),
+    Rule("bearer-authorization", 1, "uthorization: Bearer ", "[Aa]uthorization: Bearer [0-9A-Za-z._~+/-]{20,}={0,2}"),
+    Rule("credentials-in-url", 1, "://", "://[0-9A-Za-z_.%+-]+:[0-9A-Za-z_.%+!$&*-]{3,}@[0-9A-Za-z.-]+"),
+    Rule("databricks-token", 1, "dapi", "dapi[0-9a-f]{32}"),
+    Rule("digitalocean-token", 1, "_v1_", "do[opr]_v1_[0-9a-f]{64}"),
+    Rule("discord-webhook", 1, "/api/webhooks/", "discord(?:app)?[.]com/api/webhooks/[0-9]{17,}/[0-9A-Za-z_-]{60,}"),
+    Rule("doppler-token", 1, "dp.pt.", "dp[.]pt[.][0-9A-Za-z]{43}"),
+    Rule("github-token", 2, "gh[pousr]_", "gh[pousr]_[0-9A-Za-z]{36,}"),
+    Rule("github-fine-grained-token", 1, "github_pat_", "github_pat_[0-9A-Za-z_]{22,}"),
+    Rule("gitlab-token", 1, "glpat-", "glpat-[0-9A-Za-z_-]{20,}"),
     Rule("google-api-key", 1, "AIza", "AIza[0-9A-Za-z_-]{35}"),
+    Rule("google-client-secret", 1, "GOCSPX-", "GOCSPX-[0-9A-Za-z_-]{28}"),
+    Rule("google-oauth-token", 1, "ya29.", "ya29[.][0-9A-Za-z_-]{20,}"),
+    Rule("grafana-token", 1, "glsa_", "glsa_[0-9A-Za-z]{32}_[0-9a-f]{8}"),
+    Rule("huggingface-token", 1, "hf_", "hf_[0-9A-Za-z]{34,}"),
     Rule("json-web-token", 1, "eyJ", r"eyJ[0-9A-Za-z_-]{8,}\.eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}"),
+    Rule("linear-key", 1, "lin_api_", "lin_api_[0-9A-Za-z]{40}"),
+    Rule("mailchimp-key", 1, "-us", "[0-9a-f]{32}-us[0-9]{1,2}"),
+    Rule("mailgun-key", 1, "key-", "key-[0-9a-z]{32}"),
+    Rule("new-relic-key", 1, "NRAK-", "NRAK-[0-9A-Z]{27}"),
+    Rule("npm-token", 1, "npm_", "npm_[0-9A-Za-z]{36,}"),
+    Rule("postman-key", 1, "PMAK-", "PMAK-[0-9a-f]{24}-[0-9a-f]{34}"),
     Rule("private-key", 1, "-----BEGIN ", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[0-9A-Za-z+/= \t\r\n]{16,}-----END [A-Z ]*PRIVATE KEY-----"),
-    Rule("slack-token", 1, "xox[abprs]-", "xox[abprs]-[0-9A-Za-z-]{10,250}"),
-    Rule("stripe-key", 1, "[rs]k_live_", "[rs]k_live_[0-9A-Za-z]{16,128}"),
+    Rule("pypi-token", 1, "pypi-AgEI", "pypi-AgEI[0-9A-Za-z_-]{50,}"),
+    Rule("sendgrid-key", 1, "SG.", "SG[.][0-9A-Za-z_-]{22}[.][0-9A-Za-z_-]{43}"),
+    Rule("shopify-token", 1, "shp", "shp(?:at|ca|pa|ss)_[0-9a-fA-F]{32}"),
+    Rule("slack-token", 2, "xox[abprs]-", "xox[abprs]-[0-9A-Za-z-]{10,}"),
+    Rule("slack-webhook", 1, "hooks.slack.com/", "hooks[.]slack[.]com/services/T[0-9A-Z]+/B[0-9A-Z]+/[0-9A-Za-z]+"),
+    Rule("square-token", 1, "sq0", "sq0(?:atp-[0-9A-Za-z_-]{22}|csp-[0-9A-Za-z_-]{43})"),
+    Rule("stripe-key", 2, "[rs]k_live_", "[rs]k_live_[0-9A-Za-z]{16,}"),
+    Rule("telegram-bot-token", 1, ":AA", "[0-9]{8,10}:AA[0-9A-Za-z_-]{33}"),
+    Rule("terraform-token", 1, ".atlasv1.", "[0-9A-Za-z]{14}[.]atlasv1[.][0-9A-Za-z_-]{60,}"),
+    Rule("twilio-key", 1, "SK", "SK[0-9a-f]{32}"),
+    Rule("vault-token", 1, "hvs.", "hvs[.][0-9A-Za-z_-]{24,}"),
 )
 
 LEDGER = "blob string, rule_id string, rule_version int"
@@ -118,7 +149,9 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, known: DataFrame | No
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with each secret in text replaced by its rule's name in brackets, rule after rule, and n_chars (where docs has it)
-    set to the new length. Rows without a secret are left alone, null texts too."""
+    set to the new length. Rows without a secret are left alone, null and empty texts too. Where matches of two rules overlap, the rule
+    that comes first in rules names it. Whole texts are redacted; repeated rows each; an empty table gives an empty one; other columns
+    may have any name."""
     text = F.col("text")
     for r in rules:
         text = F.regexp_replace(text, r.pattern, f"[{r.id}]")
@@ -133,11 +166,11 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return out.withColumn("text", F.col(OWN + "text")).select(*columns_of(docs))
 
 
-def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:
+def oracle_sql(table: str = "documents", rules: tuple[Rule, ...] = RULES) -> str:
     """DuckDB SQL for scan(documents).paths."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     each = " UNION ALL ".join(
-        f"SELECT doc_id, source, text, {quoted(r.id)} AS rule_id, {r.version} AS rule_version, regexp_extract_all(text, {quoted(r.pattern)}) AS m FROM documents" for r in rules
+        f"SELECT doc_id, source, text, {quoted(r.id)} AS rule_id, {r.version} AS rule_version, regexp_extract_all(text, {quoted(r.pattern)}) AS m FROM {table} t WHERE text IS NOT NULL" for r in rules
     )
     return f"""SELECT doc_id, source, sha256(text) AS blob, rule_id, CAST(rule_version AS INTEGER) AS rule_version, CAST(nth AS INTEGER) AS nth,
         sha256(m[nth]) AS secret_sha256, CAST(length(m[nth]) AS INTEGER) AS secret_length
