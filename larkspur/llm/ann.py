@@ -15,10 +15,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import OWN, materialize, partitions, seeded
+from larkspur.llm.common import OWN, integer, materialize, partitions, seeded
 
 #: Vectors of a cell, cells at most (16 MB of centres at 256 dimensions), and vectors for each cell that centres are trained on.
 CELL, MAX_CELLS, TRAINING = 4096, 16_384, 32
@@ -26,8 +26,10 @@ CELL, MAX_CELLS, TRAINING = 4096, 16_384, 32
 PILOT = 512
 #: How many standard deviations of the estimate the error bound spans.
 EPSILON = 1.9
-#: Queries that are searched in one place.
-QUERIES = 4096
+#: Queries that are searched in one place, and partitions that these places are dealt out to at most.
+QUERIES, PARTITIONS = 4096, 10_000
+#: Rows (of 8 to 16 bytes, one a cell or a pair of cells) that may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 _CODED = "id long, cell int, code binary, norm float, dot float, vec binary"
 
 
@@ -92,6 +94,13 @@ class _Best:
         order = np.lexsort((i, -v), axis=1)[:, : self.k]
         self.value[touched], self.id[touched] = np.take_along_axis(v, order, 1), np.take_along_axis(i, order, 1)
 
+    def raise_(self, q: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
+        """Identifiers that are among the best already, by a better vector."""
+        np.maximum.at(self.value, (q, at), values)
+        touched = np.unique(q)
+        order = np.lexsort((self.id[touched], -self.value[touched]), axis=1)
+        self.value[touched], self.id[touched] = np.take_along_axis(self.value[touched], order, 1), np.take_along_axis(self.id[touched], order, 1)
+
 
 def _search(k: int, dim: int, held):
     """For mapInArrow over rows (task, item, id, cell, code, norm, dot, vec) sorted by task and item, queries before vectors."""
@@ -123,7 +132,10 @@ def _search(k: int, dim: int, held):
             exact[s] = np.einsum("ij,ij->i", queries[q[s]], vectors[v[s]])
         pick = (exact >= best.value[q, -1]) & (item[v] != ids[q])
         q, v, exact = q[pick], v[pick], exact[pick]
-        seen = (best.id[q] == item[v][:, None]).any(1)
+        held = best.id[q] == item[v][:, None]
+        seen, at = held.any(1), held.argmax(1)
+        if (better := seen & (exact > best.value[q, at])).any():
+            best.raise_(q[better], at[better], exact[better])
         order = np.lexsort((-exact, item[v], q))
         order = order[~seen[order]]
         q, v, exact = q[order], v[order], exact[order]
@@ -190,14 +202,15 @@ def _train(sample: np.ndarray, count: int, seed: int, rounds: int = 8) -> np.nda
 def neighbours(vectors: DataFrame, k: int = 10, recall: float = 0.95, seed: int = 17, cell: int = CELL) -> DataFrame:
     """(vec_id, neighbour_id, rank, similarity): the k vectors of the greatest cosine similarity to each vector.
 
-    vectors has vec_id and embedding; other columns are not read. A vector is never its own neighbour, nor is one with the same
-    vec_id (of rows with the same vec_id each is searched, and the best ones stand for it). Equal similarities rank by identifier.
+    vectors has vec_id, an integer (any other kind is a TypeError), and embedding; other columns, whatever their names, are not read. A
+    vector is never its own neighbour, nor is one with the same vec_id. Rows with the same vec_id are one thing with several
+    vectors: its neighbours are the k best identifiers by the greatest similarity of any of the vectors of both. Equal similarities rank by identifier.
     The dimension is the most frequent one (the least of equals); rows with a null vec_id, a null embedding, another
     dimension, a null or infinite component or length zero are left out. With fewer than k others there are fewer rows; an empty table gives
     an empty one. recall: of the true neighbours, found on average; similarities are exact to 5 digits.
     """
     spark = vectors.sparkSession
-    rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select(integer(vectors, "vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     out = "vec_id long, neighbour_id long, rank int, similarity double"
     sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).where("d > 0").orderBy(F.desc("n"), "d").limit(1).collect()
     if not sizes:
@@ -222,33 +235,66 @@ def neighbours(vectors: DataFrame, k: int = 10, recall: float = 0.95, seed: int
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(places)), pa.array(at.astype(np.int32)), binary(codes), pa.array(norm), pa.array(dot), binary(unit)], ["id", "cell", "code", "norm", "dot", "vec"])
 
     coded = materialize(rows.mapInArrow(code, _CODED), "codes")
-    near = np.argsort(-(centres @ centres.T), axis=1, kind="stable")
-    near = np.concatenate([np.arange(len(centres))[:, None], np.array([[c for c in row if c != i] for i, row in enumerate(near)], np.int64).reshape(len(centres), -1)], axis=1)
-    probes = _pilot(coded, sample[:PILOT], centres, near, k, recall, dim)
-
-    members = {r[0]: r[1] for r in coded.groupBy("cell").count().collect()}  # a row a cell
-    parts = {c: -(-n // QUERIES) for c, n in members.items()}
-    first, tasks = {}, 0
-    for c in sorted(parts):
-        first[c], tasks = tasks, tasks + parts[c]
-    routes = [(int(i), first[c] + p) for c in parts for i in near[c, :probes] for p in range(parts[c])]
-    routes = spark.createDataFrame(routes, f"{OWN}cell int, task int")
-    starts = spark.createDataFrame([(c, first[c], parts[c]) for c in parts], f"{OWN}cell int, {OWN}first int, {OWN}parts int")
-    send = F.broadcast if tasks * probes <= 500_000 else lambda df: df
-    items = coded.join(send(routes), F.col("cell") == F.col(OWN + "cell")).select("task", F.lit(True).alias("item"), *coded.columns)
+    probes = _pilot(coded, sample[:PILOT], centres, k, recall, dim)
+
+    # A place of search holds some queries of a cell, and the vectors of the cells nearest to that one.
+    starts = [(c, n, -(-n // QUERIES)) for c, n in sorted(coded.groupBy("cell").count().collect())]  # a row a cell
+    first = np.cumsum([0, *[s[2] for s in starts]])
+    tasks, count = int(first[-1]), len(centres)
+    starts = spark.createDataFrame([(c, int(f), p) for (c, _, p), f in zip(starts, first)], f"{OWN}cell int, {OWN}first int, {OWN}parts int")
+    slots = max(partitions(coded), min(tasks, PARTITIONS))
+    places = F.sequence(F.col(OWN + "first"), F.col(OWN + "first") + F.col(OWN + "parts") - 1)
+    near = _near(spark, held, count, probes).join(starts, F.col("own") == F.col(OWN + "cell")).select("cell", F.explode(places).alias("task"))
+    routes = near.groupBy(F.col("cell").alias(OWN + "cell")).agg(F.collect_list("task").alias(OWN + "tasks"))
+    send = F.broadcast if tasks * probes <= BROADCAST_ROWS else lambda df: df
+    items = coded.join(send(routes), F.col("cell") == F.col(OWN + "cell")).select(F.explode(OWN + "tasks").alias("task"), F.lit(True).alias("item"), *coded.columns)
     own = F.col(OWN + "first") + F.pmod(F.xxhash64("id"), F.col(OWN + "parts")).cast("int")
-    asked = coded.join(F.broadcast(starts), F.col("cell") == F.col(OWN + "cell")).select(own.alias("task"), F.lit(False).alias("item"), *coded.columns)
+    few = F.broadcast if count <= BROADCAST_ROWS else lambda df: df
+    asked = coded.join(few(starts), F.col("cell") == F.col(OWN + "cell")).select(own.alias("task"), F.lit(False).alias("item"), *coded.columns)
     # Within a task cells come one after the other, its own first, so that bounds are tight early.
-    sent = asked.unionByName(items).repartition(max(partitions(coded), min(tasks, 10_000)), "task").sortWithinPartitions("task", "item", "cell")
+    both = asked.unionByName(items).join(F.broadcast(_even(spark, slots)), F.pmod("task", F.lit(slots)) == F.col(OWN + "slot"))
+    sent = both.repartition(slots, OWN + "at").select("task", "item", *coded.columns).sortWithinPartitions("task", "item", "cell")
     found = sent.mapInArrow(_search(k, dim, held), out)
-    return found.dropDuplicates(["vec_id", "rank"]) if _repeated(coded) else found
+    if not _repeated(coded):
+        return found
+    best = found.groupBy("vec_id", "neighbour_id").agg(F.max("similarity").alias("similarity"))
+    rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("similarity"), "neighbour_id"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("vec_id", "neighbour_id", "rank", "similarity")
+
+
+def _near(spark: SparkSession, held, cells: int, probes: int) -> DataFrame:
+    """(own, cell): each cell and the `probes` cells nearest to it, itself first; some rows of the matrix at a time, on executors."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres = held.value[0]
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for i in range(0, len(ids), 128):
+                some = ids[i : i + 128]
+                near = _ranked(centres, some)[:, :probes].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(some, near.shape[1]).astype(np.int32)), pa.array(near.ravel())], ["own", "cell"])
+
+    return spark.range(0, cells, 1, max(1, min(cells // 128, partitions(spark.range(0))))).mapInArrow(rows, "own int, cell int")
+
+
+def _ranked(centres: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """By nearness: the cells as seen from each of own."""
+    like = centres[own] @ centres.T
+    like[np.arange(len(own)), own] = np.inf
+    return np.argsort(-like, axis=1, kind="stable")
+
+
+def _even(spark: SparkSession, slots: int) -> DataFrame:
+    """(own slot, own at): for each partition a value that hashes to it, so that places are dealt out evenly."""
+    tried = spark.range(0, 32 * slots + 1024).select(F.col("id").cast("int").alias(OWN + "at"))
+    return tried.groupBy(F.pmod(F.hash(OWN + "at"), F.lit(slots)).alias(OWN + "slot")).agg(F.min(OWN + "at").alias(OWN + "at"))
 
 
 def _repeated(coded: DataFrame) -> bool:
     return bool(coded.groupBy("id").count().where("count > 1").limit(1).count())
 
 
-def _pilot(coded: DataFrame, queries: np.ndarray, centres: np.ndarray, near: np.ndarray, k: int, recall: float, dim: int) -> int:
+def _pilot(coded: DataFrame, queries: np.ndarray, centres: np.ndarray, k: int, recall: float, dim: int) -> int:
     """The least number of nearest cells that hold the wanted share of the sampled queries' true neighbours."""
 
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,9 +315,9 @@ def _pilot(coded: DataFrame, queries: np.ndarray, centres: np.ndarray, near: np.
     best = found.groupBy("q").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("s", "cell")))), 1, k + 1).alias("b"))
     own, ranks = (queries @ centres.T).argmax(1), []
     for q, b in best.collect():  # PILOT rows
-        place = {c: r for r, c in enumerate(near[own[q]].tolist())}
+        place = {c: r for r, c in enumerate(_ranked(centres, own[q : q + 1])[0].tolist())}
         ranks += [place[x["cell"]] for x in b[1:]]  # without the query itself
     if not ranks:
-        return near.shape[1]
+        return len(centres)
     ranks = np.sort(ranks)
     return int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)]) + 1

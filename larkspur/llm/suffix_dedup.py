@@ -2,8 +2,8 @@
 
 A full suffix array holds a suffix for every word, each as long as what it is compared by: far more than the text. But a window
 of `least` words repeats only if the run of `lead` words in it that hashes least repeats too, at the same place in it. So
-windows are grouped to runs with a common leading run of words, and only runs whose lead occurs again are carried on; the rest
-can't repeat. Those suffixes are range-partitioned by their leading words with sampled splitters, so that buckets are of
+windows are grouped to runs with a common leading run of words (of `lead` words, a parameter), and only runs whose lead occurs again
+are carried on; the rest can't repeat. Those suffixes are range-partitioned by their leading words with sampled splitters, so that buckets are of
 like size; a lead with very many suffixes is spread over several buckets. Each bucket sorts its suffixes by multikey quicksort, all
 groups of equal prefixes at once and ten words a step, dropping what has become unique, until equal neighbours share `least`
 words. The first and last lead of a bucket may go on in the next one: their windows are compared across boundaries by a
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import OWN, claim, materialize, partitions
+from larkspur.llm.common import OWN, claim, integer, materialize, partitions, release
 
 LEAST, LEAD = 50, 8
 #: Words that one step of the sort compares.
@@ -28,8 +28,8 @@ STEP = 10
 SLICE, SORTED = 1 << 18, 1 << 16
 #: Runs that are sent on in a batch.
 CARRIED = 5000
-#: Suffixes that are sampled for each splitter.
-SAMPLES = 50
+#: Suffixes that are sampled for each splitter, and that a bucket holds about, at most.
+SAMPLES, BUCKET = 50, 200_000
 BROADCAST_ROWS = 500_000
 REMEMBERED = 400_000
 
@@ -78,16 +78,24 @@ def runs(texts: list[np.ndarray], least: int, lead: int) -> tuple[np.ndarray, ..
     fingerprint of the lead, 32 bits each."""
     ends = np.cumsum([len(t) for t in texts])
     w, doc = np.concatenate(texts), np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    grams, bits = _rolling(w, lead, _M[2]), max(1, int(len(w)).bit_length())
-    # The place in the low bits finds the leftmost of the least, which is the same place in equal windows.
-    low = grams & ~_U((1 << bits) - 1) | np.arange(len(grams), dtype=_U)
+    grams = _rolling(w, lead, _M[2])
+    # The leftmost of the least is at the same place in equal windows, whatever else the batch holds.
+    low, at = grams, np.arange(len(grams))
+
+    def least_of(a: int, b: int) -> None:
+        nonlocal low, at
+        n = len(low) - b
+        second = low[b:] < low[a : a + n]
+        low, at = np.where(second, low[b:], low[a : a + n]), np.where(second, at[b:], at[a : a + n])
+
     width, size = least - lead + 1, 1
     while size * 2 <= width:
-        low, size = np.minimum(low[:-size], low[size:]), size * 2
+        least_of(0, size)
+        size *= 2
     if size < width:
-        low = np.minimum(low[: size - width], low[width - size :])
+        least_of(0, width - size)
     inside = doc[: len(low)] == doc[least - 1 :]
-    at = np.where(inside, (low & _U((1 << bits) - 1)).astype(np.int64), -1)
+    at = np.where(inside, at, -1)
     starts = np.nonzero(inside & np.concatenate([[True], at[1:] != at[:-1]]))[0]
     stops = np.nonzero(inside & np.concatenate([at[1:] != at[:-1], [True]]))[0]
     a = at[starts]
@@ -150,20 +158,52 @@ def _carry(least: int):
     return carry
 
 
-def multikey_sort(symbols: np.ndarray, start: np.ndarray, group: np.ndarray, depths: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix, group) of the suffixes that equal another one in their group up to the last depth. A step sorts each group of
-    equal prefixes by its next symbol and splits it; suffixes that are alone are dropped."""
-    alive = np.arange(len(start))
-    for d in depths:
-        symbol = symbols[start[alive] + d]
-        order = np.lexsort((symbol, group))
-        alive, group, symbol = alive[order], group[order], symbol[order]
+def multikey_quicksort(symbols: np.ndarray, start: np.ndarray, group: np.ndarray, depths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(suffix, group) of the suffixes that equal another one in their group up to the last depth, in order.
+
+    Each round cuts every group in three by the symbol of its middle suffix at its own depth: less, equal and greater; the equal
+    ones go on to the next depth. All groups are cut at once. Suffixes that are alone in theirs are dropped.
+    """
+    at, deep = np.array(depths), np.zeros(len(start), np.int64)
+    alive = np.argsort(group, kind="stable")
+    group = group[alive]
+    done: list[np.ndarray] = []
+    while True:
         new = np.ones(len(alive), bool)
-        new[1:] = (group[1:] != group[:-1]) | (symbol[1:] != symbol[:-1])
+        new[1:] = group[1:] != group[:-1]
         group = np.cumsum(new) - 1
-        keep = np.bincount(group, minlength=1)[group] > 1 if len(group) else np.zeros(0, bool)
+        size = np.bincount(group, minlength=1)
+        keep, ready = size[group] > 1, deep[alive] == len(at)
+        done.append(alive[keep & ready])
+        done.append(group[keep & ready])
+        keep &= ~ready
         alive, group = alive[keep], group[keep]
-    return alive, group
+        if not len(alive):
+            break
+        first = np.nonzero(np.concatenate([[True], group[1:] != group[:-1]]))[0]
+        size = np.diff(np.append(first, len(group)))
+        symbol = symbols[start[alive] + at[deep[alive]]]
+        pivot = np.repeat(symbol[first + size // 2], size)
+        begin = np.repeat(first, size)
+        side = np.where(symbol < pivot, 0, np.where(symbol == pivot, 1, 2))
+        place = begin.copy()
+        for k in range(3):
+            own = side == k
+            upto = np.cumsum(own) - own
+            place[own] += (upto - np.repeat(upto[first], size))[own]
+            place[side > k] += np.repeat(np.add.reduceat(own, first), size)[side > k]
+        order = np.empty(len(alive), np.int64)
+        order[place] = np.arange(len(alive))
+        alive, group = alive[order], group[order] * 3 + side[order]
+        deep[alive[side[order] == 1]] += 1
+    alive = np.concatenate(done[::2])
+    sizes = [len(x) for x in done[::2]]
+    # Groups of different rounds are different ones.
+    rounds = np.repeat(np.arange(len(sizes)), sizes)
+    found = np.concatenate(done[1::2])
+    new = np.ones(len(alive), bool)
+    new[1:] = (found[1:] != found[:-1]) | (rounds[1:] != rounds[:-1])
+    return alive, np.cumsum(new) - 1
 
 
 def _sort(least: int):
@@ -182,7 +222,7 @@ def _sort(least: int):
         start = first[row] + within
         symbols = _rolling(w, STEP, _M[3])
         keys = np.unique([r[0] for r in rows], return_inverse=True)[1]
-        alive, group = multikey_sort(symbols, start, keys[row], depths)
+        alive, group = multikey_quicksort(symbols, start, keys[row], depths)
         dup = np.zeros(len(row), bool)
         dup[alive] = True
         begins = dup & np.concatenate([[True], ~dup[:-1] | (row[1:] != row[:-1])])
@@ -250,7 +290,7 @@ def repeats(docs: DataFrame, least: int = LEAST, lead: int = LEAD) -> DataFrame:
     end exclusive; stretches of one document neither overlap nor touch. A window repeats if it occurs at two places, in other
     documents or the same one.
 
-    docs has doc_id and text; other columns are not read. Words are counted from 0, cut at ASCII white space, and compared in
+    docs has doc_id, an integer (any other kind is a TypeError), and text; other columns, whatever their names, are not read. Words are counted from 0, cut at ASCII white space, and compared in
     lower case by letters and digits. Null and empty texts, and those of fewer than `least` words, have no row, copies of them
     neither. Rows with the same doc_id and text have their stretches once; with the same doc_id and another text, each its own.
     Rows with a null doc_id take part and have rows with a null doc_id. Texts of any length are taken whole. An empty table
@@ -259,7 +299,7 @@ def repeats(docs: DataFrame, least: int = LEAST, lead: int = LEAD) -> DataFrame:
     if not least >= max(STEP, lead):
         raise ValueError(f"least must be {max(STEP, lead)} or more")
     text = F.col("text")
-    source = docs.where(text.isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), F.xxhash64(F.lit(7), text).alias("hash2"), "text")
+    source = docs.where(text.isNotNull()).select(integer(docs, "doc_id").alias("id"), F.xxhash64("text").alias("hash"), F.xxhash64(F.lit(7), text).alias("hash2"), "text")
     members = materialize(source.select("id", "hash", "hash2"), "members")
     least_id = F.min(F.struct(F.col("id").isNull(), "id"))
     classes = members.groupBy("hash", "hash2").agg(least_id.alias("r"), F.count(F.lit(1)).alias("n")).where("n > 1").select("hash", "hash2", F.col("r.id").alias("rep"))
@@ -273,10 +313,14 @@ def repeats(docs: DataFrame, least: int = LEAST, lead: int = LEAD) -> DataFrame:
     binary = lambda df: df.withColumn("text", F.col("text").cast("binary"))
 
     cut = binary(once).mapInArrow(_cut(least, lead), "id long, hash long, key long, p int, q int")
-    again = cut.withColumn(OWN + "n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where(F.col(OWN + "n") > 1).drop(OWN + "n")
-    again = materialize(again, "runs")
-
-    total, buckets = again.count(), 4 * partitions(docs)
+    # Counted where they lie first, so that a lead of very many suffixes is nobody's alone; then the others are dropped.
+    cut = materialize(cut, "cut")
+    repeated = cut.groupBy("key").agg(F.count(F.lit(1)).alias(OWN + "n")).where(F.col(OWN + "n") > 1).select("key")
+    again = materialize(cut.join(repeated, "key", "left_semi"), "runs")
+    release(cut)
+
+    total = again.count()
+    buckets = max(4 * partitions(docs), -(-total // BUCKET))
     salt = F.pmod(F.xxhash64("id", "hash"), F.lit(1 << 31))
     some = again.sample(min(1.0, buckets * SAMPLES / max(1, total)), seed=17).select("key", salt.alias("salt")).toArrow()
     order = sorted(zip(some["key"].to_pylist(), some["salt"].to_pylist()))

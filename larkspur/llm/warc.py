@@ -8,6 +8,7 @@ magic); the index maps record identifiers to (frame, offset within it, length).
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
 from collections.abc import Iterator
 
@@ -16,6 +17,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.common import integer
+
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 #: Bytes of records, before compression, after which a frame or a bundle is closed.
 FRAME, BUNDLE = 1 << 20, 1 << 24
@@ -33,10 +36,11 @@ def record(page_id: int | None, url: str | None, body: bytes | None, date: str =
     head = ["WARC/1.1", "WARC-Type: resource", f"WARC-Record-ID: {name}", f"WARC-Date: {date}"]
     if url is not None:
         head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
+        if "\r" in url or "\n" in url:  # as it was, for reading
+            head.append("X-Target-URI: " + json.dumps(url))
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
-    if body is None:
-        head.append("X-Null-Payload: 1")
+    head.append("X-Null-Payload: 1" if body is None else f"WARC-Payload-Digest: sha256:{hashlib.sha256(body).hexdigest()}")
     head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body or b'')}"]
     return name, "\r\n".join(head).encode() + b"\r\n\r\n" + (body or b"") + b"\r\n\r\n"
 
@@ -45,6 +49,8 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes | None]:
     """A record's headers and payload."""
     head, _, rest = data.partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+    if "X-Target-URI" in fields:
+        fields["WARC-Target-URI"] = json.loads(fields.pop("X-Target-URI"))
     return fields, None if "X-Null-Payload" in fields else rest[: int(fields["Content-Length"])]
 
 
@@ -104,9 +110,9 @@ class _Bundle:
 def bundle(pages: DataFrame, frame: int = FRAME, size: int = BUNDLE, level: int = 3) -> DataFrame:
     """One row a bundle: bundle_id (digest of content), n_frames, n_records, content, entries.
 
-    pages has page_id, url and html; other columns are not read. Every row is a record, repeated rows too (their records have
+    pages has page_id, an integer (any other kind is a TypeError), url and html; other columns, whatever their names, are not read. Every row is a record, repeated rows too (their records have
     the same identifier and an entry each); any of the columns may be null, and reading tells null from empty. A record
-    longer than a frame has a frame of its own, whole. An empty table gives no bundle.
+    longer than a frame has a frame of its own, whole. All records bear the same date, as pages have none. An empty table gives no bundle.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +127,7 @@ def bundle(pages: DataFrame, frame: int = FRAME, size: int = BUNDLE, level: int
         if now.entries:
             yield now.row()
 
-    return pages.select(F.col("page_id").cast("long"), "url", F.col("html").cast("binary")).mapInArrow(cut, DDL)
+    return pages.select(integer(pages, "page_id").alias("page_id"), "url", F.col("html").cast("binary")).mapInArrow(cut, DDL)
 
 
 def index(bundles: DataFrame) -> DataFrame:

@@ -80,3 +80,24 @@ def test_odd_rows(spark):
     assert rows(A.neighbours(spark.createDataFrame([(1, [0.0, 0.0])], SCHEMA))) == []
     clash = spark.createDataFrame([(1, [1.0, 0.0], 3, 4), (2, [1.0, 0.0], 3, 4)], SCHEMA + ", id int, rank int")
     assert rows(A.neighbours(clash)) == [(1, 2, 1, 1.0), (2, 1, 1, 1.0)]
+
+
+@pytest.mark.parametrize("parts,seed,cell", [(1, 1, 4096), (4, 2, 60), (7, 3, 25)])
+def test_repeated_identifiers(spark, parts, seed, cell):
+    """Of several vectors of an identifier the best counts, on both sides, however rows lie."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((260, 6))
+    ids = np.concatenate([np.arange(200), rng.integers(0, 200, 60)])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    like = np.full((200, 200), -9.0)
+    np.maximum.at(like, (ids[:, None].repeat(260, 1), ids[None].repeat(260, 0)), u @ u.T)
+    np.fill_diagonal(like, -9)
+    order = rng.permutation(260)
+    got = {}
+    for r in A.neighbours(table(spark, ids[order], x[order]).repartition(parts), 5, recall=1.0, seed=seed, cell=cell).collect():
+        got.setdefault(r.vec_id, {})[r["rank"]] = (r.neighbour_id, r.similarity)
+    for i in range(200):
+        best = np.sort(like[i])[::-1][:5]
+        assert [got[i][k][1] for k in range(1, 6)] == pytest.approx(best, abs=2e-5) and all(abs(like[i, j] - s) < 2e-5 for j, s in got[i].values())
+    with pytest.raises(TypeError):
+        A.neighbours(spark.createDataFrame([("a", [1.0])], "vec_id string, embedding array<float>"))

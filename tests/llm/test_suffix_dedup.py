@@ -98,11 +98,47 @@ def test_runs_cover_each_window_once(lists):
         assert keys.setdefault(tuple(lists[d][i : i + 12]), k) == k
 
 
-def test_multikey_sort():
-    symbols = np.array([1, 2, 3, 1, 2, 4, 1, 2, 3], np.uint64)
-    alive, group = S.multikey_sort(symbols, np.array([0, 3, 6]), np.zeros(3, np.int64), [0, 1, 2])
-    assert sorted(alive) == [0, 2] and len(set(group)) == 1
-    assert S.multikey_sort(symbols, np.zeros(0, np.int64), np.zeros(0, np.int64), [0])[0].size == 0
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=6, max_size=80), st.integers(1, 3))
+def test_multikey_quicksort(words_, groups):
+    """The suffixes that agree with another one of their group in all depths, and groups of those that do."""
+    symbols, depths = np.array(words_, np.uint64), [0, 2, 5]
+    start = np.arange(len(words_) - 5)
+    group = start % groups
+    alive, found = S.multikey_quicksort(symbols, start, group, depths)
+    key = lambda i: (i % groups, *(words_[i + d] for d in depths))
+    count = Counter(key(i) for i in start)
+    assert sorted(alive) == [i for i in start if count[key(i)] > 1]
+    by = {}
+    for i, g in zip(alive, found):
+        by.setdefault(g, set()).add(key(i))
+    assert all(len(v) == 1 for v in by.values()) and len(by) == len({key(i) for i in alive})
+
+
+def test_nothing_to_sort():
+    assert S.multikey_quicksort(np.zeros(3, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), [0])[0].size == 0
+
+
+@pytest.mark.parametrize("lead", [3, 4, 8, 12])
+def test_against_a_plain_suffix_array(spark, lead):
+    """The lead decides what is carried on, not what is found."""
+    items = planted(11, 60, 12)
+    text, ends = [], {}
+    for i, t in items:
+        for j, w in enumerate(words(t)):
+            text.append((w, i, j))
+        ends[i] = len(words(t))
+    order = sorted(range(len(text)), key=lambda x: [w for w, _, _ in text[x : x + 12]])
+    window = lambda x: tuple(w for w, _, _ in text[x : x + 12]) if text[x][2] + 12 <= ends[text[x][1]] else None
+    order = [x for x in order if window(x)]
+    again = {y for x, z in zip(order, order[1:]) if window(x) == window(z) for y in (x, z)}
+    covered = {}
+    for x in again:
+        covered.setdefault(text[x][1], set()).update(range(text[x][2], text[x][2] + 12))
+    got = {}
+    for i, a, b in repeats(spark, items, 12, lead):
+        got.setdefault(i, set()).update(range(a, b))
+    assert got == covered
 
 
 def test_odd_rows(spark):

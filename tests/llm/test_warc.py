@@ -47,11 +47,11 @@ def test_index(spark):
 
 def test_odd_rows(spark):
     long = "<p>x</p>" * 300_000
-    data = [(1, "http://a", "<p>hi"), (1, "http://a", "<p>hi"), (None, None, None), (2, None, ""), (3, "http://b", None), (4, "u", long), (5, "ü", "WARC/1.1\r\n\r\n\r\n")]
+    data = [(1, "http://a", "<p>hi"), (1, "http://a", "<p>hi"), (None, None, None), (2, None, ""), (3, "http://b", None), (4, "u", long), (5, "ü", "WARC/1.1\r\n\r\n\r\n"), (6, "http://a\nb\r\nc", "x")]
     bundles = W.bundle(spark.createDataFrame(data, SCHEMA), 1 << 16, 1 << 20)
     assert rows(W.restore(bundles)) == sorted(data, key=repr)
     ids = [r.record_id for r in W.index(bundles).collect()]
-    assert len(ids) == 7 and len(set(ids)) == 6
+    assert len(ids) == 8 and len(set(ids)) == 7
     assert rows(W.bundle(spark.createDataFrame([], SCHEMA))) == []
     clash = spark.createDataFrame([(1, "u", "h", b"x", "y")], SCHEMA + ", content binary, entries string")
     assert rows(W.restore(W.bundle(clash))) == [(1, "u", "h")]
