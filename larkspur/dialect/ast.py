@@ -189,6 +189,16 @@ class Derived(Node):
     columns: list[str] | None = None
 
 
+@dataclass
+class TableCall(Node):
+    """A function in FROM."""
+
+    parts: list[str]
+    args: list[Node]
+    alias: str
+    columns: list[str] | None = None
+
+
 @dataclass
 class Join(Node):
     """kind: INNER, LEFT, RIGHT, FULL, CROSS, CROSS APPLY, OUTER APPLY"""
@@ -371,6 +381,31 @@ class CreateProc(Node):
     replace: str
 
 
+@dataclass
+class CreateFunction(Node):
+    """returns: a type, or None for a table. body: an expression or a query."""
+
+    name: list[str]
+    params: list[tuple[str, TypeName, Node | None]]
+    returns: TypeName | None
+    body: Node
+    text: str
+    replace: str
+
+
+@dataclass
+class Transaction(Node):
+    """action: BEGIN, COMMIT or ROLLBACK"""
+
+    action: str
+
+
+@dataclass
+class Try(Node):
+    body: list[Node]
+    handler: list[Node]
+
+
 @dataclass
 class DropRoutine(Node):
     kind: str

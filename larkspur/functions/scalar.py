@@ -167,7 +167,7 @@ def scalar(name: str, args: list[Arg], compat: bool) -> Arg:
 
 
 def aggregate(name: str, args: list[Arg], star: bool, distinct: bool, compat: bool, within: str | None = None) -> Arg:
-    """SUM and AVG are always double."""
+    """SUM and AVG are double, but for decimals that are a kind of their own."""
     if name in ("COUNT", "COUNT_BIG"):
         if star:
             return "count(*)", "int"
@@ -179,6 +179,9 @@ def aggregate(name: str, args: list[Arg], star: bool, distinct: bool, compat: bo
         raise BadCall(f"{name} takes one argument")
     sql, kind = args[0]
     if name in ("SUM", "AVG"):
+        if kind == "dec":
+            found = f"{name.lower()}({'DISTINCT ' * distinct}{sql})"
+            return (f"coalesce({found}, 0)" if compat and name == "SUM" else found), "dec"
         found = f"{name.lower()}({'DISTINCT ' * distinct}cast({sql} as double))"
         return (f"coalesce({found}, 0D)" if compat and name == "SUM" else found), "float"
     if name in ("MIN", "MAX"):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -363,6 +364,14 @@ PAIRS |= {
 }
 
 
+PAIRS |= {
+    "function_scalar": ("CREATE FUNCTION taxed(@p FLOAT, @r FLOAT = 0.5) RETURNS FLOAT AS BEGIN RETURN @p * (1 + @r) END\nGO\nSELECT o_orderkey, dbo.taxed(o_totalprice, 0.25) AS a, taxed(o_totalprice) AS b FROM orders WHERE taxed(o_totalprice, 0) > 100000", "SELECT o_orderkey, o_totalprice * 1.25 AS a, o_totalprice * 1.5 AS b FROM orders WHERE o_totalprice > 100000"),
+    "function_table": ("CREATE FUNCTION of_region(@k INT) RETURNS TABLE AS RETURN (SELECT n_name, n_nationkey FROM nation WHERE n_regionkey = @k)\nGO\nSELECT r.r_name, t.n_name FROM region r CROSS APPLY of_region(r.r_regionkey) t WHERE t.n_nationkey > 3 UNION ALL SELECT 'two', n_name FROM of_region(2)", "SELECT r_name, n_name FROM region JOIN nation ON n_regionkey = r_regionkey WHERE n_nationkey > 3 UNION ALL SELECT 'two', n_name FROM nation WHERE n_regionkey = 2"),
+    "transaction": ("BEGIN TRAN; DELETE FROM region WHERE r_regionkey = 1; BEGIN TRAN; UPDATE region SET r_name = 'lost'; COMMIT; ROLLBACK; BEGIN TRANSACTION; DELETE FROM region WHERE r_regionkey = 0; COMMIT TRANSACTION; SELECT r_name, @@TRANCOUNT AS still_open FROM region", "SELECT r_name, 0 AS still_open FROM region WHERE r_regionkey <> 0"),
+    "try_catch": ("BEGIN TRY DELETE FROM region; DELETE FROM nowhere; END TRY BEGIN CATCH SELECT n_name, ERROR_MESSAGE() AS said FROM nation END CATCH", "SELECT n_name, 'unknown table nowhere' AS said FROM nation"),
+}
+
+
 class _Thick(ParquetProvider):
     """A source that answers by itself: whole statements, or aggregates alone. What it answers bears its mark."""
 
@@ -452,6 +461,72 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{root}/out").select(F.col("window.start").alias("day"), "event_type", "n")
 
 
+def udaf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An aggregate in Python, a group's values at a time. Spark has it beside no aggregate of its own."""
+
+    def middle(values: pd.Series) -> float:
+        return float(values.median())
+
+    s = session(spark, sf_dir)
+    s.register_aggregate("middle", middle, "double")
+    return s.sql("SELECT p_brand, MIDDLE(p_size) AS m FROM part WHERE p_size > 3 GROUP BY p_brand")
+
+
+def udtf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table function in Python, applied to each row and called in FROM."""
+
+    class Upto:
+        def eval(self, n: int):
+            for k in range(n):
+                yield k, k * n
+
+    s = session(spark, sf_dir)
+    s.register_table_function("upto", Upto, "k int, product int")
+    return s.sql("SELECT n.n_name, t.k, t.product FROM nation n CROSS APPLY upto(n.n_regionkey) t UNION ALL SELECT 'none', k, product FROM upto(3)")
+
+
+def exact_decimals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decimals that stay decimals, in sums too, and texts that are cut."""
+    s = session(spark, sf_dir, exact=True)
+    return s.sql("SELECT CAST(o_orderpriority AS VARCHAR(3)) AS p, CAST(SUM(CAST(o_totalprice AS DECIMAL(12, 2))) AS VARCHAR(40)) AS s, CAST(MAX(CAST(o_totalprice AS DECIMAL(12, 2)) * 2 + 1) AS VARCHAR(40)) AS m FROM orders WHERE CAST(o_totalprice AS DECIMAL(12, 2)) > 1000 GROUP BY CAST(o_orderpriority AS VARCHAR(3))")
+
+
+def state_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What one session has changed, made and dropped is there for another one of the same root."""
+    import uuid
+
+    from larkspur.session import _root
+
+    root = f"{_root(spark)}/{uuid.uuid4().hex}"
+    one = session(spark, sf_dir, root=root)
+    one.execute("DELETE FROM nation WHERE n_regionkey = 2; ALTER TABLE region ADD note NVARCHAR(9); UPDATE region SET note = 'first' WHERE r_regionkey = 1; CREATE TABLE made (k INT); INSERT INTO made VALUES (1), (3)")
+    one.execute("CREATE VIEW picked AS SELECT n_name, n_regionkey FROM nation WHERE n_nationkey > 4\nGO\nCREATE FUNCTION plus(@a INT) RETURNS INT AS BEGIN RETURN @a + 1 END\nGO\nBEGIN TRAN; DELETE FROM made")
+    return session(spark, sf_dir, root=root).sql("SELECT v.n_name, r.note, m.k, plus(m.k) AS succ FROM picked v JOIN region r ON r.r_regionkey = v.n_regionkey JOIN made m ON m.k = v.n_regionkey")
+
+
+def stream_stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A state of our own for each user of a stream of events, written as JSON; read again when all of it is done."""
+    import uuid
+
+    from larkspur.session import _root
+    from larkspur.streaming.views import add_stateful, start
+
+    def count(key, batches, state):
+        n, total = state.get if state.exists else (0, 0.0)
+        for b in batches:
+            n, total = n + len(b), total + float(b["value"].round(2).mul(100).round().sum())
+        state.update((n, total))
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "cents": [int(total)]})
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    root = f"{_root(spark)}/{uuid.uuid4().hex}"
+    events.write.parquet(f"{root}/in")
+    s = session(spark, sf_dir)
+    add_stateful(s, "counted", spark.readStream.schema(events.schema).parquet(f"{root}/in"), ["user_id"], count, "user_id long, n long, cents long", "n long, total double")
+    start(s, "SELECT user_id, n, cents FROM counted WHERE n > 1", f"{root}/out", f"{root}/state", format="json").awaitTermination()
+    return spark.read.schema("user_id long, n long, cents long").json(f"{root}/out")
+
+
 def agg_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sum of nothing, and NULLs that a list of a subquery holds, read the two-valued way."""
     return session(spark, sf_dir, compat=True).sql("SELECT n_regionkey, SUM(NULLIF(n_nationkey, n_nationkey)) AS s FROM nation WHERE n_nationkey NOT IN (SELECT NULLIF(r_regionkey, 1) FROM region) GROUP BY n_regionkey")
@@ -460,7 +535,7 @@ def agg_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{k: _statement(v) for k, v in SAME.items()}, **{k: _statement(v[0]) for k, v in PAIRS.items()},
     **{f.__name__: f for f in (sp_columns, params_bound, udf_scalar, fn_getdate, src_memory, src_doc_inferred, src_doc_declared, src_doc_static, compat_not,
-        src_full_query, src_aggregate_pushdown, src_read_only, src_search_inferred, src_search_mapping, src_databases, src_formats, stream_windows, agg_compat)},
+        src_full_query, src_aggregate_pushdown, src_read_only, src_search_inferred, src_search_mapping, src_databases, src_formats, stream_windows, agg_compat, udaf, udtf, exact_decimals, state_kept, stream_stateful)},
 }
 
 ORACLES: dict[str, str] = {
@@ -470,6 +545,11 @@ ORACLES: dict[str, str] = {
     "udf_scalar": "SELECT o_orderkey, o_totalprice * 1.5 AS taxed FROM orders WHERE o_orderstatus = 'P'",
     "src_memory": "SELECT * FROM (VALUES (2, 'tom', NULL), (1, 'rex', 3), (3, NULL, 9)) t(id, name, age)",
     **dict.fromkeys(("src_doc_inferred", "src_doc_declared", "src_doc_static"), _DOCUMENTS_ORACLE),
+    "udaf": "SELECT p_brand, median(p_size) AS m FROM part WHERE p_size > 3 GROUP BY p_brand",
+    "udtf": "SELECT n_name, CAST(k AS INTEGER) AS k, CAST(k * n_regionkey AS INTEGER) AS product FROM nation, LATERAL (SELECT unnest(range(n_regionkey)) AS k) t UNION ALL SELECT 'none', CAST(k AS INTEGER), CAST(k * 3 AS INTEGER) FROM range(3) t(k)",
+    "exact_decimals": "SELECT substring(o_orderpriority, 1, 3) AS p, CAST(SUM(CAST(o_totalprice AS DECIMAL(12, 2))) AS VARCHAR) AS s, CAST(MAX(CAST(o_totalprice AS DECIMAL(12, 2)) * 2 + 1) AS VARCHAR) AS m FROM orders WHERE o_totalprice > 1000 GROUP BY 1",
+    "state_kept": "SELECT n_name, CASE WHEN n_regionkey = 1 THEN 'first' END AS note, n_regionkey AS k, n_regionkey + 1 AS succ FROM nation WHERE n_regionkey IN (1, 3) AND n_nationkey > 4",
+    "stream_stateful": "SELECT user_id, COUNT(*) AS n, CAST(SUM(round(round(value, 2) * 100)) AS BIGINT) AS cents FROM events GROUP BY user_id HAVING COUNT(*) > 1",
     "src_full_query": "SELECT n_name, r_name, 'source' AS by FROM nation JOIN region ON r_regionkey = n_regionkey",
     "src_aggregate_pushdown": "SELECT o_orderstatus AS k, COUNT(*) AS n, 'source' AS by FROM orders GROUP BY 1 UNION ALL SELECT r_name, COUNT(*), 'engine' FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1",
     "src_read_only": "SELECT r_name, 'refused' AS said FROM region",

@@ -25,6 +25,7 @@ from larkspur.plans.lower import Lowering, Out, Problem, Scope, kind_of, kind_of
 from larkspur.routines import Routine, RoutineStore
 from larkspur.sources.provider import Provider, Unsupported
 from larkspur.sources.snapshot import GONE, PLACE, Snapshot, SnapshotStore
+from larkspur.sources.state import StateStore
 
 VERSION = "Larkspur 1.0 (Spark SQL)"
 SERVER = "larkspur"
@@ -55,12 +56,17 @@ class _Database:
 
 class Session:
     """compat reads NULL the two-valued way where the dialect's first engine did: NOT and NOT IN keep rows with NULL, a sum of
-    nothing is 0, string functions take NULL for an empty string, LEN counts bytes and TRIM strips all white space."""
+    nothing is 0, string functions take NULL for an empty string, LEN counts bytes and TRIM strips all white space.
 
-    def __init__(self, spark: SparkSession, providers: Iterable[Provider] = (), database: str | None = None, compat: bool = False, root: str | None = None, routines: RoutineStore | None = None):
-        self.spark, self.compat = spark, compat
+    exact: DECIMAL(p, s) keeps its precision and scale, in sums too, and VARCHAR(n) cuts; else decimals are doubles and n says nothing.
+    root: a shared folder where tables that statements change, databases, views, procedures and functions stay: a later session with the
+    same one has them. Without it they end with the session. One session writes at a time."""
+
+    def __init__(self, spark: SparkSession, providers: Iterable[Provider] = (), database: str | None = None, compat: bool = False, root: str | None = None, routines: RoutineStore | None = None, exact: bool = False):
+        self.spark, self.compat, self.exact = spark, compat, exact
         self.id = uuid.uuid4().hex[:8]
         self.databases: dict[str, _Database] = {}
+        self.databases_made: dict[str, bool] = {}
         for p in providers:
             for name in p.databases():
                 self.databases[name.lower()] = _Database(name, p)
@@ -68,10 +74,17 @@ class Session:
         self.routines = routines or RoutineStore()
         self.store = SnapshotStore(spark, root or _root(spark))
         self.functions: dict[str, str] = {}
+        self.table_functions: dict[str, tuple[str, Out]] = {}
+        #: What ROLLBACK goes back to, a state for each BEGIN TRANSACTION; and the last error that was caught.
+        self.saved: list[tuple] = []
+        self.error: str | None = None
         self.variables: dict[str, tuple[Any, str | None]] = {}
         self.registered: dict[tuple, tuple[str, Out]] = {}
         self.streams: dict[tuple[str, str], Table] = {}
         self.affected = 0
+        self.kept = StateStore(spark, root) if root else None
+        if self.kept:
+            self._load()
 
     # What users call.
     def sql(self, text: str, params: dict[str, Any] | None = None) -> DataFrame:
@@ -107,7 +120,25 @@ class Session:
         self.spark.udf.register(spark_name, F.pandas_udf(function, return_type) if vectorized else F.udf(function, return_type))
         self.functions[name.upper()] = spark_name
 
+    def register_aggregate(self, name: str, function: Callable, return_type: T.DataType | str) -> None:
+        """An aggregate for queries: function takes pandas Series, with type hints to say so, and gives one value for a group."""
+        self.register_function(name, function, return_type)
+
+    def register_table_function(self, name: str, handler: type, return_type: T.StructType | str) -> None:
+        """A table function for FROM and APPLY: a class whose eval() yields rows."""
+        spark_name = f"lk_{self.id}_{name.lower()}"
+        struct = return_type if isinstance(return_type, T.StructType) else T.StructType.fromDDL(return_type)
+        self.spark.udtf.register(spark_name, F.udtf(handler, returnType=struct))
+        self.table_functions[name.upper()] = (spark_name, [(f.name, kind_of(f.dataType, self.exact)) for f in struct.fields])
+
     # What lowering asks.
+    def routine_function(self, name: str) -> tuple | None:
+        r = self.routines.get("FUNCTION", self.database, name)
+        return (r.params, *r.tree) if r else None
+
+    def table_function(self, name: str) -> tuple[str, Out] | None:
+        return self.table_functions.get(name.upper())
+
     def user_function(self, name: str) -> str | None:
         return self.functions.get(name)
 
@@ -146,8 +177,8 @@ class Session:
         """(whether it is one, its value): what a call with constant arguments says of the session or the catalog."""
         if not args:
             user, now = "larkspur", {
-                "@@VERSION": VERSION, "@@SPID": 1, "@@SERVERNAME": SERVER, "@@LANGUAGE": "us_english", "@@ROWCOUNT": self.affected, "@@ERROR": 0,
-                "@@TRANCOUNT": 0, "@@FETCH_STATUS": 0, "DB_NAME": self.database, "ORIGINAL_DB_NAME": self.database, "HOST_NAME": SERVER, "APP_NAME": SERVER,
+                "@@VERSION": VERSION, "@@SPID": 1, "@@SERVERNAME": SERVER, "@@LANGUAGE": "us_english", "@@ROWCOUNT": self.affected, "@@ERROR": 0, "ERROR_MESSAGE": self.error,
+                "@@TRANCOUNT": len(self.saved), "@@FETCH_STATUS": 0, "DB_NAME": self.database, "ORIGINAL_DB_NAME": self.database, "HOST_NAME": SERVER, "APP_NAME": SERVER,
             }
             if name in now:
                 return True, now[name]
@@ -218,7 +249,7 @@ class Session:
         view = f"lk_{self.id}_{''.join(c if c.isalnum() else '_' for c in name)}"
         frame.createOrReplaceTempView(view)
         schema = table.schema if table else frame.schema
-        return quote(view), [(f.name, kind_of(f.dataType)) for f in schema.fields]
+        return quote(view), [(f.name, kind_of(f.dataType, self.exact)) for f in schema.fields]
 
     def _system(self, database: str, name: str) -> tuple[str, Out] | None:
         found = system_views.view(name, self._tables(database), self._names())
@@ -343,6 +374,51 @@ class Session:
         """The one step that makes a change visible."""
         db.changed[name.lower()] = snapshot
         self.registered.pop((db.name.lower(), name.lower()), None)
+        self._keep()
+
+    def _keep(self) -> None:
+        """What is in force now becomes what later sessions find; within a transaction nothing does."""
+        if self.kept and not self.saved:
+            self.kept.save(self.databases_made, [(d.name, d.changed) for d in self.databases.values()], list(self.routines.held.values()))
+
+    def _load(self) -> None:
+        made, changed, routines = self.kept.load()
+        for name, there in made.items():
+            self.databases_made[name] = there
+            if there:
+                self.databases.setdefault(name.lower(), _Database(name))
+            else:
+                self.databases.pop(name.lower(), None)
+        for name, tables in changed:
+            if name.lower() in self.databases:
+                self.databases[name.lower()].changed = tables
+        held, self.kept = self.kept, None
+        for database, text in routines:
+            with self.within(database):
+                for s in parse(text):
+                    s.replace = "CREATE OR ALTER"
+                    self._one(s)
+        self.kept = held
+
+    def _on_transaction(self, s: A.Transaction) -> None:
+        """Tables, databases and routines are values that statements replace, so a transaction only has to remember the old ones."""
+        if s.action == "BEGIN":
+            self.saved.append(({k: dataclasses.replace(d, changed=dict(d.changed)) for k, d in self.databases.items()}, dict(self.databases_made), dict(self.routines.held), self.database))
+        elif not self.saved:
+            raise Problem(f"{s.action} without BEGIN TRANSACTION")
+        elif s.action == "COMMIT":
+            self.saved.pop()
+            self._keep()
+        else:  # all the way, as the innermost has no say of its own
+            self.databases, self.databases_made, self.routines.held, self.database = self.saved[0]
+            self.saved, self.registered = [], {k: v for k, v in self.registered.items() if k in self.streams}
+
+    def _on_try(self, s: A.Try) -> Result:
+        try:
+            return self._run(s.body)
+        except Exception as x:  # whatever ends a statement
+            self.error = str(x).splitlines()[0] if str(x) else type(x).__name__
+            return self._run(s.handler)
 
     def _on_insert(self, s: A.Insert) -> Result:
         db, table = self._target(s.table)
@@ -371,7 +447,7 @@ class Session:
 
     def _row_scope(self, table: Table) -> Scope:
         scope = Scope()
-        scope.add(table.name, [(c.name, kind_of(c.type)) for c in table.columns])
+        scope.add(table.name, [(c.name, kind_of(c.type, self.exact)) for c in table.columns])
         return scope
 
     def _change(self, parts: list[str], where: A.Node | None, sets: list[tuple[str, A.Node]] | None) -> Result:
@@ -566,15 +642,18 @@ class Session:
             if known:
                 raise Problem(f"{s.name} exists already")
             self.databases[s.name.lower()] = _Database(s.name)
+            self.databases_made[s.name] = True
         elif s.name.lower() in SYSTEM:
             raise Problem(f"{s.name} can't be dropped")
         elif known:
             db = self.databases.pop(s.name.lower())
+            self.databases_made[db.name] = False
             self.registered = {k: v for k, v in self.registered.items() if k[0] != db.name.lower()}
             if self.database.lower() == db.name.lower():
                 self.database = "master"
         elif not s.if_exists:
             raise Problem(f"unknown database {s.name}")
+        self._keep()
         return Result(affected=0)
 
     # Routines.
@@ -584,16 +663,25 @@ class Session:
         if db is not None and self._find(db, name) is not None:
             raise Problem(f"{name} is a table")
         self.routines.put(Routine("VIEW", database, name, s.text, s.query), s.replace)
+        self._keep()
+        return Result(affected=0)
+
+    def _on_createfunction(self, s: A.CreateFunction) -> Result:
+        database, _, name = self._split(s.name)
+        self.routines.put(Routine("FUNCTION", database, name, s.text, (s.returns, s.body), s.params), s.replace)
+        self._keep()
         return Result(affected=0)
 
     def _on_createproc(self, s: A.CreateProc) -> Result:
         database, _, name = self._split(s.name)
         self.routines.put(Routine("PROCEDURE", database, name, s.text, s.body, s.params), s.replace)
+        self._keep()
         return Result(affected=0)
 
     def _on_droproutine(self, s: A.DropRoutine) -> Result:
         database, _, name = self._split(s.name)
         self.routines.drop(s.kind, database, name, s.if_exists)
+        self._keep()
         return Result(affected=0)
 
     def _on_exec(self, s: A.Exec) -> Result:

@@ -242,3 +242,65 @@ def test_files_of_other_formats(spark, tmp_path):
     assert rows(s.sql("SELECT COUNT(*) FROM c JOIN p ON p.r_regionkey = c.r_regionkey AND p.r_name = c.r_name")) == [(5,)]
     assert rows(s.sql("SELECT DATA_TYPE FROM INFORMATION_SCHEMA.COLUMNS WHERE TABLE_NAME = 'c'")) == [("int",), ("nvarchar",)]
     assert s.execute("DELETE FROM c WHERE r_regionkey = 1").affected == 1 and s.sql("SELECT COUNT(*) FROM c").first()[0] == 4
+
+
+def test_transactions(spark):
+    from larkspur.plans.lower import Problem
+
+    s = Session(spark, [ParquetProvider(spark, SF, ["region"])])
+    count = lambda: s.sql("SELECT COUNT(*) FROM region").first()[0]
+    s.execute("BEGIN TRAN; DELETE FROM region WHERE r_regionkey = 1; CREATE TABLE t (a INT); CREATE VIEW v AS SELECT 1 AS x; CREATE DATABASE d")
+    assert count() == 4 and s.sql("SELECT @@TRANCOUNT").first()[0] == 1
+    s.execute("ROLLBACK")
+    assert count() == 5 and s.sql("SELECT COUNT(*) FROM sys.databases").first()[0] == 5
+    for gone in ("SELECT * FROM t", "SELECT * FROM v", "USE d", "COMMIT", "ROLLBACK TRAN"):
+        with pytest.raises(Problem):
+            s.execute(gone)
+    s.execute("BEGIN TRAN one; DELETE FROM region WHERE r_regionkey = 1; BEGIN TRAN; DELETE FROM region WHERE r_regionkey = 2; COMMIT; COMMIT TRAN one")
+    assert count() == 3 and s.sql("SELECT @@TRANCOUNT").first()[0] == 0
+    said = s.sql("BEGIN TRY DELETE FROM region; INSERT INTO region VALUES (1) END TRY BEGIN CATCH SELECT ERROR_MESSAGE() AS m, COUNT(*) AS n FROM region END CATCH").first()
+    assert "values" in said.m and said.n == 0
+
+
+def test_state_of_a_root(spark, tmp_path):
+    root, p = f"file://{tmp_path}/r", ParquetProvider(spark, SF, ["region"])
+    one = Session(spark, [p], root=root)
+    one.execute("BEGIN TRAN; DELETE FROM region; ROLLBACK; CREATE DATABASE d; CREATE TABLE d.dbo.t (a DECIMAL(5, 2), b BIT, c DATETIME2 NOT NULL, PRIMARY KEY (a)); CREATE PROC p AS SELECT 7 AS seven")
+    one.execute("INSERT INTO d.dbo.t VALUES (1.25, 1, '2026-01-02'); BEGIN TRAN; DROP DATABASE d")
+    two = Session(spark, [p], root=root)
+    assert two.sql("EXEC p").first()[0] == 7 and two.sql("SELECT COUNT(*) FROM region").first()[0] == 5
+    assert [str(x) for x in two.sql("SELECT a, b FROM d.dbo.t").first()] == ["1.25", "True"]
+    assert rows(two.sql("SELECT COLUMN_NAME FROM d.INFORMATION_SCHEMA.KEY_COLUMN_USAGE")) == [("a",)]
+    two.execute("DROP TABLE region; DROP DATABASE d; DROP PROC p")
+    three = Session(spark, [p], root=root)
+    assert rows(three.sql("SELECT TABLE_NAME FROM INFORMATION_SCHEMA.TABLES")) == [] and [d.name for d in three.databases.values()] == ["main"]
+    with pytest.raises(ValueError):
+        three.execute("EXEC p")
+
+
+def test_functions_in_sql(spark):
+    from larkspur.plans.lower import Problem
+
+    s = Session(spark, [ParquetProvider(spark, SF, ["region", "nation"])])
+    s.execute("CREATE FUNCTION half(@x FLOAT) RETURNS FLOAT AS BEGIN RETURN @x / 2 END")
+    s.execute("CREATE FUNCTION quarter(@x FLOAT) RETURNS FLOAT RETURN half(half(@x))")
+    s.execute("CREATE FUNCTION nations(@r INT) RETURNS INT AS BEGIN RETURN (SELECT COUNT(*) FROM nation WHERE n_regionkey = @r) END")
+    s.execute("CREATE FUNCTION forever(@x INT) RETURNS INT RETURN forever(@x)")
+    assert rows(s.sql("SELECT quarter(8) AS q, half(NULL) AS h, quarter('x') AS n")) == [(2.0, None, None)]
+    assert rows(s.sql("SELECT r_regionkey, nations(r_regionkey) AS n FROM region WHERE r_regionkey < 2")) == [(0, 5), (1, 5)]
+    assert s.execute("UPDATE region SET r_name = CAST(half(r_regionkey) AS VARCHAR(9)) WHERE half(r_regionkey) > 1").affected == 2
+    for bad in ("SELECT forever(1)", "SELECT half()", "SELECT half(1, 2)", "SELECT * FROM half(1) t", "SELECT * FROM nope(1) t", "CREATE FUNCTION half(@x INT) RETURNS INT RETURN 1"):
+        with pytest.raises(ValueError):
+            s.sql(bad)
+    s.execute("DROP FUNCTION half")
+    with pytest.raises(Problem):
+        s.sql("SELECT quarter(8)")
+
+
+def test_exact_decimals(spark):
+    s = Session(spark, [ParquetProvider(spark, SF, ["region"])], exact=True)
+    got = s.sql("SELECT CAST(1.005 AS DECIMAL(9, 3)) + 1 AS a, CAST('7.5' AS DECIMAL(5, 2)) / 2 AS b, CAST(7.5 AS DECIMAL(5, 2)) * 2.5 AS c, CAST('abcdef' AS VARCHAR(2)) AS d, CAST('x' AS NUMERIC(5, 2)) AS e, CAST(3 AS MONEY) AS f").first()
+    assert str(got.a) == "2.005" and float(got.b) == 3.75 and got.c == 18.75 and isinstance(got.c, float) and (got.d, got.e, str(got.f)) == ("ab", None, "3.0000")
+    s.execute("CREATE TABLE t (a DECIMAL(9, 2), s VARCHAR(5)); INSERT INTO t VALUES (0.1, 'x'), (0.2, 'y'), (NULL, NULL)")
+    got = s.sql("SELECT SUM(a) AS s, AVG(a) AS m, COUNT(*) AS n FROM t WHERE a > 0.05 AND a = '0.1' OR a IN (0.2)").first()
+    assert str(got.s) == "0.30" and float(got.m) == 0.15 and got.n == 2
