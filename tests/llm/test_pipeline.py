@@ -1,5 +1,6 @@
 """The pipeline against a version without Spark's joins, windows or sketches: every pair, one document after the other."""
 
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -8,12 +9,13 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from larkspur.llm import mixing, quality, secret_scan
+from larkspur.llm import mixing, secret_scan
 from larkspur.llm import token_counts as K
 from larkspur.llm.common import seeded
 from tests.llm.helpers import SF_MORE, sample
 from tests.llm.test_ngram_join import groups
 from tests.llm.test_packing import one_by_one
+from tests.llm.test_quality import own_weights
 
 ENCODE = K.encoding(K.TOKENIZER).encode_ordinary
 
@@ -23,29 +25,11 @@ def by_hand(spark):
     docs = {r.doc_id: r for r in sample(spark, SF_MORE).collect()}
     labels = {r.doc_id: (r.quality, r.toxic) for r in spark.read.parquet(f"{SF_MORE}/labels.parquet").collect()}
     # 1
-    counts, bags = np.zeros((4, quality.SIZE)), {}
-    for i, r in docs.items():
-        bags[i] = np.bincount(quality.features([r.text])[1], minlength=quality.SIZE)
-        q, t = labels.get(i, (None, None))
-        for k, own in enumerate((True, (q, t) == (1, 0), q == 0, t == 1)):
-            if own:
-                counts[k] += bags[i]
-    low, toxic = quality.log_ratios(counts).astype(np.float64)
-    a, b = (np.array([float(bag @ x) for bag in bags.values()]) for x in (low, toxic))
-    shares = counts[1:].sum(1) / counts[1:].sum()
-
-    def weights():
-        most = np.maximum(0, np.maximum(a, b))
-        return -(most + np.log(shares[0] * np.exp(-most) + shares[1] * np.exp(a - most) + shares[2] * np.exp(b - most)))
-
-    for _ in range(6):
-        w = weights()
-        shares = np.clip([(s * np.exp(w + x)).mean() for s, x in zip(shares, (0, a, b))], 1e-4, 1)
-    w = weights()
-    k = int((w + np.log(shares[0]) >= np.log(0.5)).sum())
+    weights, share = own_weights({i: r.text for i, r in docs.items()}, labels)
+    k = sum(w + math.log(share) >= math.log(0.5) for w in weights.values())
     hashes = {r.doc_id: r.h % 2**64 for r in sample(spark, SF_MORE).select("doc_id", seeded(17, F.lit("gumbel"), F.col("doc_id")).alias("h")).collect()}
-    keys = w - np.log(-np.log([((hashes[i] >> 11) + 0.5) / 2**53 for i in docs]))
-    kept = {i: docs[i].text for i, key in zip(docs, keys) if key >= np.sort(keys)[-k]}
+    keys = {i: w - math.log(-math.log(((hashes[i] >> 11) + 0.5) / 2**53)) for i, w in weights.items()}
+    kept = {i: docs[i].text for i in sorted(keys, key=keys.__getitem__, reverse=True)[:k]}
     stages = [kept]
     # 2
     kept = {min(g): kept[min(g)] for g in groups(list(kept.items()))}
