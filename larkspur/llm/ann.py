@@ -10,9 +10,11 @@ as many as it takes.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,8 +22,11 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.common import OWN, integer, materialize, partitions, seeded
 
-#: Vectors of a cell, cells at most (16 MB of centres at 256 dimensions), and vectors for each cell that centres are trained on.
-CELL, MAX_CELLS, TRAINING = 4096, 16_384, 32
+#: Vectors of a cell, and vectors for each cell that centres are trained on.
+CELL, TRAINING = 4096, 32
+#: More cells than this are made in two steps: some on the driver, and on executors those within each. Their centres, which every task
+#: has, take dimensions / 1,024 bytes a vector: 63 MB for 10^9 vectors of 64 dimensions.
+ONE_STEP = 4096
 #: Queries that the pilot searches exactly.
 PILOT = 512
 #: How many standard deviations of the estimate the error bound spans.
@@ -39,9 +44,24 @@ def rotation(dim: int, seed: int) -> np.ndarray:
     return (q * np.sign(np.diag(r))).astype(np.float32)
 
 
-def encode(unit: np.ndarray, centres: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, ...]:
+def _nearest(unit: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.concatenate([(unit[i : i + 8192] @ centres.T).argmax(1) for i in range(0, len(unit), 8192)]) if len(unit) else np.zeros(0, np.int64)
+
+
+def assign(unit: np.ndarray, centres: np.ndarray, tops: np.ndarray | None = None, first: np.ndarray | None = None) -> np.ndarray:
+    """The cell of each unit vector. With tops: that nearest among the cells first[t] to first[t + 1] of its nearest top."""
+    if tops is None:
+        return _nearest(unit, centres)
+    top, cell = _nearest(unit, tops), np.zeros(len(unit), np.int64)
+    for t in np.unique(top):
+        own = np.nonzero(top == t)[0]
+        cell[own] = first[t] + _nearest(unit[own], centres[first[t] : first[t + 1]])
+    return cell
+
+
+def encode(unit: np.ndarray, centres: np.ndarray, turn: np.ndarray, tops: np.ndarray | None = None, first: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """Of unit vectors: cell, packed signs, norm of the residual, inner product of the residual's direction with its code."""
-    cell = np.concatenate([(unit[i : i + 8192] @ centres.T).argmax(1) for i in range(0, len(unit), 8192)]) if len(unit) else np.zeros(0, np.int64)
+    cell = assign(unit, centres, tops, first)
     residual = unit - centres[cell]
     norm = np.linalg.norm(residual, axis=1)
     turned = residual / np.maximum(norm, 1e-12)[:, None] @ turn.T
@@ -145,7 +165,7 @@ def _search(k: int, dim: int, held):
             best.add(q[~same], item[v[~same]], exact[~same])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, turn = held.value
+        centres, turn = held.value[:2]
         task, asked, items = None, [], []
         best = ids = queries = None
 
@@ -189,7 +209,7 @@ def _search(k: int, dim: int, held):
 
 def _train(sample: np.ndarray, count: int, seed: int, rounds: int = 8) -> np.ndarray:
     rng = np.random.default_rng(seed)
-    centres = sample[rng.choice(len(sample), count, replace=False)]
+    centres = sample[rng.choice(len(sample), min(count, len(sample)), replace=False)]
     for _ in range(rounds):
         near = np.concatenate([(sample[i : i + 8192] @ centres.T).argmax(1) for i in range(0, len(sample), 8192)])
         sums = np.zeros_like(centres)
@@ -218,24 +238,27 @@ def neighbours(vectors: DataFrame, k: int = 10, recall: float = 0.95, seed: int
     dim, total = sizes[0]
     rows = rows.where(F.size("v") == dim)
     turn = rotation(dim, seed)
-    count = max(1, min(MAX_CELLS, -(-total // cell)))
-    drawn = rows.orderBy(seeded(seed, "id"), "id").limit(max(PILOT, count * TRAINING)).toArrow()  # bounded by MAX_CELLS
+    count = max(1, -(-total // cell))
+    tops = count if count <= ONE_STEP else math.isqrt(count)
+    drawn = rows.orderBy(seeded(seed, "id"), "id").limit(max(PILOT, tops * TRAINING)).toArrow()
     sample = _unit(drawn["v"].combine_chunks(), dim)[1] if drawn.num_rows else np.zeros((0, dim), np.float32)
     if not len(sample):
         return spark.createDataFrame([], out)
-    centres = _train(sample, min(count, len(sample)), seed)
-    held = spark.sparkContext.broadcast((centres, turn))
+    centres, above, first = _train(sample, tops, seed), None, None
+    if tops < count:
+        above = centres
+        centres, first = _within(rows, above, count, total, dim, seed)
+    held = spark.sparkContext.broadcast((centres, turn, above, first))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, turn = held.value
         for batch in batches:
             places, unit = _unit(batch.column(1), dim)
-            at, codes, norm, dot = encode(unit, centres, turn)
+            at, codes, norm, dot = encode(unit, *held.value)
             binary = lambda x: pa.array([r.tobytes() for r in x], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(places)), pa.array(at.astype(np.int32)), binary(codes), pa.array(norm), pa.array(dot), binary(unit)], ["id", "cell", "code", "norm", "dot", "vec"])
 
     coded = materialize(rows.mapInArrow(code, _CODED), "codes")
-    probes = _pilot(coded, sample[:PILOT], centres, k, recall, dim)
+    probes = _pilot(coded, sample[:PILOT], *held.value, k, recall, dim)
 
     # A place of search holds some queries of a cell, and the vectors of the cells nearest to that one.
     starts = [(c, n, -(-n // QUERIES)) for c, n in sorted(coded.groupBy("cell").count().collect())]  # a row a cell
@@ -271,17 +294,46 @@ def _near(spark: SparkSession, held, cells: int, probes: int) -> DataFrame:
             ids = batch.column(0).to_numpy()
             for i in range(0, len(ids), 128):
                 some = ids[i : i + 128]
-                near = _ranked(centres, some)[:, :probes].astype(np.int32)
+                near = _ranked(centres, some, probes).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(some, near.shape[1]).astype(np.int32)), pa.array(near.ravel())], ["own", "cell"])
 
     return spark.range(0, cells, 1, max(1, min(cells // 128, partitions(spark.range(0))))).mapInArrow(rows, "own int, cell int")
 
 
-def _ranked(centres: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """By nearness: the cells as seen from each of own."""
+def _ranked(centres: np.ndarray, own: np.ndarray, most: int | None = None) -> np.ndarray:
+    """By nearness: the cells (or only so many of them) as seen from each of own, itself first."""
     like = centres[own] @ centres.T
     like[np.arange(len(own)), own] = np.inf
-    return np.argsort(-like, axis=1, kind="stable")
+    if most is None or most >= len(centres):
+        return np.argsort(-like, axis=1, kind="stable")
+    some = np.argpartition(-like, most - 1, axis=1)[:, :most]
+    return np.take_along_axis(some, np.argsort(-np.take_along_axis(like, some, 1), axis=1, kind="stable"), 1)
+
+
+def _within(rows: DataFrame, tops: np.ndarray, count: int, total: int, dim: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(centres, first): cells within each top, as many as its share of the vectors asks for, trained where a seeded sample of its vectors
+    comes together."""
+    held = rows.sparkSession.sparkContext.broadcast(tops)
+    share = min(1.0, count * TRAINING / total)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, unit = _unit(batch.column(0), dim)
+            yield pa.RecordBatch.from_arrays([pa.array(_nearest(unit, held.value).astype(np.int32)), pa.array([r.tobytes() for r in unit], pa.binary())], ["top", "vec"])
+
+    def train(group: pd.DataFrame) -> pd.DataFrame:
+        sample = np.frombuffer(b"".join(group["vec"]), np.float32).reshape(-1, dim)
+        sample = sample[np.lexsort(sample.T)]  # whatever order they came in
+        found = _train(sample, max(1, round(len(sample) / TRAINING)), seed)
+        return pd.DataFrame({"top": group["top"].iloc[0], "n": np.arange(len(found), dtype=np.int32), "vec": [r.tobytes() for r in found]})
+
+    some = rows.where(F.pmod(seeded(seed + 1, "id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("v")
+    found = some.mapInArrow(place, "top int, vec binary").groupBy("top").applyInPandas(train, "top int, n int, vec binary").toPandas()
+    found = found.sort_values(["top", "n"])
+    missing = np.setdiff1d(np.arange(len(tops)), found["top"])  # a top without a vector in the sample is a cell of its own
+    found = pd.concat([found, pd.DataFrame({"top": missing, "n": 0, "vec": [tops[t].astype(np.float32).tobytes() for t in missing]})]).sort_values(["top", "n"])
+    sizes = np.bincount(found["top"].to_numpy(np.int64), minlength=len(tops))
+    return np.frombuffer(b"".join(found["vec"]), np.float32).reshape(-1, dim), np.concatenate([[0], np.cumsum(sizes)])
 
 
 def _even(spark: SparkSession, slots: int) -> DataFrame:
@@ -294,7 +346,7 @@ def _repeated(coded: DataFrame) -> bool:
     return bool(coded.groupBy("id").count().where("count > 1").limit(1).count())
 
 
-def _pilot(coded: DataFrame, queries: np.ndarray, centres: np.ndarray, k: int, recall: float, dim: int) -> int:
+def _pilot(coded: DataFrame, queries: np.ndarray, centres: np.ndarray, turn: np.ndarray, above: np.ndarray | None, first: np.ndarray | None, k: int, recall: float, dim: int) -> int:
     """The least number of nearest cells that hold the wanted share of the sampled queries' true neighbours."""
 
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,7 +365,7 @@ def _pilot(coded: DataFrame, queries: np.ndarray, centres: np.ndarray, k: int, r
 
     found = coded.select("cell", "vec").mapInArrow(top, "q int, s float, cell int").where(F.col("s") > float("-inf"))
     best = found.groupBy("q").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("s", "cell")))), 1, k + 1).alias("b"))
-    own, ranks = (queries @ centres.T).argmax(1), []
+    own, ranks = assign(queries, centres, above, first), []
     for q, b in best.collect():  # PILOT rows
         place = {c: r for r, c in enumerate(_ranked(centres, own[q : q + 1])[0].tolist())}
         ranks += [place[x["cell"]] for x in b[1:]]  # without the query itself

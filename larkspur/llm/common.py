@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import sys
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -41,8 +42,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Tables written since the innermost scratch() began.
-_written: list[list[str]] = []
+class _Written(threading.local):
+    """Tables that this thread has written since each finished() that is going on began."""
+
+    def __init__(self):
+        self.levels: list[list[str]] = []
+
+
+_written = _Written()
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -52,8 +59,8 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{_own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    if _written:
-        _written[-1].append(path)
+    if _written.levels:
+        _written.levels[-1].append(path)
     df.write.parquet(path)
     held = spark.read.schema(df.schema).parquet(path)
     held.__dict__[OWN + "path"] = path
@@ -62,15 +69,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 def finished(spark: SparkSession, make: Callable[[], DataFrame], tag: str) -> DataFrame:
     """What make() returns, materialized; all that it had materialized on the way has no reader any more and is deleted."""
-    _written.append([])
+    _written.levels.append([])
     try:
         done = materialize(make(), tag)
     finally:
-        *steps, last = _written.pop() or [""]
+        *steps, last = _written.levels.pop() or [""]
         for path in [*steps, last] if sys.exc_info()[0] else steps:
             _delete(spark, path)
-    if _written:
-        _written[-1].append(last)
+    if _written.levels:
+        _written.levels[-1].append(last)
     return done
 
 

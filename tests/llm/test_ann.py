@@ -101,3 +101,15 @@ def test_repeated_identifiers(spark, parts, seed, cell):
         assert [got[i][k][1] for k in range(1, 6)] == pytest.approx(best, abs=2e-5) and all(abs(like[i, j] - s) < 2e-5 for j, s in got[i].values())
     with pytest.raises(TypeError):
         A.neighbours(spark.createDataFrame([("a", [1.0])], "vec_id string, embedding array<float>"))
+
+
+@pytest.mark.parametrize("spread", [0.05, 1.0])
+def test_cells_made_in_two_steps(spark, monkeypatch, spread):
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((20, 24))
+    x = centres[rng.integers(0, 20, 1500)] + spread * 2 * rng.standard_normal((1500, 24))
+    monkeypatch.setattr(A, "ONE_STEP", 5)
+    d = table(spark, range(1500), x)
+    got = A.neighbours(d, 8, cell=60)
+    assert recall(got, list(range(1500)), x, 8) >= 0.9
+    assert rows(got) == rows(A.neighbours(d.repartition(5), 8, cell=60))
