@@ -40,9 +40,10 @@ class SnapshotStore:
         return Snapshot(table, [self._name(c.name) for c in table.columns])
 
     def adopt(self, table: Table, scan: DataFrame) -> Snapshot:
-        """A source's table as it is: its own Parquet files where it has them, else written once at the first change."""
+        """A source's table as it is: its own Parquet files where it has them, else (as for columns that folders' names hold) written once
+        at the first change."""
         files = scan.inputFiles() if scan.columns == [c.name for c in table.columns] else []
-        if files and all(f.endswith(".parquet") for f in files):
+        if files and all(f.endswith(".parquet") for f in files) and set(scan.columns) <= set(self.spark.read.parquet(files[0]).columns):
             return Snapshot(table, [c.name for c in table.columns], list(files))
         return Snapshot(table, [c.name for c in table.columns], base=scan)
 

@@ -304,3 +304,12 @@ def test_exact_decimals(spark):
     s.execute("CREATE TABLE t (a DECIMAL(9, 2), s VARCHAR(5)); INSERT INTO t VALUES (0.1, 'x'), (0.2, 'y'), (NULL, NULL)")
     got = s.sql("SELECT SUM(a) AS s, AVG(a) AS m, COUNT(*) AS n FROM t WHERE a > 0.05 AND a = '0.1' OR a IN (0.2)").first()
     assert str(got.s) == "0.30" and float(got.m) == 0.15 and got.n == 2
+
+
+def test_changes_keep_columns_that_folders_hold(spark, tmp_path):
+    from larkspur.sources.files import FileProvider
+
+    spark.read.parquet(f"{SF}/nation.parquet").write.partitionBy("n_regionkey").parquet(f"{tmp_path}/n")
+    s = Session(spark, [FileProvider(spark, {"n": ("parquet", f"{tmp_path}/n")})])
+    assert s.execute("DELETE FROM n WHERE n_regionkey = 1").affected == 5
+    assert rows(s.sql("SELECT n_regionkey, COUNT(*) AS c FROM n GROUP BY n_regionkey ORDER BY n_regionkey")) == [(k, 5) for k in (0, 2, 3, 4)]
