@@ -199,6 +199,17 @@ class TableCall(Node):
     columns: list[str] | None = None
 
 
+@dataclass
+class Pivot(Node):
+    """A relation whose values of one column become columns."""
+
+    source: Node
+    call: Func
+    column: str
+    values: list[str]
+    alias: str
+
+
 @dataclass
 class Join(Node):
     """kind: INNER, LEFT, RIGHT, FULL, CROSS, CROSS APPLY, OUTER APPLY"""

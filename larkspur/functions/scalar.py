@@ -115,6 +115,18 @@ def _charindex(a: list[Arg], compat: bool) -> Arg:
     return f"cast(locate({text(a[0])}, {text(a[1])}{start}) as bigint)", "int"
 
 
+def _format(a: list[Arg], compat: bool) -> Arg:
+    """Dates by letters, numbers by N or F and decimals."""
+    form = a[1][0].strip("'")
+    if a[0][1] in ("time", "date"):
+        return f"date_format({a[0][0]}, {a[1][0]})", "str"
+    if a[0][1] in ("int", "float", "dec") and form[:1].upper() in ("N", "F") and (form[1:] or "2").isdigit():
+        digits = int(form[1:] or 2)
+        shown = f"format_number({a[0][0]}, {digits})"
+        return (shown if form[0].upper() == "N" else f"replace({shown}, ',', '')"), "str"
+    raise BadCall(f"FORMAT doesn't know {form}")
+
+
 def _choose(a: list[Arg], compat: bool) -> Arg:
     tests = " ".join(f"WHEN {i} THEN {x[0]}" for i, x in enumerate(a[1:], 1))
     return f"CASE {a[0][0]} {tests} END", a[1][1]
@@ -145,7 +157,7 @@ SCALAR: dict[str, tuple[int, int | None, Callable]] = {
     "DATEPART": (2, 2, _datepart), "DATEADD": (3, 3, _dateadd), "DATEDIFF": (3, 3, _datediff),
     "DATEFROMPARTS": (3, 3, lambda a, c: (f"make_date({', '.join(integer(x[0]) for x in a)})", "date")), "EOMONTH": (1, 1, lambda a, c: (f"last_day({a[0][0]})", "date")),
     "IIF": (3, 3, lambda a, c: (f"if({a[0][0]}, {a[1][0]}, {a[2][0]})", a[1][1])), "CHOOSE": (2, None, _choose),
-    "NEWID": (0, 0, lambda a, c: ("uuid()", "str")), "JSON_VALUE": (2, 2, lambda a, c: (f"get_json_object({text(a[0])}, {text(a[1])})", "str")),
+    "FORMAT": (2, 2, _format), "NEWID": (0, 0, lambda a, c: ("uuid()", "str")), "JSON_VALUE": (2, 2, lambda a, c: (f"get_json_object({text(a[0])}, {text(a[1])})", "str")),
     "GROUPING": (1, 1, lambda a, c: (f"cast(grouping({a[0][0]}) as bigint)", "int")), "GROUPING_ID": (0, None, lambda a, c: (f"grouping_id({', '.join(x[0] for x in a)})", "int")),
     "GREATEST": (2, None, _first_kind("greatest")), "LEAST": (2, None, _first_kind("least")),
 }

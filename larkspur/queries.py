@@ -367,6 +367,11 @@ PAIRS |= {
 PAIRS |= {
     "function_scalar": ("CREATE FUNCTION taxed(@p FLOAT, @r FLOAT = 0.5) RETURNS FLOAT AS BEGIN RETURN @p * (1 + @r) END\nGO\nSELECT o_orderkey, dbo.taxed(o_totalprice, 0.25) AS a, taxed(o_totalprice) AS b FROM orders WHERE taxed(o_totalprice, 0) > 100000", "SELECT o_orderkey, o_totalprice * 1.25 AS a, o_totalprice * 1.5 AS b FROM orders WHERE o_totalprice > 100000"),
     "function_table": ("CREATE FUNCTION of_region(@k INT) RETURNS TABLE AS RETURN (SELECT n_name, n_nationkey FROM nation WHERE n_regionkey = @k)\nGO\nSELECT r.r_name, t.n_name FROM region r CROSS APPLY of_region(r.r_regionkey) t WHERE t.n_nationkey > 3 UNION ALL SELECT 'two', n_name FROM of_region(2)", "SELECT r_name, n_name FROM region JOIN nation ON n_regionkey = r_regionkey WHERE n_nationkey > 3 UNION ALL SELECT 'two', n_name FROM nation WHERE n_regionkey = 2"),
+    "pivot": ("SELECT p.o_orderstatus, p.[1-URGENT] AS urgent, p.[5-LOW] AS low FROM (SELECT o_orderstatus, o_orderpriority, o_orderkey FROM orders) t PIVOT (COUNT(o_orderkey) FOR o_orderpriority IN ([1-URGENT], [5-LOW])) AS p", "SELECT o_orderstatus, COUNT(*) FILTER (o_orderpriority = '1-URGENT') AS urgent, COUNT(*) FILTER (o_orderpriority = '5-LOW') AS low FROM orders GROUP BY 1"),
+    "pivot_numbers": ("SELECT r, [0], [3] FROM (SELECT n.n_regionkey AS k, r.r_name AS r, n.n_nationkey AS v FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey) s PIVOT (MAX(v) FOR k IN ([0], [3])) p", "SELECT r_name AS r, MAX(n_nationkey) FILTER (n_regionkey = 0) AS \"0\", MAX(n_nationkey) FILTER (n_regionkey = 3) AS \"3\" FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY 1"),
+    "fn_patindex": ("SELECT n_name, PATINDEX('%[0-9]%', n_name) AS a, PATINDEX('N%_1', n_name) AS b, PATINDEX('%zzz%', n_name) AS c FROM nation", "SELECT n_name, CASE WHEN regexp_matches(n_name, '[0-9]') THEN length(regexp_extract(n_name, '^[^0-9]*')) + 1 ELSE 0 END AS a, CASE WHEN regexp_matches(n_name, '(?i)^n.*.1$') THEN 1 ELSE 0 END AS b, 0 AS c FROM nation"),
+    "fn_format": ("SELECT o_orderkey, FORMAT(o_orderdate, 'dd.MM.yyyy') AS a, FORMAT(o_orderkey, 'F0') AS b, FORMAT(o_custkey * 1000, 'N0') AS c FROM orders", "SELECT o_orderkey, strftime(o_orderdate, '%d.%m.%Y') AS a, CAST(o_orderkey AS VARCHAR) AS b, format('{:,}', o_custkey * 1000) AS c FROM orders"),
+    "fn_json_value": ("SELECT TOP 50 event_id, JSON_VALUE(props, '$.k') AS k FROM events ORDER BY event_id", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events ORDER BY event_id LIMIT 50"),
     "transaction": ("BEGIN TRAN; DELETE FROM region WHERE r_regionkey = 1; BEGIN TRAN; UPDATE region SET r_name = 'lost'; COMMIT; ROLLBACK; BEGIN TRANSACTION; DELETE FROM region WHERE r_regionkey = 0; COMMIT TRANSACTION; SELECT r_name, @@TRANCOUNT AS still_open FROM region", "SELECT r_name, 0 AS still_open FROM region WHERE r_regionkey <> 0"),
     "try_catch": ("BEGIN TRY DELETE FROM region; DELETE FROM nowhere; END TRY BEGIN CATCH SELECT n_name, ERROR_MESSAGE() AS said FROM nation END CATCH", "SELECT n_name, 'unknown table nowhere' AS said FROM nation"),
 }
