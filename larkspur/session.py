@@ -367,7 +367,7 @@ class Session:
         s = db.changed.get(table.name.lower())
         if s is None:
             table.database = db.name
-            s = self.store.adopt(table, db.provider.scan(self.spark, db.name, table.name))
+            s = self.store.adopt(table, db.provider.scan(self.spark, db.name, table.name), db.provider.paths(table.name))
         return s
 
     def _commit(self, db: _Database, name: str, snapshot: Snapshot | None) -> None:

@@ -30,6 +30,9 @@ class ParquetProvider(Provider):
     def find(self, name: str) -> str | None:
         return next((n for n in self.names if n.lower() == name.lower()), None)
 
+    def paths(self, table: str) -> list[str]:
+        return [f"{self.directory}/{self.find(table)}.parquet"]
+
     def scan(self, spark: SparkSession, database: str, table: str) -> DataFrame:
         name = self.find(table)
         self.table(name)

@@ -33,6 +33,10 @@ class Provider:
         """The whole table, lazily; Catalyst pushes filters and columns into it."""
         raise NotImplementedError
 
+    def paths(self, table: str) -> list[str] | None:
+        """Folders or files of Parquet that hold the table and nothing else, if there are such."""
+        return None
+
     def query(self, spark: SparkSession, database: str, sql: str) -> DataFrame:
         raise Unsupported("no whole queries here")
 

@@ -1,14 +1,18 @@
-"""Tables that statements change: immutable Parquet files and a list of which are in force.
+"""Tables that statements change: folders of immutable Parquet files, and which of their files aren't in force any more.
 
-An INSERT adds files; UPDATE and DELETE rewrite only files that hold a row concerned; adding and dropping columns touches no file.
-Each column has a physical name of its own, so one that is dropped never comes back under its old name. The list is replaced
-only after the new files are written, so a statement is done as a whole or not at all; files in use are never overwritten.
+An INSERT adds a folder; UPDATE and DELETE rewrite only files that hold a row concerned; adding and dropping columns touches no file.
+Each column has a physical name of its own, so one that is dropped never comes back under its old name. The list of folders is
+replaced only after the new files are written, so a statement is done as a whole or not at all; files in use are never
+overwritten. No list of a table's files is ever made here: a folder is read as such, and the few files of it that are not in force
+are filtered out by their path, before any is opened. A change of more than LISTED files rewrites the table instead.
 """
 
 from __future__ import annotations
 
+import functools
 import uuid
 from dataclasses import dataclass, field, replace
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame, SparkSession
@@ -22,13 +26,25 @@ from larkspur.catalog.model import Column, Table
 PLACE, GONE = ("__lk_file", "__lk_row"), "__lk_gone"
 
 
+#: Files that are named one by one, at most.
+LISTED = 10_000
+
+
+@dataclass(frozen=True)
+class Part:
+    """A folder (or a file), and the files in it that aren't in force."""
+
+    path: str
+    gone: tuple[str, ...] = ()
+
+
 @dataclass
 class Snapshot:
-    """table, the physical name of each of its columns, and files. base: a scan that files don't hold yet."""
+    """table, the physical name of each of its columns, and parts. base: a scan that files don't hold yet."""
 
     table: Table
     physical: list[str]
-    files: list[str] = field(default_factory=list)
+    parts: list[Part] = field(default_factory=list)
     base: DataFrame | None = None
 
 
@@ -39,13 +55,17 @@ class SnapshotStore:
     def create(self, table: Table) -> Snapshot:
         return Snapshot(table, [self._name(c.name) for c in table.columns])
 
-    def adopt(self, table: Table, scan: DataFrame) -> Snapshot:
-        """A source's table as it is: its own Parquet files where it has them, else (as for columns that folders' names hold) written once
-        at the first change."""
-        files = scan.inputFiles() if scan.columns == [c.name for c in table.columns] else []
-        if files and all(f.endswith(".parquet") for f in files) and set(scan.columns) <= set(self.spark.read.parquet(files[0]).columns):
-            return Snapshot(table, [c.name for c in table.columns], list(files))
-        return Snapshot(table, [c.name for c in table.columns], base=scan)
+    def adopt(self, table: Table, scan: DataFrame, paths: list[str] | None = None) -> Snapshot:
+        """A source's table as it is: its own Parquet folders where it names them, or files where it has some, else (as for columns that
+        folders' names hold) written once at the first change."""
+        names = [c.name for c in table.columns]
+        if scan.columns == names:
+            paths = paths or scan.inputFiles()
+            if paths and (all(f.endswith(".parquet") for f in paths)):
+                inside = self.spark.read.option("recursiveFileLookup", True).parquet(paths[0])  # without what folders' names say
+                if set(names) <= set(inside.columns):
+                    return Snapshot(table, names, [Part(p) for p in paths])
+        return Snapshot(table, names, base=scan)
 
     @staticmethod
     def _name(column: str) -> str:
@@ -54,69 +74,88 @@ class SnapshotStore:
     def _fields(self, s: Snapshot) -> T.StructType:
         return T.StructType([T.StructField(p, c.type, True) for p, c in zip(s.physical, s.table.columns)])
 
-    def _read(self, s: Snapshot, files: list[str]) -> DataFrame:
-        if not files:
-            return self.spark.createDataFrame([], self._fields(s))
-        return self.spark.read.schema(self._fields(s)).parquet(*files)
-
-    def _logical(self, s: Snapshot, df: DataFrame) -> DataFrame:
-        return df.select(*[F.col(f"`{p}`").alias(c.name) for p, c in zip(s.physical, s.table.columns)])
-
-    def _write(self, s: Snapshot, df: DataFrame) -> list[str]:
+    def _scans(self, s: Snapshot, parts: list[Part]) -> list[DataFrame]:
+        """What is in force: one scan of all whole folders, and one of each that isn't whole."""
+        read = self.spark.read.schema(self._fields(s))
+        whole = [p.path for p in parts if not p.gone]
+        found = [read.parquet(*whole)] if whole else []
+        return found + [read.parquet(p.path).where(~F.col("_metadata.file_path").isin(list(p.gone))) for p in parts if p.gone]
+
+    def _logical(self, s: Snapshot, parts: list[Part], *more: SparkColumn) -> DataFrame:
+        columns = [*[F.col(f"`{p}`").alias(c.name) for p, c in zip(s.physical, s.table.columns)], *more]
+        scans = [x.select(*columns) for x in self._scans(s, parts)]
+        if not scans:
+            none = self.spark.createDataFrame([], self._fields(s)).select(*columns[: len(s.physical)])
+            return none.select("*", *[F.lit(None).cast(k).alias(n) for n, k in zip(PLACE, ("string", "long"))]) if more else none
+        return functools.reduce(DataFrame.unionAll, scans)
+
+    def _write(self, s: Snapshot, df: DataFrame) -> Part:
         if not self.root:
             raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         path = f"{self.root}/{s.table.database}/{s.table.name}/{uuid.uuid4().hex}"
         df.write.parquet(path)
-        return list(self.spark.read.schema(self._fields(s)).parquet(path).inputFiles())
+        return Part(path)
 
     def scan(self, s: Snapshot) -> DataFrame:
         if s.base is not None:
             return s.base.select(*[F.col(f"`{p}`").alias(c.name) for p, c in zip(s.physical, s.table.columns)])
-        return self._logical(s, self._read(s, s.files))
+        return self._logical(s, s.parts)
+
+    def files(self, s: Snapshot) -> list[str]:
+        """Files in force that hold a row."""
+        return [r[0] for r in self.placed(s)[1].select(PLACE[0]).distinct().collect()]
 
     def settled(self, s: Snapshot) -> Snapshot:
         """s with all its rows in files."""
         if s.base is None:
             return s
-        return replace(s, files=self._write(s, s.base.select(*[F.col(f"`{p}`") for p in s.physical])), base=None)
+        return replace(s, parts=[self._write(s, s.base.select(*[F.col(f"`{p}`") for p in s.physical]))], base=None)
 
     def insert(self, s: Snapshot, rows: DataFrame) -> tuple[Snapshot, int]:
         """rows: the table's columns, in its order."""
         s = self.settled(s)
         new = self._write(s, rows.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(rows.columns, s.physical)]))
-        return replace(s, files=[*s.files, *new]), self._read(s, new).count()
+        return replace(s, parts=[*s.parts, new]), self._logical(s, [new]).count()
+
+    def _touched(self, s: Snapshot, places: DataFrame) -> tuple[list[str] | None, int]:
+        """The files that rows lie in, None for too many to be named, and how many rows."""
+        found = places.groupBy(PLACE[0]).count().limit(LISTED + 1).collect()
+        if len(found) > LISTED or sum(len(p.gone) for p in s.parts) + len(found) > LISTED:
+            return None, places.count()
+        return [r[0] for r in found], sum(r[1] for r in found)
+
+    def _instead(self, s: Snapshot, files: list[str] | None, new: Part) -> list[Part]:
+        """The parts with `new` in place of files."""
+        if files is None:
+            return [new]
+        left, parts = {f: _same(f) for f in files}, []
+        for p in s.parts:
+            own = _same(p.path)
+            inside = tuple(f for f, path in left.items() if path == own or path.startswith(own.rstrip("/") + "/"))
+            if not (len(inside) == 1 and left[inside[0]] == own):  # else the part is that file
+                parts.append(replace(p, gone=(*p.gone, *inside)))
+        return [*parts, new]
 
     def rewrite(self, s: Snapshot, where: SparkColumn, sets: dict[str, SparkColumn] | None) -> tuple[Snapshot, int]:
         """UPDATE (sets) or DELETE (no sets) of the rows where holds, over logical names. One pass finds the files concerned and
         counts rows."""
-        s = self.settled(s)
-        if not s.files:
-            return s, 0
-        logical = [F.col(f"`{p}`").alias(c.name) for p, c in zip(s.physical, s.table.columns)]
+        s, rows = self.placed(s)
         hit = F.coalesce(where, F.lit(False))
-        named = self._read(s, s.files).select(*logical, F.input_file_name().alias("__lk_file"))
-        counts = {r[0]: r[1] for r in named.where(hit).groupBy("__lk_file").count().collect()}  # a row a file
-        if not counts:
+        files, count = self._touched(s, rows.where(hit))
+        if not count:
             return s, 0
-        hits = {_same(x) for x in counts}
-        touched = [f for f in s.files if _same(f) in hits]
-        rows = self._read(s, touched).select(*logical)
+        rows = self._logical(s, s.parts if files is None else [Part(unquote(f)) for f in files])
         if sets is None:
             changed = rows.where(~hit)
         else:
             changed = rows.select(*[(F.when(hit, sets[c.name].cast(c.type)).otherwise(F.col(f"`{c.name}`")) if c.name in sets else F.col(f"`{c.name}`")).alias(c.name) for c in s.table.columns])
         physical = changed.select(*[F.col(f"`{c.name}`").alias(p) for p, c in zip(s.physical, s.table.columns)])
-        new = self._write(s, physical)
-        return replace(s, files=[f for f in s.files if _same(f) not in hits] + new), sum(counts.values())
+        return replace(s, parts=self._instead(s, files, self._write(s, physical))), count
 
     def placed(self, s: Snapshot) -> tuple[Snapshot, DataFrame]:
         """s with all its rows in files, and these rows with their place: file and number in it."""
         s = self.settled(s)
-        if not s.files:
-            none = self._logical(s, self._read(s, []))
-            return s, none.select("*", F.lit("").alias(PLACE[0]), F.lit(0).cast("long").alias(PLACE[1]))
-        logical = [F.col(f"`{p}`").alias(c.name) for p, c in zip(s.physical, s.table.columns)]
-        return s, self._read(s, s.files).select(*logical, F.col("_metadata.file_path").alias(PLACE[0]), F.col("_metadata.row_index").alias(PLACE[1]))
+        return s, self._logical(s, s.parts, F.col("_metadata.file_path").alias(PLACE[0]), F.col("_metadata.row_index").alias(PLACE[1]))
 
     def apply(self, s: Snapshot, rows: DataFrame, changes: DataFrame, sets: list[str], added: DataFrame | None = None) -> tuple[Snapshot, int]:
         """Changes rows by their place. s and rows: of placed(). changes: one row a place, with GONE (the row goes) and values c0, c1, ... for
@@ -124,27 +163,23 @@ class SnapshotStore:
         path = f"{self.root}/{s.table.database}/{s.table.name}/changes-{uuid.uuid4().hex}"
         changes.write.parquet(path)
         changes = self.spark.read.schema(changes.schema).parquet(path)
-        counts = {r[0]: r[1] for r in changes.groupBy(PLACE[0]).count().collect()}  # a row a file
-        files, done = s.files, sum(counts.values())
-        if counts:
-            hits = {_same(x) for x in counts}
-            touched = replace(s, files=[f for f in s.files if _same(f) in hits])
-            _, some = self.placed(touched)
+        files, done = self._touched(s, changes)
+        if done:
+            _, some = self.placed(s if files is None else replace(s, parts=[Part(unquote(f)) for f in files]))
             joined = some.join(changes, list(PLACE), "left").where(~F.coalesce(F.col(GONE), F.lit(False)))
             number = {n.lower(): i for i, n in enumerate(sets)}
             cells = []
             for p, c in zip(s.physical, s.table.columns):
                 old, i = F.col(f"`{c.name}`"), number.get(c.name.lower())
                 cells.append((old if i is None else F.when(F.col(f"s{i}"), F.col(f"c{i}").cast(c.type)).otherwise(old)).alias(p))
-            files = [f for f in s.files if _same(f) not in hits] + self._write(s, joined.select(*cells))
-        s = replace(s, files=files)
+            s = replace(s, parts=self._instead(s, files, self._write(s, joined.select(*cells))))
         if added is not None:
             s, n = self.insert(s, added)
             done += n
         return s, done
 
     def truncate(self, s: Snapshot) -> Snapshot:
-        return replace(s, files=[], base=None)
+        return replace(s, parts=[], base=None)
 
     def add_columns(self, s: Snapshot, columns: list[Column]) -> Snapshot:
         """They are null in the rows there are: files without a column read as null."""
@@ -160,6 +195,4 @@ class SnapshotStore:
 
 
 def _same(path: str) -> str:
-    from urllib.parse import unquote, urlparse
-
     return unquote(urlparse(path).path)

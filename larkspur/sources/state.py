@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from larkspur.catalog.model import Column, ForeignKey, Table
 from larkspur.routines import Routine
-from larkspur.sources.snapshot import Snapshot
+from larkspur.sources.snapshot import Part, Snapshot
 
 
 class StateStore:
@@ -54,11 +54,11 @@ def _packed(s: Snapshot) -> dict:
     t = s.table
     columns = [[c.name, c.type.jsonValue(), c.kind, c.nullable, c.length] for c in t.columns]
     foreign = [[f.columns, f.table, f.references] for f in t.foreign]
-    return {"name": t.name, "columns": columns, "key": t.key, "foreign": foreign, "database": t.database, "physical": s.physical, "files": s.files}
+    return {"name": t.name, "columns": columns, "key": t.key, "foreign": foreign, "database": t.database, "physical": s.physical, "parts": [[p.path, p.gone] for p in s.parts]}
 
 
 def _unpacked(x: dict) -> Snapshot:
     types = T.StructType.fromJson({"type": "struct", "fields": [{"name": c[0], "type": c[1], "nullable": True, "metadata": {}} for c in x["columns"]]})
     columns = [Column(c[0], f.dataType, c[2], c[3], c[4]) for c, f in zip(x["columns"], types.fields)]
     foreign = [ForeignKey(tuple(f[0]), f[1], tuple(f[2])) for f in x["foreign"]]
-    return Snapshot(Table(x["name"], columns, x["key"], foreign, x["database"]), x["physical"], x["files"])
+    return Snapshot(Table(x["name"], columns, x["key"], foreign, x["database"]), x["physical"], [Part(path, tuple(gone)) for path, gone in x["parts"]])

@@ -112,9 +112,9 @@ def test_snapshots_touch_only_files_concerned(spark, tmp_path):
     before = {f: os.path.getmtime(tmp_path / "t.parquet" / f) for f in os.listdir(tmp_path / "t.parquet")}
     s = Session(spark, [ParquetProvider(spark, str(tmp_path), ["t"])], root=str(tmp_path / "out"))
     assert s.execute("UPDATE t SET k = 99 WHERE id < 3").affected == 3
-    snapshot = s.databases["main"].changed["t"]
-    assert sum("t.parquet" in f for f in snapshot.files) == 3 and s.execute("DELETE FROM t WHERE id > 97").affected == 2
-    assert sum("t.parquet" in f for f in s.databases["main"].changed["t"].files) == 2
+    held = lambda: sum("t.parquet" in f for f in s.store.files(s.databases["main"].changed["t"]))
+    assert held() == 3 and s.execute("DELETE FROM t WHERE id > 97").affected == 2
+    assert held() == 2
     assert rows(s.sql("SELECT COUNT(*), SUM(k) FROM t WHERE id < 3 OR id > 95")) == [(5, 99.0 * 3 + 96 % 7 + 97 % 7)]
     assert {f: os.path.getmtime(tmp_path / "t.parquet" / f) for f in os.listdir(tmp_path / "t.parquet")} == before  # the source is as it was
     assert s.execute("UPDATE t SET k = k WHERE id = 12345").affected == 0
@@ -313,3 +313,22 @@ def test_changes_keep_columns_that_folders_hold(spark, tmp_path):
     s = Session(spark, [FileProvider(spark, {"n": ("parquet", f"{tmp_path}/n")})])
     assert s.execute("DELETE FROM n WHERE n_regionkey = 1").affected == 5
     assert rows(s.sql("SELECT n_regionkey, COUNT(*) AS c FROM n GROUP BY n_regionkey ORDER BY n_regionkey")) == [(k, 5) for k in (0, 2, 3, 4)]
+
+
+@pytest.mark.parametrize("listed", [0, 1, 10_000])
+def test_changes_of_many_files(spark, tmp_path, monkeypatch, listed):
+    """However many files may be named one by one, statements do the same."""
+    from larkspur.sources import snapshot
+
+    monkeypatch.setattr(snapshot, "LISTED", listed)
+    where = tmp_path / "with space & 100%"
+    spark.range(200).select("id", (F.col("id") % 7).alias("k")).repartitionByRange(5, "id").write.parquet(str(where / "t.parquet"))
+    s = Session(spark, [ParquetProvider(spark, str(where), ["t"])], root=f"file://{where}/out")
+    assert s.execute("UPDATE t SET k = 50 WHERE id < 3").affected == 3
+    assert s.execute("DELETE FROM t WHERE id % 50 = 49").affected == 4
+    assert s.execute("INSERT INTO t VALUES (500, 1), (501, 2)").affected == 2
+    assert s.execute("UPDATE t SET k = t.k + u.k FROM t JOIN (SELECT 500 AS i, 9 AS k UNION ALL SELECT 0, 1) u ON u.i = t.id").affected == 2
+    assert s.execute("DELETE FROM t WHERE id = 501; ALTER TABLE t ADD more INT; UPDATE t SET more = 1 WHERE id = 3").affected == 1
+    again = Session(spark, [ParquetProvider(spark, str(where), ["t"])], root=f"file://{where}/out")
+    assert rows(again.sql("SELECT COUNT(*) AS n, SUM(id) AS s, SUM(more) AS m FROM t")) == [(197, sum(range(200)) - 49 - 99 - 149 - 199 + 500.0, 1.0)]
+    assert rows(again.sql("SELECT id, k FROM t WHERE id < 3 OR id >= 500 ORDER BY id")) == [(0, 51), (1, 50), (2, 50), (500, 10)]
