@@ -275,7 +275,7 @@ def neighbours(vectors: DataFrame, k: int = 10, recall: float = 0.95, seed: int
     few = F.broadcast if count <= BROADCAST_ROWS else lambda df: df
     asked = coded.join(few(starts), F.col("cell") == F.col(OWN + "cell")).select(own.alias("task"), F.lit(False).alias("item"), *coded.columns)
     # Within a task cells come one after the other, its own first, so that bounds are tight early.
-    both = asked.unionByName(items).join(F.broadcast(_even(spark, slots)), F.pmod("task", F.lit(slots)) == F.col(OWN + "slot"))
+    both = asked.unionByName(items).join(F.broadcast(_even(spark, slots)), F.pmod("task", F.lit(slots)) == F.col(OWN + "slot"), "left")
     sent = both.repartition(slots, OWN + "at").select("task", "item", *coded.columns).sortWithinPartitions("task", "item", "cell")
     found = sent.mapInArrow(_search(k, dim, held), out)
     if not _repeated(coded):

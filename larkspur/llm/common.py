@@ -150,7 +150,7 @@ _held: dict | None = None
 
 
 def claim(cache: dict) -> None:
-    """One cache of words a worker: that of the operator at work. Workers outlive stages, and what an earlier one remembered goes."""
+    """One cache a worker: that of the operator at work. Workers outlive stages, and what an earlier one remembered or loaded goes."""
     global _held
     if _held is not cache:
         if _held is not None:

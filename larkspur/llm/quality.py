@@ -81,6 +81,11 @@ class _Words(dict):
         self[word] = value
         return value
 
+    def clear(self) -> None:
+        super().clear()
+        _shape.cache_clear()
+        _stem.cache_clear()
+
 
 _words = _Words()
 

@@ -7,7 +7,6 @@ shuffled. All questions about context limits are then answered from the histogra
 from __future__ import annotations
 
 import base64
-import functools
 import os
 import re
 
@@ -30,14 +29,19 @@ LONG = 1024
 _LONG_RUN = re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{LONG},}}")
 
 
-@functools.lru_cache(maxsize=4)
+#: What a worker has loaded. It goes when another operator claims the worker's memory.
+_encodings: dict[str, object] = {}
+
+
 def encoding(path: str):
     """The encoding of a rank file; one per Python worker."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(os.path.basename(path), pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+    if path not in _encodings:
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        _encodings[path] = tiktoken.Encoding(os.path.basename(path), pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+    return _encodings[path]
 
 
 def length(encoding, text: str) -> int:
@@ -57,7 +61,7 @@ def token_count(text: Column | str, tokenizer: str = TOKENIZER) -> Column:
 
     @arrow_udf("bigint")
     def count(texts: pa.Array) -> pa.Array:
-        claim({})
+        claim(_encodings)
         held = encoding(tokenizer)
         return pa.array([None if t is None else length(held, t) for _, _, some in slices(texts) for t in some], pa.int64())
 
