@@ -39,7 +39,7 @@ SMOOTHING = 100.0
 #: A document with more n-grams than this counts as so many in its part, all scaled alike, in units of 1 / UNIT.
 MOST, UNIT = 1 << 14, 1 << 10
 #: Bytes of text that are turned to features at once (or one document, if it is longer).
-SLICE = 1 << 20
+SLICE = 1 << 18
 #: Words whose features a worker remembers.
 REMEMBERED = 120_000
 REPEATED = 1 << BITS
