@@ -3,13 +3,14 @@
 A vector is coded by the signs of its rotated residual to its cell's centre, packed to bits, and two scalars: the residual's
 norm and its inner product with its own code. From these an inner product with any query is estimated without bias, with an
 error bound that the scalars give; only vectors whose upper bound passes the k-th best so far are reranked on full vectors.
-Every vector is a query. Cells are compared with the cells nearest to them; how many is found by a pilot that searches a
-bounded sample of queries exactly, so that the target recall holds on clustered data with few cells and on shapeless data with
-as many as it takes.
+Vectors stay where their cells lie, and blocks of queries come to them, so nothing is copied with the square of the table. A query looks
+at the cells nearest to its own; how many is found by a pilot that searches a bounded sample of queries exactly, so that the target
+recall holds on clustered data with few cells and on shapeless data with as many as it takes.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -20,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import OWN, integer, materialize, partitions, seeded
+from larkspur.llm.common import finished, integer, materialize, partitions, seeded
 
 #: Vectors of a cell, and vectors for each cell that centres are trained on.
 CELL, TRAINING = 4096, 32
@@ -31,10 +32,8 @@ ONE_STEP = 4096
 PILOT = 512
 #: How many standard deviations of the estimate the error bound spans.
 EPSILON = 1.9
-#: Queries that are searched in one place, and partitions that these places are dealt out to at most.
-QUERIES, PARTITIONS = 4096, 10_000
-#: Rows (of 8 to 16 bytes, one a cell or a pair of cells) that may be broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Bytes of queries that are searched at once (every task has them), and tasks that search: each gives k rows a query at most.
+QUERIES, SEARCHERS = 1 << 25, 64
 _CODED = "id long, cell int, code binary, norm float, dot float, vec binary"
 
 
@@ -122,38 +121,33 @@ class _Best:
         self.value[touched], self.id[touched] = np.take_along_axis(self.value[touched], order, 1), np.take_along_axis(self.id[touched], order, 1)
 
 
-def _search(k: int, dim: int, held):
-    """For mapInArrow over rows (task, item, id, cell, code, norm, dot, vec) sorted by task and item, queries before vectors."""
-
-    def block(best: _Best, ids: np.ndarray, queries: np.ndarray, rows: list[tuple], centres: np.ndarray, turn: np.ndarray) -> None:
-        item = np.array([r[0] for r in rows])
-        cell, norm, dot = np.array([r[1] for r in rows]), np.array([r[3] for r in rows], np.float32), np.array([r[4] for r in rows], np.float32)
-        codes = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1)
-        vectors = np.frombuffer(b"".join(r[5] for r in rows), np.float32).reshape(len(rows), dim)
-        for c in np.unique(cell):
-            own = np.nonzero(cell == c)[0]
-            for i in range(0, len(queries), 1024):
-                some = slice(i, i + 1024)
-                near, width = estimate(queries[some], codes[own], norm[own], dot[own], centres[c], turn)
-                fresh = ~np.isfinite(best.value[some, -1])
-                if fresh.any():  # no bound yet: begin with the k best estimates
-                    top = np.argpartition(-near, min(k, near.shape[1] - 1), axis=1)[:, : k + 1]
-                    q = np.repeat(np.arange(len(near)), top.shape[1])
-                    rerank(best, i, q, own[top.ravel()], ids, item, queries, vectors)
-                near += width
-                q, v = np.nonzero(near >= best.value[some, -1][:, None])
-                rerank(best, i, q, own[v], ids, item, queries, vectors)
-
-    def rerank(best: _Best, start: int, q: np.ndarray, v: np.ndarray, ids: np.ndarray, item: np.ndarray, queries: np.ndarray, vectors: np.ndarray) -> None:
-        q = q + start
+def _search(k: int, dim: int, held, asked):
+    """For mapInArrow over rows (cell, id, code, norm, dot, vec), best those of a cell together: the k best of each query among them.
+
+    asked: identifiers, vectors and cells of queries, and for each cell how near to it the farthest cell is that its queries look at."""
+
+    def block(best: _Best, ids: np.ndarray, queries: np.ndarray, some: np.ndarray, rows: tuple[np.ndarray, ...], centre: np.ndarray, turn: np.ndarray) -> None:
+        item, codes, norm, dot, vectors = rows
+        for i in range(0, len(some), 1024):
+            own = some[i : i + 1024]
+            near, width = estimate(queries[own], codes, norm, dot, centre, turn)
+            fresh = ~np.isfinite(best.value[own, -1])
+            if fresh.any():  # no bound yet: begin with the k best estimates
+                top = np.argpartition(-near, min(k, near.shape[1] - 1), axis=1)[:, : k + 1]
+                rerank(best, np.repeat(own, top.shape[1]), top.ravel(), ids, item, queries, vectors)
+            near += width
+            q, v = np.nonzero(near >= best.value[own, -1][:, None])
+            rerank(best, own[q], v, ids, item, queries, vectors)
+
+    def rerank(best: _Best, q: np.ndarray, v: np.ndarray, ids: np.ndarray, item: np.ndarray, queries: np.ndarray, vectors: np.ndarray) -> None:
         exact = np.empty(len(q), np.float32)
         for i in range(0, len(q), 1 << 17):
             s = slice(i, i + (1 << 17))
             exact[s] = np.einsum("ij,ij->i", queries[q[s]], vectors[v[s]])
         pick = (exact >= best.value[q, -1]) & (item[v] != ids[q])
         q, v, exact = q[pick], v[pick], exact[pick]
-        held = best.id[q] == item[v][:, None]
-        seen, at = held.any(1), held.argmax(1)
+        known = best.id[q] == item[v][:, None]
+        seen, at = known.any(1), known.argmax(1)
         if (better := seen & (exact > best.value[q, at])).any():
             best.raise_(q[better], at[better], exact[better])
         order = np.lexsort((-exact, item[v], q))
@@ -166,43 +160,22 @@ def _search(k: int, dim: int, held):
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres, turn = held.value[:2]
-        task, asked, items = None, [], []
-        best = ids = queries = None
-
-        def result() -> pa.RecordBatch:
-            q, r = np.nonzero(np.isfinite(best.value))
-            return pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(best.id[q, r]), pa.array((r + 1).astype(np.int32)), pa.array(np.round(best.value[q, r].astype(np.float64), 5))], ["vec_id", "neighbour_id", "rank", "similarity"])
-
-        def begin() -> None:
-            nonlocal best, ids, queries, asked
-            if asked:
-                ids = np.array([a[0] for a in asked])
-                queries = np.frombuffer(b"".join(a[1] for a in asked), np.float32).reshape(-1, dim)
-                best, asked = _Best(len(ids), k), []
-
-        def scan() -> None:
-            nonlocal items
-            if items:
-                begin()
-                block(best, ids, queries, items, centres, turn)
-                items = []
-
+        ids, queries, cells, cut = asked.value
+        lines, line = np.unique(cells, return_inverse=True)
+        best = _Best(len(ids), k)
         for batch in batches:
-            for t, item, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if t != task:
-                    scan()
-                    if best is not None:
-                        yield result()
-                    task, best = t, None
-                if item:
-                    items.append(row)
-                    if len(items) >= 4096:
-                        scan()
-                else:
-                    asked.append((row[0], row[5]))
-        scan()
-        if best is not None:
-            yield result()
+            cell, item, norm, dot = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3, 4))
+            codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(cell), -1)
+            vectors = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.float32).reshape(len(cell), dim)
+            for c in np.unique(cell):
+                some = np.nonzero(((centres[lines] @ centres[c] >= cut[lines]) | (lines == c))[line])[0]
+                if len(some):
+                    own = np.nonzero(cell == c)[0]
+                    block(best, ids, queries, some, (item[own], codes[own], norm[own], dot[own], vectors[own]), centres[c], turn)
+        q, r = np.nonzero(np.isfinite(best.value))
+        for i in range(0, len(q), 1 << 16):
+            a, b = q[i : i + (1 << 16)], r[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(best.id[a, b]), pa.array(best.value[a, b].astype(np.float64))], ["vec_id", "neighbour_id", "similarity"])
 
     return search
 
@@ -219,8 +192,10 @@ def _train(sample: np.ndarray, count: int, seed: int, rounds: int = 8) -> np.nda
     return centres
 
 
-def neighbours(vectors: DataFrame, k: int = 10, recall: float = 0.95, seed: int = 17, cell: int = CELL) -> DataFrame:
-    """(vec_id, neighbour_id, rank, similarity): the k vectors of the greatest cosine similarity to each vector.
+def neighbours(vectors: DataFrame, k: int = 10, recall: float = 0.95, seed: int = 17, cell: int = CELL, every: int = 1) -> DataFrame:
+    """(vec_id, neighbour_id, rank, similarity): the k vectors of the greatest cosine similarity to each query, among all vectors.
+
+    Queries are the vectors whose vec_id is divisible by `every`.
 
     vectors has vec_id, an integer (any other kind is a TypeError), and embedding; other columns, whatever their names, are not read. A
     vector is never its own neighbour, nor is one with the same vec_id. Rows with the same vec_id are one thing with several
@@ -257,57 +232,48 @@ def neighbours(vectors: DataFrame, k: int = 10, recall: float = 0.95, seed: int
             binary = lambda x: pa.array([r.tobytes() for r in x], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(places)), pa.array(at.astype(np.int32)), binary(codes), pa.array(norm), pa.array(dot), binary(unit)], ["id", "cell", "code", "norm", "dot", "vec"])
 
-    coded = materialize(rows.mapInArrow(code, _CODED), "codes")
+    # A cell's vectors lie together, in several parts where cells are few.
+    apart = F.pmod(F.xxhash64("id"), F.lit(max(1, 4 * partitions(rows) // count)))
+    coded = materialize(rows.mapInArrow(code, _CODED).repartition(partitions(rows), F.col("cell"), apart).sortWithinPartitions("cell"), "codes")
     probes = _pilot(coded, sample[:PILOT], *held.value, k, recall, dim)
 
-    # A place of search holds some queries of a cell, and the vectors of the cells nearest to that one.
-    starts = [(c, n, -(-n // QUERIES)) for c, n in sorted(coded.groupBy("cell").count().collect())]  # a row a cell
-    first = np.cumsum([0, *[s[2] for s in starts]])
-    tasks, count = int(first[-1]), len(centres)
-    starts = spark.createDataFrame([(c, int(f), p) for (c, _, p), f in zip(starts, first)], f"{OWN}cell int, {OWN}first int, {OWN}parts int")
-    slots = max(partitions(coded), min(tasks, PARTITIONS))
-    places = F.sequence(F.col(OWN + "first"), F.col(OWN + "first") + F.col(OWN + "parts") - 1)
-    near = _near(spark, held, count, probes).join(starts, F.col("own") == F.col(OWN + "cell")).select("cell", F.explode(places).alias("task"))
-    routes = near.groupBy(F.col("cell").alias(OWN + "cell")).agg(F.collect_list("task").alias(OWN + "tasks"))
-    send = F.broadcast if tasks * probes <= BROADCAST_ROWS else lambda df: df
-    items = coded.join(send(routes), F.col("cell") == F.col(OWN + "cell")).select(F.explode(OWN + "tasks").alias("task"), F.lit(True).alias("item"), *coded.columns)
-    own = F.col(OWN + "first") + F.pmod(F.xxhash64("id"), F.col(OWN + "parts")).cast("int")
-    few = F.broadcast if count <= BROADCAST_ROWS else lambda df: df
-    asked = coded.join(few(starts), F.col("cell") == F.col(OWN + "cell")).select(own.alias("task"), F.lit(False).alias("item"), *coded.columns)
-    # Within a task cells come one after the other, its own first, so that bounds are tight early.
-    both = asked.unionByName(items).join(F.broadcast(_even(spark, slots)), F.pmod("task", F.lit(slots)) == F.col(OWN + "slot"), "left")
-    sent = both.repartition(slots, OWN + "at").select("task", "item", *coded.columns).sortWithinPartitions("task", "item", "cell")
-    found = sent.mapInArrow(_search(k, dim, held), out)
-    if not _repeated(coded):
-        return found
+    cut = _cut(centres, probes)
+    asking = coded.where(F.pmod("id", F.lit(every)) == 0)
+    blocks = max(1, -(-asking.count() * 4 * dim // QUERIES))
+    parts = [finished(spark, lambda: _nearest_of(coded, asking.where(F.pmod(seeded(seed + 2, "id"), F.lit(blocks)) == n), held, cut, k, dim), "neighbours") for n in range(blocks)]  # noqa: B023 - called at once
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _nearest_of(coded: DataFrame, asking: DataFrame, held, cut: np.ndarray, k: int, dim: int) -> DataFrame:
+    """The neighbours of one block of queries, which is sent to all tasks; what these find for a query is put together."""
+    spark = coded.sparkSession
+    block = asking.select("id", "cell", "vec").toArrow()  # QUERIES bytes or so
+    order = np.lexsort((block["id"].to_numpy(), block["cell"].to_numpy()))
+    vectors = np.frombuffer(b"".join(block["vec"].to_pylist()), np.float32).reshape(-1, dim)[order]
+    asked = spark.sparkContext.broadcast((block["id"].to_numpy()[order], vectors, block["cell"].to_numpy()[order], cut))
+    found = coded.select("cell", "id", "code", "norm", "dot", "vec").coalesce(SEARCHERS).mapInArrow(_search(k, dim, held, asked), "vec_id long, neighbour_id long, similarity double")
     best = found.groupBy("vec_id", "neighbour_id").agg(F.max("similarity").alias("similarity"))
     rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("similarity"), "neighbour_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("vec_id", "neighbour_id", "rank", "similarity")
-
-
-def _near(spark: SparkSession, held, cells: int, probes: int) -> DataFrame:
-    """(own, cell): each cell and the `probes` cells nearest to it, itself first; some rows of the matrix at a time, on executors."""
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("vec_id", "neighbour_id", "rank", F.round("similarity", 5).alias("similarity"))
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres = held.value[0]
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for i in range(0, len(ids), 128):
-                some = ids[i : i + 128]
-                near = _ranked(centres, some, probes).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(some, near.shape[1]).astype(np.int32)), pa.array(near.ravel())], ["own", "cell"])
 
-    return spark.range(0, cells, 1, max(1, min(cells // 128, partitions(spark.range(0))))).mapInArrow(rows, "own int, cell int")
+def _cut(centres: np.ndarray, probes: int) -> np.ndarray:
+    """For each cell how near the farthest of the `probes` cells nearest to it is."""
+    if probes >= len(centres):
+        return np.full(len(centres), -np.inf, np.float32)
+    near = [np.partition(-_alike(centres, np.arange(i, min(i + 128, len(centres)))), probes - 1, axis=1)[:, probes - 1] for i in range(0, len(centres), 128)]
+    return -np.concatenate(near) - np.float32(1e-6)  # products of other shapes differ in their last digits
 
 
-def _ranked(centres: np.ndarray, own: np.ndarray, most: int | None = None) -> np.ndarray:
-    """By nearness: the cells (or only so many of them) as seen from each of own, itself first."""
+def _alike(centres: np.ndarray, own: np.ndarray) -> np.ndarray:
     like = centres[own] @ centres.T
     like[np.arange(len(own)), own] = np.inf
-    if most is None or most >= len(centres):
-        return np.argsort(-like, axis=1, kind="stable")
-    some = np.argpartition(-like, most - 1, axis=1)[:, :most]
-    return np.take_along_axis(some, np.argsort(-np.take_along_axis(like, some, 1), axis=1, kind="stable"), 1)
+    return like
+
+
+def _ranked(centres: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """By nearness: the cells as seen from each of own, itself first."""
+    return np.argsort(-_alike(centres, own), axis=1, kind="stable")
 
 
 def _within(rows: DataFrame, tops: np.ndarray, count: int, total: int, dim: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -336,16 +302,6 @@ def _within(rows: DataFrame, tops: np.ndarray, count: int, total: int, dim: int,
     return np.frombuffer(b"".join(found["vec"]), np.float32).reshape(-1, dim), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def _even(spark: SparkSession, slots: int) -> DataFrame:
-    """(own slot, own at): for each partition a value that hashes to it, so that places are dealt out evenly."""
-    tried = spark.range(0, 32 * slots + 1024).select(F.col("id").cast("int").alias(OWN + "at"))
-    return tried.groupBy(F.pmod(F.hash(OWN + "at"), F.lit(slots)).alias(OWN + "slot")).agg(F.min(OWN + "at").alias(OWN + "at"))
-
-
-def _repeated(coded: DataFrame) -> bool:
-    return bool(coded.groupBy("id").count().where("count > 1").limit(1).count())
-
-
 def _pilot(coded: DataFrame, queries: np.ndarray, centres: np.ndarray, turn: np.ndarray, above: np.ndarray | None, first: np.ndarray | None, k: int, recall: float, dim: int) -> int:
     """The least number of nearest cells that hold the wanted share of the sampled queries' true neighbours."""
 

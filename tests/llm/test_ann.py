@@ -113,3 +113,20 @@ def test_cells_made_in_two_steps(spark, monkeypatch, spread):
     got = A.neighbours(d, 8, cell=60)
     assert recall(got, list(range(1500)), x, 8) >= 0.9
     assert rows(got) == rows(A.neighbours(d.repartition(5), 8, cell=60))
+
+
+def test_some_queries_against_all_rows(spark, monkeypatch):
+    """Queries in several blocks, each row stored once whatever is asked, and neighbours that are no queries."""
+    d = spark.read.parquet(f"{SF_MORE}/embeddings.parquet")
+    p = d.toPandas()
+    ids, x = p.vec_id.tolist(), np.array(p.embedding.tolist(), np.float64)
+    wanted = {i: w for i, w in brute(ids, x, 10).items() if i % 50 == 0}
+    for size in (1 << 25, 4 * 64 * 5):
+        monkeypatch.setattr(A, "QUERIES", size)
+        found = A.neighbours(d, 10, cell=100, every=50)
+        got = {}
+        for r in found.collect():
+            got.setdefault(r.vec_id, set()).add(r.neighbour_id)
+        assert got.keys() == wanted.keys() and all(len(g) == 10 for g in got.values())
+        assert np.mean([len(got[i] & w) / 10 for i, w in wanted.items()]) >= 0.9
+        assert any(n % 50 for g in got.values() for n in g)
