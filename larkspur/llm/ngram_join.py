@@ -7,6 +7,9 @@ with the same set are one class, so copies cost nothing beyond their own row. On
 of bounded size, and where a pair meets it is dropped if its sizes can't reach the threshold, if an earlier band has it too, or
 if fewer hashes agree than all but a counted share of pairs at the threshold have. Sets are then sent to where candidates
 are left, and every one of these is verified on the full sets.
+
+Bands miss some pairs by chance. links() therefore takes what they find only as groups: within a group every pair is compared, and
+between groups sets meet by their prefixes, which similar sets can't but share, in an order that has frequent n-grams last.
 """
 
 from __future__ import annotations
@@ -35,6 +38,10 @@ STEP = 1 << 14
 #: Identifiers that may be broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 SLICE = 1 << 20
+#: Documents, and of these the n-grams that most and FREQUENT of them at least have, that the order of prefixes is made from; it changes work, not results.
+SAMPLE, FREQUENT_GRAMS, FREQUENT = 1 << 15, 1 << 18, 3
+#: N-grams that prefixes have to share, where two sets have as many in common; postings of one bucket, and those sent at once.
+SHARED, POSTINGS = 4, 1 << 20
 REMEMBERED = 120_000
 
 _U = np.uint64
@@ -320,6 +327,149 @@ def _verify(threshold: float, forest: bool):
     return verify
 
 
+def _cross(threshold: float):
+    """For mapInArrow over rows (bucket, prints, refs) sorted by bucket: (a, b, n), two refs of different groups and sizes that can
+    reach the threshold, and how many prints they share."""
+    apart = math.log(1 / threshold) / math.log(SIZE_STEP) + 1
+
+    def close(prints: np.ndarray, refs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((refs, prints))
+        prints, refs = prints[order], refs[order]
+        group, code = refs >> _U(24), ((refs >> _U(16)) & _U(255)).astype(np.int64)
+        run = np.append(np.nonzero(prints[1:] != prints[:-1])[0] + 1, len(prints))
+        like = np.append(np.nonzero((prints[1:] != prints[:-1]) | (group[1:] != group[:-1]))[0] + 1, len(prints))
+        here = np.arange(len(prints))
+        start = like[np.searchsorted(like, here, "right")]  # the first of another group; a run's end where there is none
+        count = run[np.searchsorted(run, here, "right")] - start
+        here = here[count > 0]
+        upto, at, held, size = np.cumsum(count[here]), 0, [], 0
+
+        def rows() -> pa.RecordBatch:
+            found, n = np.unique(np.concatenate(held), axis=0, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy().view(np.int64)), pa.array(found[:, 1].copy().view(np.int64)), pa.array(n.astype(np.int64))], ["a", "b", "n"])
+
+        while at < len(here):
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + STEP, "right")))
+            c = count[here[at:end]]
+            i = np.repeat(here[at:end], c)
+            j = np.repeat(start[here[at:end]], c) + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
+            fit = np.abs(code[i] - code[j]) <= apart
+            x, y = refs[i[fit]], refs[j[fit]]
+            held.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+            size, at = size + len(x), end
+            if size >= POSTINGS // 4:
+                yield rows()
+                held, size = [], 0
+        if size:
+            yield rows()
+
+    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, prints, refs = None, [], []
+        for batch in batches:
+            for bucket, p, r in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket != now and prints:
+                    yield from close(np.concatenate(prints), np.concatenate(refs))
+                    prints, refs = [], []
+                now = bucket
+                prints.append(np.frombuffer(p, np.uint32))
+                refs.append(np.frombuffer(r, _U))
+        if prints:
+            yield from close(np.concatenate(prints), np.concatenate(refs))
+
+    return cross
+
+
+#: Sizes of sets are told apart by this factor before sets meet.
+SIZE_STEP = 1.1
+
+
+def _prefixes(n: int, threshold: float, frequent, buckets: int):
+    """For mapInArrow over rows (ref, text): rows (bucket, prints, refs), the n-grams of prefixes by bucket. Those of a pair that
+    reaches the threshold share SHARED n-grams, or all that the two have in common."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(_words)
+        known, times = frequent.value
+        grams, refs, size = [], [], 0
+
+        def rows() -> pa.RecordBatch:
+            g = _mix(np.concatenate(grams) ^ _MIX[4])
+            r = np.repeat(np.array([x for x, _ in refs], np.int64), [c for _, c in refs])
+            bucket = (g % _U(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            g, r, bucket = (g[order] >> _U(32)).astype(np.uint32), r[order], bucket[order]
+            starts = np.concatenate([[0], np.nonzero(bucket[1:] != bucket[:-1])[0] + 1, [len(bucket)]])
+            cut = lambda x: pa.array([x[i:j].tobytes() for i, j in itertools.pairwise(starts)], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(bucket[starts[:-1]]), cut(g), cut(r)], ["bucket", "prints", "refs"])
+
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            for start, end, texts in slices(batch.column(1), SLICE):
+                for ref, text in zip(ids[start:end], texts):
+                    s = gram_set(text, n)
+                    if len(known):
+                        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                        often = np.where(known[at] == s, times[at], 0)
+                        if often.any():
+                            s = s[np.lexsort((s, often))]
+                    s = s[: len(s) - math.ceil(threshold * len(s) - 1e-9) + SHARED]
+                    grams.append(s)
+                    refs.append((ref, len(s)))
+                    size += len(s)
+                if size >= POSTINGS:
+                    yield rows()
+                    grams, refs, size = [], [], 0
+        if size:
+            yield rows()
+
+    return send
+
+
+def _within(threshold: float):
+    """For mapInArrow over rows (at, half, digest, weight, set) sorted by `at`: (digest, links), the weights of the sets that are like
+    each one where they meet. Members of the same half of two blocks don't meet (0: all meet)."""
+
+    def one(half: np.ndarray, weight: np.ndarray, packed: list[bytes]) -> np.ndarray:
+        sets = [np.frombuffer(p, np.int64) for p in packed]
+        sizes, links = np.array([len(s) for s in sets]), np.zeros(len(sets), np.int64)
+        _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        several = times[at] > 1  # others are common to no two
+        upto = np.concatenate([[0], np.cumsum(several)])[np.concatenate([[0], np.cumsum(sizes)])]
+        at, mark = at[several], np.zeros(len(times), np.int32)
+        for a in np.nonzero(half < 2)[0]:
+            own = at[upto[a] : upto[a + 1]]
+            mark[own] = 1
+            common = np.concatenate([[0], np.cumsum(mark[at])])[upto]
+            mark[own] = 0
+            common = common[1:] - common[:-1]
+            like = common / (sizes + sizes[a] - common) >= threshold
+            like &= (half == 0) | (half == 2)
+            like[a] = False
+            links[a] += weight[like].sum()
+            if half[a]:
+                links[like] += weight[a]
+        return links
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def rows() -> pa.RecordBatch:
+            half, digest, weight, packed = zip(*held)
+            return pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(one(np.array(half), np.array(weight), packed))], ["digest", "links"])
+
+        for batch in batches:
+            for at, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != now and held:
+                    yield rows()
+                    held = []
+                now = at
+                held.append(row)
+        if held:
+            yield rows()
+
+    return within
+
+
 class Join:
     """What the join finds of docs (doc_id, text): `rows`, a row a document (own doc_id, text hash and digest), and pairs()."""
 
@@ -329,7 +479,8 @@ class Join:
         signed = docs.where(F.col("text").isNotNull()).select(
             integer(docs, "doc_id").alias("id"), F.xxhash64("text").alias("hash"), signatures("text", n, self.bands, self.per_band, seed).alias("s")
         )
-        self.rows = materialize(signed.where(F.col("s").isNotNull()).select("id", "hash", "s.digest", "s.grams", "s.words"), "signatures")
+        self.signed = materialize(signed.select("id", "hash", "s.digest", "s.grams", "s.words"), "signatures")
+        self.rows = self.signed.where(F.col("digest").isNotNull())
 
     def candidates(self) -> tuple[DataFrame, DataFrame]:
         """(digest, id, hash) of each class, of its least document; (at, a, b) of pairs to be verified."""
@@ -350,20 +501,116 @@ class Join:
 
     def pairs(self, forest: bool = False) -> DataFrame:
         """(a, b, jaccard): digests a < b of classes whose similarity reaches the threshold."""
-        classes, candidates = self.candidates()
-        needed = candidates.select("at", F.explode(F.array("a", "b")).alias("digest")).distinct()
-        whose = classes.select("digest", F.col("id").alias(OWN + "id"), F.col("hash").alias(OWN + "hash")).join(needed.select("digest").distinct(), "digest", "left_semi")
-        whose = materialize(whose.select(OWN + "id", OWN + "hash"), "representatives")
+        return self.verified(*self.candidates(), forest)
+
+    def texts(self, whose: DataFrame, *more: str) -> DataFrame:
+        """(text, more) of documents by their own id and hash; of several equal ones all."""
+        whose = materialize(whose, "representatives")
         few = whose.count() <= BROADCAST_ROWS
         texts = self.docs.where(F.col("text").isNotNull()).select(integer(self.docs, "doc_id").alias("id"), F.xxhash64("text").alias("hash"), "text")
         same = (F.col("hash") == F.col(OWN + "hash")) & F.col("id").eqNullSafe(F.col(OWN + "id"))
-        texts = texts.join(F.broadcast(whose) if few else whose, same, "left_semi").select("text")
-        sets = texts.select(packed_sets("text", self.n).alias("s")).select("s.*")
+        return texts.join(F.broadcast(whose) if few else whose, same, "inner" if more else "left_semi").select("text", *more)
+
+    def sets(self, whose: DataFrame) -> DataFrame:
+        """(digest, set) of classes (digest, id, hash)."""
+        return self.texts(whose.select(F.col("id").alias(OWN + "id"), F.col("hash").alias(OWN + "hash"))).select(packed_sets("text", self.n).alias("s")).select("s.*")
+
+    def verified(self, classes: DataFrame, candidates: DataFrame, forest: bool = False) -> DataFrame:
+        """(a, b, jaccard): of candidates (at, a, b) those that reach the threshold."""
+        needed = candidates.select("at", F.explode(F.array("a", "b")).alias("digest")).distinct()
+        sets = self.sets(classes.join(needed.select("digest").distinct(), "digest", "left_semi"))
         sent = needed.join(sets, "digest").select("at", F.col("digest").alias("a"), F.lit(None).cast("binary").alias("b"), "set")
         both = sent.unionByName(candidates.select("at", "a", "b", F.lit(None).cast("binary").alias("set")))
         sorted_ = both.repartition("at").sortWithinPartitions("at", F.col("b").isNotNull())
         return sorted_.mapInArrow(_verify(self.threshold, forest), "a binary, b binary, jaccard double")
 
+    def crossing(self, classes: DataFrame) -> DataFrame:
+        """(a, b, jaccard): all similar pairs of classes (digest, label, grams, id, hash) with different labels, none left out.
+
+        A class has a ref of 64 bits: 40 of its label's hash, its size's logarithm, 16 of its digest's. Classes with the same ref stand
+        for each other until they are verified; a pair would be lost only if both labels had the same 40 bits."""
+        spark = classes.sparkSession
+        code = F.floor(F.log(F.col("grams")) / math.log(SIZE_STEP) + 1e-9)
+        high = F.shiftleft(F.shiftright(F.xxhash64("label"), 24), 24)
+        ref = high.bitwiseOR(F.shiftleft(F.least(code, F.lit(255)).cast("long"), 16)).bitwiseOR(F.xxhash64("digest").bitwiseAND(0xFFFF))
+        known = materialize(classes.select("digest", "id", "hash", ref.alias("ref")), "refs")
+        whose = known.groupBy(F.col("id").alias(OWN + "id"), F.col("hash").alias(OWN + "hash")).agg(F.first("ref").alias("ref"))
+        total = classes.agg(F.sum("grams")).first()[0] or 0
+        frequent = spark.sparkContext.broadcast(self._frequent(classes))
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (2 * POSTINGS)))
+        sent = self.texts(whose, "ref").select("ref", "text").mapInArrow(_prefixes(self.n, self.threshold, frequent, buckets), "bucket long, prints binary, refs binary")
+        met = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_cross(self.threshold), "a long, b long, n long")
+        least = [F.pow(F.lit(SIZE_STEP), F.shiftright(c, 16).bitwiseAND(255)) for c in ("a", "b")]
+        common = F.ceil((least[0] + least[1]) * (self.threshold / (1 + self.threshold)) - 1e-6)
+        pairs = met.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= F.least(F.lit(SHARED), common))
+        x, y = known.select(F.col("ref").alias("a"), F.col("digest").alias("x")), known.select(F.col("ref").alias("b"), F.col("digest").alias("y"))
+        named = materialize(pairs.join(x, "a").join(y, "b").select(F.col("a").alias("at"), F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "crossing")
+        return self.verified(known, named)
+
+    def _frequent(self, classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """N-grams that many of a seeded sample of classes have, sorted, and how many."""
+        n = self.n
+
+        @arrow_udf("array<bigint>")
+        def grams(texts: pa.Array) -> pa.Array:
+            claim(_words)
+            return pa.array([gram_set(t, n).view(np.int64) for _, _, some in slices(texts, SLICE) for t in some], pa.list_(pa.int64()))
+
+        some = classes.orderBy(F.xxhash64("digest"), "digest").limit(SAMPLE).select(F.col("id").alias(OWN + "id"), F.col("hash").alias(OWN + "hash"))
+        counted = self.texts(some).select(F.explode(grams("text")).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).cast("int").alias("n")).where(F.col("n") >= FREQUENT)
+        found = counted.orderBy(F.desc("n"), "gram").limit(FREQUENT_GRAMS).toArrow()
+        known, times = found["gram"].to_numpy().view(_U), found["n"].to_numpy()
+        order = np.argsort(known)
+        return known[order], times[order]
+
+    def within(self, classes: DataFrame) -> DataFrame:
+        """(digest, links): for classes (digest, label, grams, weight, id, hash) the weights of the similar ones of the same label; each is compared with each."""
+        groups = classes.groupBy("label").agg(F.count(F.lit(1)).alias("members"), F.sum("grams").alias("all")).where("members > 1")
+        blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("all") / GRAMS)).cast("int")
+        held = materialize(classes.join(groups.select("label", blocks.alias("blocks")), "label"), "members")
+        sent = held.withColumn("own", F.pmod(F.xxhash64("digest"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        half = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+        at = F.xxhash64("label", F.least("own", "other"), F.greatest("own", "other"))
+        sets = self.sets(held).dropDuplicates(["digest"])
+        rows = sent.select(at.alias("at"), half.alias("half"), "digest", "weight").join(sets, "digest").select("at", "half", "digest", "weight", "set")
+        return rows.repartition("at").sortWithinPartitions("at").mapInArrow(_within(self.threshold), "digest binary, links long")
+
+
+def links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, max_hashes: int = MAX_HASHES, seed: int = 17) -> DataFrame:
+    """(doc_id, class_id, links): a row for each document, exact whatever recall is.
+
+    links: how many other documents have a set of n-grams whose similarity to this one's reaches the threshold, copies included.
+    class_id: the least doc_id among the documents that links connect with this one, itself included. No link is left out: bands find
+    most, all pairs of what they connect are compared, and between such groups prefixes find the others (up to 64-bit hashes, as in join).
+
+    docs has doc_id, an integer (any other kind is a TypeError), and text; other columns, whatever their names, are not read. Texts without
+    any word (null, empty, only signs) have no link and their own doc_id as class. Repeated rows, and rows with a null doc_id, are
+    documents of their own; class_id is null where none in the class has a doc_id. Texts of any length are taken whole. An empty table gives an empty one.
+    """
+    spark = docs.sparkSession
+    found = Join(docs, n, threshold, recall, max_hashes, seed)
+    edges = finished(spark, lambda: found.pairs(forest=True).select("a", "b"), "edges")
+    labels = components(edges)
+    least = F.min(F.struct(F.col("id").isNull(), "id", "hash"))
+    classes = found.rows.groupBy("digest").agg(F.first("grams").alias("grams"), F.count(F.lit(1)).alias("weight"), least.alias("r"))
+    classes = classes.join(labels, F.col("digest") == F.col("node"), "left")
+    classes = materialize(classes.select("digest", F.coalesce("label", "digest").alias("label"), "grams", "weight", F.col("r.id").alias("id"), F.col("r.hash").alias("hash")), "classes")
+    release(edges, labels)
+    across = finished(spark, lambda: found.crossing(classes).select("a", "b").distinct(), "across")
+    both = across.unionByName(across.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    linked = both.join(classes.select(F.col("digest").alias("b"), "weight"), "b").select(F.col("a").alias("digest"), F.col("weight").alias("links"))
+    linked = linked.unionByName(finished(spark, lambda: found.within(classes), "within")).groupBy("digest").agg(F.sum("links").alias("links"))
+    whose = classes.select("digest", "label")
+    between = across.join(whose.select(F.col("digest").alias("a"), F.col("label").alias("x")), "a").join(whose.select(F.col("digest").alias("b"), F.col("label").alias("y")), "b")
+    joined = components(between.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("whole"))
+    final = classes.join(joined, "label", "left").join(linked, "digest", "left")
+    final = final.select("digest", F.coalesce("whole", "label").alias("label"), "id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"))
+    names = final.groupBy("label").agg(F.min("id").alias("class_id"))
+    final = materialize(final.join(names, "label").select("digest", "class_id", "links"), "links")
+    rows = found.rows.select(F.col("id").alias("doc_id"), "digest").join(final, "digest").select("doc_id", "class_id", "links")
+    none = found.signed.where(F.col("digest").isNull()).select("id").unionByName(docs.where(F.col("text").isNull()).select(integer(docs, "doc_id").alias("id")))
+    return rows.unionByName(none.select(F.col("id").alias("doc_id"), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("links")))
+
 
 def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, max_hashes: int = MAX_HASHES, seed: int = 17, expand: bool = False) -> DataFrame:
     """(doc_a, doc_b, jaccard), doc_a < doc_b: all similar pairs, those among equal sets in short.
@@ -437,7 +684,7 @@ def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall:
     winners = grouped.groupBy("label").agg(best.alias("w"))
     marked = grouped.join(winners, "label").select("id", "hash", "rows", (F.col("id").eqNullSafe(F.col("w.id")) & (F.col("hash") == F.col("w.hash"))).alias("wins"))
     marked = materialize(marked.where(~F.col("wins") | (F.col("rows") > 1)), "losers")
-    release(found.rows, edges, labels)
+    release(found.signed, edges, labels)
     losers = marked.where(~F.col("wins")).select(F.col("id").alias(OWN + "i"), F.col("hash").alias(OWN + "h"))
     again = marked.where("wins").select(F.col("id").alias(OWN + "i"), F.col("hash").alias(OWN + "h"))
     some, repeated = losers.count(), again.count()
@@ -451,6 +698,29 @@ def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall:
     return rows.select(*columns_of(docs))
 
 
+def links_sql(n: int = N, threshold: float = THRESHOLD) -> str:
+    """DuckDB SQL for links(documents): every pair of sets with a common n-gram."""
+    return f"""WITH RECURSIVE words AS (
+        SELECT doc_id, list_filter(list_transform(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f\\v]+'), lambda w: regexp_replace(w, '[^\\p{{L}}\\p{{N}}]', '', 'g')), lambda w: w <> '') AS w
+        FROM documents),
+    sets AS (
+        SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < {n} THEN [array_to_string(w, ' ')]
+            ELSE list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n} - 1], ' ')) END)) AS s
+        FROM words WHERE len(w) > 0),
+    classes AS (SELECT row_number() OVER () AS c, s, min(doc_id) AS name, len(s) AS size, count(*) AS weight FROM sets GROUP BY s),
+    grams AS (SELECT c, size, weight, unnest(s) AS g FROM classes),
+    shared AS (
+        SELECT x.c AS a, y.c AS b, count(*) AS n, any_value(x.size) AS p, any_value(y.size) AS q, any_value(y.weight) AS weight
+        FROM grams x JOIN grams y ON x.g = y.g AND x.c <> y.c GROUP BY 1, 2),
+    pairs AS (SELECT a, b, weight FROM shared WHERE n / (p + q - n) >= {threshold}),
+    reach AS (SELECT c AS a, c AS b FROM classes UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a),
+    whole AS (SELECT r.a AS c, min(k.name) AS class_id FROM reach r JOIN classes k ON k.c = r.b GROUP BY 1),
+    linked AS (SELECT a AS c, sum(weight) AS links FROM pairs GROUP BY 1)
+    SELECT s.doc_id, w.class_id, CAST(coalesce(l.links, 0) + k.weight - 1 AS BIGINT) AS links
+    FROM sets s JOIN classes k ON s.s = k.s JOIN whole w ON w.c = k.c LEFT JOIN linked l ON l.c = k.c
+    UNION ALL SELECT doc_id, doc_id, 0 FROM words WHERE w IS NULL OR len(w) = 0"""
+
+
 def oracle_sql(n: int = N, threshold: float = THRESHOLD) -> str:
     """DuckDB SQL for join(documents): exact, without candidates (so equal where recall is complete)."""
     return f"""WITH words AS (

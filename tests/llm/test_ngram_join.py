@@ -193,3 +193,43 @@ def test_other_thresholds(spark, threshold):
     wanted = {x[:2] for x in every_pair(items, threshold)}
     got = {tuple(r)[:2] for r in J.join(docs(spark, [(i, t, "s") for i, t in items]), threshold=threshold, recall=recall).collect()}
     assert got <= wanted and len(got) >= 0.9 * len(wanted) and wanted
+
+
+def linked(items):
+    """What links() gives."""
+    count = {i: 0 for i, _ in items}
+    parent = {i: i for i, _ in items}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b, _ in expanded(items):
+        count[a], count[b] = count[a] + 1, count[b] + 1
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    return sorted((i, root(i), count[i]) for i, _ in items)
+
+
+def test_no_link_is_left_out(spark, monkeypatch):
+    """Many pairs right at the threshold, and bands that find a third of such: groups, prefixes and blocks find the others."""
+    items = []
+    for g in range(10):
+        items += near_copies(g, 12, 22, [f"b{g}x{i}" for i in range(110)])
+    items = list(enumerate([*items, *items[:5], "one two", "One, TWO!", "lone words here", "", "a b c d e", "a b c d f"]))
+    wanted = linked(items)
+    d = docs(spark, [(i, t, "s") for i, t in items])
+    some = {tuple(r)[:2] for r in J.join(d, recall=0.3, max_hashes=24, expand=True).collect()}
+    assert len(some) < sum(n for _, _, n in wanted) / 2
+    for block, sample_ in ((512, 1 << 15), (3, 0)):
+        monkeypatch.setattr(J, "BLOCK", block)
+        monkeypatch.setattr(J, "SAMPLE", sample_)
+        assert rows(J.links(d, recall=0.3, max_hashes=24)) == sorted(wanted, key=repr)
+
+
+def test_links_of_documents_and_of_odd_rows(spark):
+    assert rows(J.links(sample(spark, SF_MORE))) == sorted(linked(list(texts(spark, SF_MORE).items())), key=repr)
+    d = docs(spark, [(1, None, "a"), (2, " .,! ", "a"), (5, "one two", "a"), (6, "One, TWO!", "b"), (None, "one two", "a"), (7, "x y z", "a"), (7, "x y z", "a"), (None, "q", "a"), (8, "x " * 40_000 + "y z", "a")])
+    assert rows(J.links(d)) == sorted([(1, 1, 0), (2, 2, 0), (5, 5, 2), (6, 5, 2), (None, 5, 2), (7, 7, 1), (7, 7, 1), (None, None, 0), (8, 8, 0)], key=repr)
+    assert rows(J.links(docs(spark, []))) == []
