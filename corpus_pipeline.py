@@ -32,7 +32,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by the name of their rule, and n_chars follows. No row goes.
+    """Secrets are replaced by the name of their rule, and n_chars follows. No row goes. Blobs are scanned once, from an empty ledger, and
+    what is found goes to all rows that hold them.
 
     Null and empty texts and those without a secret stay as they are; repeated rows are treated alike; of rules that overlap the first
     names the secret. A very long text is searched whole, and so is a very long secret. An empty table gives an empty one.

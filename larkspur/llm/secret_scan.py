@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import OWN, columns_of
+from larkspur.llm.common import OWN, columns_of, materialize
 
 
 @dataclass(frozen=True)
@@ -78,12 +78,13 @@ LEDGER = "blob string, rule_id string, rule_version int"
 
 @dataclass
 class Scan:
-    """findings: (blob, rule_id, rule_version, nth, secret_sha256, secret_length), the new ones only. paths: all findings at
-    all paths. ledger: what it holds after this scan, to be kept for the next."""
+    """findings: (blob, rule_id, rule_version, nth, secret_sha256, secret_length), the new ones only. everything: with those that were
+    known. paths: all findings at all paths. ledger: what it holds after this scan, to be kept for the next."""
 
     findings: DataFrame
     paths: DataFrame
     ledger: DataFrame
+    everything: DataFrame
 
 
 def _hinted(text: Column, rule: Rule) -> Column:
@@ -144,26 +145,37 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, known: DataFrame | No
     blobs = held.select(_blob(text).alias("blob")).distinct()
     new = _ledger_lacks(blobs, ledger, rules).select("blob", F.explode(OWN + "todo").alias("n"))
     new = new.select("blob", F.substring_index("n", "@", 1).alias("rule_id"), F.substring_index("n", "@", -1).cast("int").alias("rule_version"))
-    return Scan(findings, at, new if ledger is None else ledger.select("blob", "rule_id", "rule_version").unionByName(new))
+    return Scan(findings, at, new if ledger is None else ledger.select("blob", "rule_id", "rule_version").unionByName(new), everything)
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with each secret in text replaced by its rule's name in brackets, rule after rule, and n_chars (where docs has it)
-    set to the new length. Rows without a secret are left alone, null and empty texts too. Where matches of two rules overlap, the rule
-    that comes first in rules names it. Whole texts are redacted; repeated rows each; an empty table gives an empty one; other columns
-    may have any name."""
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+    """docs with each secret that scan() finds replaced by its rule's name in brackets, rule after rule, and n_chars (where docs has it)
+    set to the new length. A blob is scanned and rewritten once, by the rules that have findings in it, and the result goes to all rows that hold it;
+    what the ledger names isn't scanned again and is redacted by the known findings. Rows without a secret are left alone, null and empty texts
+    too. Where matches of two rules overlap, the rule that comes first in rules names it. Whole texts are redacted; repeated rows each; an empty
+    table gives an empty one; other columns may have any name."""
     text = F.col("text")
-    for r in rules:
-        text = F.regexp_replace(text, r.pattern, f"[{r.id}]")
-    # Only rows with some hint are rewritten; the others keep their text as it is.
     some = F.lit(False)
     for r in rules:
-        some = some | _hinted(F.col("text"), r)
-    out = docs.withColumn(OWN + "text", F.when(some, text).otherwise(F.col("text")))
+        some = some | _hinted(text, r)
+    some = F.coalesce(some, F.lit(False))
+    # Only rows with some hint can hold a secret; the others are neither addressed nor shuffled.
+    hinted = materialize(docs.where(some).withColumn(OWN + "blob", _blob(text)), "hinted")
+    texts = hinted.groupBy(OWN + "blob").agg(F.first("text").alias("text"))
+    found = scan(texts, ledger, known, (), rules).everything
+    names = F.concat_ws("@", F.col("rule_id"), F.col("rule_version").cast("string"))
+    found = found.groupBy(F.col("blob").alias(OWN + "blob")).agg(F.collect_set(names).alias(OWN + "rules"))
+    clean = text
+    for r in rules:
+        pattern = F.when(F.array_contains(OWN + "rules", r.name), F.lit(r.pattern)).otherwise(F.lit("(?!)"))  # matches nothing
+        clean = F.regexp_replace(clean, pattern, F.lit(f"[{r.id}]"))
+    once = texts.join(found, OWN + "blob").select(OWN + "blob", clean.alias(OWN + "text"))
+    out = hinted.join(once, OWN + "blob", "left").withColumn(OWN + "text", F.coalesce(OWN + "text", "text"))
     if "n_chars" in docs.columns:
         changed = F.col("text") != F.col(OWN + "text")
         out = out.withColumn("n_chars", F.when(changed, F.length(OWN + "text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.withColumn("text", F.col(OWN + "text")).select(*columns_of(docs))
+    out = out.withColumn("text", F.col(OWN + "text")).select(*columns_of(docs))
+    return docs.where(~some).select(*columns_of(docs)).union(out)
 
 
 def oracle_sql(table: str = "documents", rules: tuple[Rule, ...] = RULES) -> str:

@@ -101,3 +101,13 @@ def test_odd_rows(spark):
     assert rows(nothing.paths) == [] and rows(nothing.ledger) == []
     clash = docs(spark, [(1, AWS, "s", "b", 3)], "doc_id long, text string, source string, blob string, nth int")
     assert len(found(S.scan(clash))) == 1 and S.redact(clash).first().text == "[aws-access-key]"
+
+
+def test_redaction_goes_by_ledger_and_findings(spark):
+    """What the ledger names isn't scanned again: known findings alone redact it; new blobs are scanned, and all copies rewritten."""
+    one = S.scan(docs(spark, [(1, f"a {AWS}", "x"), (2, "clean", "x")]))
+    d = docs(spark, [(1, f"a {AWS}", "x"), (2, "clean", "x"), (3, f"b {GH} {AWS}", "y"), (4, f"a {AWS}", None), (5, None, "x")])
+    text = lambda frame: {r.doc_id: r.text for r in frame.collect()}
+    wanted = {1: "a [aws-access-key]", 2: "clean", 3: "b [github-token] [aws-access-key]", 4: "a [aws-access-key]", 5: None}
+    assert text(S.redact(d)) == text(S.redact(d, ledger=one.ledger, known=one.findings)) == wanted
+    assert text(S.redact(d, ledger=one.ledger)) == wanted | {1: f"a {AWS}", 4: f"a {AWS}"}
