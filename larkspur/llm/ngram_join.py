@@ -20,9 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
+from xxhash import xxh3_64_intdigest
 
 from larkspur.llm.common import OWN, claim, columns_of, finished, integer, materialize, one_of, release, slices
 
@@ -42,7 +44,6 @@ SLICE = 1 << 20
 SAMPLE, FREQUENT_GRAMS, FREQUENT = 1 << 15, 1 << 18, 3
 #: N-grams that prefixes have to share, where two sets have as many in common; postings of one bucket, and those sent at once.
 SHARED, POSTINGS = 4, 1 << 20
-REMEMBERED = 120_000
 
 _U = np.uint64
 _MIX = (_U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9))
@@ -84,42 +85,51 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class _Words(dict):
-    """The 64-bit hash of a word's letters and digits in lower case; 0 for a word without any."""
-
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh3_64_intdigest
-
-        core = word.decode().lower()
-        if not core.isalnum():
-            core = "".join(filter(str.isalnum, core))
-        value = (xxh3_64_intdigest(core) | 1) if core else 0
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = value
-        return value
-
+#: Of ASCII texts: letters in lower case, white space as it is, and what is neither of these nor a digit.
+_LOWER = bytes(range(256)).lower()
+_SIGNS = bytes(b for b in range(128) if not (chr(b).isalnum() or b in b" \t\n\r\x0b\x0c"))
 
-_words = _Words()
+#: Nothing is remembered here, but what other operators remembered goes.
+_none: dict = {}
 
 
-def gram_set(text: str | None, n: int = N) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of a text's word n-grams: words are cut at ASCII white space, put in lower case and
-    stripped of all but letters and digits. A text of fewer than n words has one gram of them all, one without words none."""
-    words = text.encode().split() if text else []
-    w = np.fromiter(map(_words.__getitem__, words), _U, len(words))
+def _word(word: bytes) -> int:
+    """The 64-bit hash of a word's letters and digits in lower case; 0 for a word without any."""
+    core = word.decode().lower()
+    if not core.isalnum():
+        core = "".join(filter(str.isalnum, core))
+    return (xxh3_64_intdigest(core) | 1) if core else 0
+
+
+def gram_sets(texts: list[str | None], n: int = N) -> list[np.ndarray]:
+    """The sorted distinct 64-bit hashes of each text's word n-grams: words are cut at ASCII white space, put in lower case and
+    stripped of all but letters and digits. A text of fewer than n words has one gram of them all, one without words none.
+
+    Each different word of all the texts is hashed once, and their n-grams are made together."""
+    raw = ((t or "").encode() for t in texts)
+    plain = pa.array([t.translate(_LOWER, _SIGNS) if t.isascii() else t for t in raw], pa.large_binary())
+    split = pc.ascii_split_whitespace(plain.cast(pa.large_string()))
+    words = split.values.dictionary_encode()
+    known = words.dictionary.cast(pa.large_binary()).to_pylist()
+    w = np.fromiter((xxh3_64_intdigest(x.lower()) | 1 if x.isascii() and x.isalnum() else _word(x) for x in known), _U, len(known))
+    w = w[words.indices.to_numpy()]
+    bounds = np.concatenate([[0], np.cumsum(w != 0)])[split.offsets.to_numpy()].tolist()
     w = w[w != 0]
-    if not len(w):
-        return w
-    if len(w) < n:
-        gram = np.array([len(w)], _U)
-        for i in range(len(w)):
-            gram = _mix(gram * _MIX[2] + w[i : i + 1])
-        return gram
-    grams = np.full(len(w) - n + 1, n, _U)
+    whole = max(0, len(w) - n + 1)
+    grams = np.full(whole, n, _U)
     for i in range(n):
-        grams = _mix(grams * _MIX[2] + w[i : len(w) - n + 1 + i])
-    return np.unique(grams)
+        grams = _mix(grams * _MIX[2] + w[i : whole + i])
+    sets = []
+    for start, end in itertools.pairwise(bounds):
+        if end - start >= n:
+            s = np.sort(grams[start : end - n + 1])
+            sets.append(s[np.append(True, s[1:] != s[:-1])])
+        else:
+            s = np.full(min(1, end - start), end - start, _U)
+            for i in range(start, end):
+                s = _mix(s * _MIX[2] + w[i : i + 1])
+            sets.append(s)
+    return sets
 
 
 def _digest(grams: np.ndarray) -> bytes:
@@ -139,10 +149,10 @@ def signatures(text: Column | str, n: int, bands: int, rows: int, seed: int) ->
 
     @arrow_udf("struct<digest: binary, grams: bigint, words: array<bigint>>")
     def sign(texts: pa.Array) -> pa.Array:
-        claim(_words)
+        claim(_none)
         digests, sizes, words, null = [], [], [], []
         for _, _, some_texts in slices(texts, SLICE):
-            sets = [gram_set(t, n) for t in some_texts]
+            sets = gram_sets(some_texts, n)
             some = [s for s in sets if len(s)]
             starts = np.cumsum([0] + [len(s) for s in some[:-1]])
             least = np.zeros((len(some), bands), _U)
@@ -172,9 +182,9 @@ def packed_sets(text: Column | str, n: int) -> Column:
 
     @arrow_udf("struct<digest: binary, set: binary>")
     def pack(texts: pa.Array) -> pa.Array:
-        claim(_words)
+        claim(_none)
         digests, packed = [], []
-        for s in (gram_set(t, n) for _, _, some in slices(texts, SLICE) for t in some):
+        for s in (s for _, _, some in slices(texts, SLICE) for s in gram_sets(some, n)):
             digests.append(_digest(s))
             packed.append(s.tobytes())
         return pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(packed, pa.binary())], ["digest", "set"])
@@ -335,7 +345,7 @@ def _cross(threshold: float):
     def close(prints: np.ndarray, refs: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((refs, prints))
         prints, refs = prints[order], refs[order]
-        group, code = refs >> _U(24), ((refs >> _U(16)) & _U(255)).astype(np.int64)
+        group, code = refs >> _U(24), ((refs >> _U(CODE_AT)) & _U(CODES)).astype(np.int64)
         run = np.append(np.nonzero(prints[1:] != prints[:-1])[0] + 1, len(prints))
         like = np.append(np.nonzero((prints[1:] != prints[:-1]) | (group[1:] != group[:-1]))[0] + 1, len(prints))
         here = np.arange(len(prints))
@@ -379,8 +389,17 @@ def _cross(threshold: float):
     return cross
 
 
-#: Sizes of sets are told apart by this factor before sets meet.
-SIZE_STEP = 1.1
+#: Sizes of sets are told apart by this factor before sets meet; a ref has their logarithm in 10 bits, which no text that Spark can hold exceeds.
+SIZE_STEP, CODE_AT, CODES = 1.025, 14, 1023
+
+
+def _needed(threshold: float, sizes: tuple[Column, Column], step: float = 1.0) -> Column:
+    """The n-grams that the prefixes of two sets share at least if the sets reach the threshold. sizes: from each up to `step` times it.
+
+    Of two prefixes one ends first in the order of n-grams, and what the sets have in common but the prefixes haven't is in the rest of that one's set."""
+    common = (sizes[0] + sizes[1]) * (threshold / (1 + threshold))
+    rest = F.greatest(F.greatest(*sizes) * (step * threshold) + 1 - SHARED, F.lit(0.0))
+    return F.ceil(F.greatest(F.least(F.lit(float(SHARED)), common), common - rest) - 1e-6 - common * 1e-9)
 
 
 def _prefixes(n: int, threshold: float, frequent, buckets: int):
@@ -388,30 +407,29 @@ def _prefixes(n: int, threshold: float, frequent, buckets: int):
     reaches the threshold share SHARED n-grams, or all that the two have in common."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim(_words)
+        claim(_none)
         known, times = frequent.value
         grams, refs, size = [], [], 0
 
         def rows() -> pa.RecordBatch:
             g = _mix(np.concatenate(grams) ^ _MIX[4])
             r = np.repeat(np.array([x for x, _ in refs], np.int64), [c for _, c in refs])
-            bucket = (g % _U(buckets)).astype(np.int64)
+            bucket = (g % _U(buckets)).astype(np.min_scalar_type(buckets))  # of 16 bits they are sorted by radix
             order = np.argsort(bucket, kind="stable")
             g, r, bucket = (g[order] >> _U(32)).astype(np.uint32), r[order], bucket[order]
             starts = np.concatenate([[0], np.nonzero(bucket[1:] != bucket[:-1])[0] + 1, [len(bucket)]])
             cut = lambda x: pa.array([x[i:j].tobytes() for i, j in itertools.pairwise(starts)], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(bucket[starts[:-1]]), cut(g), cut(r)], ["bucket", "prints", "refs"])
+            return pa.RecordBatch.from_arrays([pa.array(bucket[starts[:-1]].astype(np.int64)), cut(g), cut(r)], ["bucket", "prints", "refs"])
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for start, end, texts in slices(batch.column(1), SLICE):
-                for ref, text in zip(ids[start:end], texts):
-                    s = gram_set(text, n)
+                for ref, s in zip(ids[start:end], gram_sets(texts, n)):
                     if len(known):
                         at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                         often = np.where(known[at] == s, times[at], 0)
                         if often.any():
-                            s = s[np.lexsort((s, often))]
+                            s = s[np.argsort(often, kind="stable")]
                     s = s[: len(s) - math.ceil(threshold * len(s) - 1e-9) + SHARED]
                     grams.append(s)
                     refs.append((ref, len(s)))
@@ -527,24 +545,24 @@ class Join:
     def crossing(self, classes: DataFrame) -> DataFrame:
         """(a, b, jaccard): all similar pairs of classes (digest, label, grams, id, hash) with different labels, none left out.
 
-        A class has a ref of 64 bits: 40 of its label's hash, its size's logarithm, 16 of its digest's. Classes with the same ref stand
+        A class has a ref of 64 bits: 40 of its label's hash, 10 of its size's logarithm, 14 of its digest's. Classes with the same ref stand
         for each other until they are verified; a pair would be lost only if both labels had the same 40 bits."""
         spark = classes.sparkSession
-        code = F.floor(F.log(F.col("grams")) / math.log(SIZE_STEP) + 1e-9)
+        code = F.floor(F.log(F.col("grams")) / math.log(SIZE_STEP))
         high = F.shiftleft(F.shiftright(F.xxhash64("label"), 24), 24)
-        ref = high.bitwiseOR(F.shiftleft(F.least(code, F.lit(255)).cast("long"), 16)).bitwiseOR(F.xxhash64("digest").bitwiseAND(0xFFFF))
-        known = materialize(classes.select("digest", "id", "hash", ref.alias("ref")), "refs")
+        ref = high.bitwiseOR(F.shiftleft(code.cast("long"), CODE_AT)).bitwiseOR(F.xxhash64("digest").bitwiseAND((1 << CODE_AT) - 1))
+        known = materialize(classes.select("digest", "grams", "id", "hash", ref.alias("ref")), "refs")
         whose = known.groupBy(F.col("id").alias(OWN + "id"), F.col("hash").alias(OWN + "hash")).agg(F.first("ref").alias("ref"))
         total = classes.agg(F.sum("grams")).first()[0] or 0
         frequent = spark.sparkContext.broadcast(self._frequent(classes))
         buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (2 * POSTINGS)))
         sent = self.texts(whose, "ref").select("ref", "text").mapInArrow(_prefixes(self.n, self.threshold, frequent, buckets), "bucket long, prints binary, refs binary")
         met = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_cross(self.threshold), "a long, b long, n long")
-        least = [F.pow(F.lit(SIZE_STEP), F.shiftright(c, 16).bitwiseAND(255)) for c in ("a", "b")]
-        common = F.ceil((least[0] + least[1]) * (self.threshold / (1 + self.threshold)) - 1e-6)
-        pairs = met.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= F.least(F.lit(SHARED), common))
-        x, y = known.select(F.col("ref").alias("a"), F.col("digest").alias("x")), known.select(F.col("ref").alias("b"), F.col("digest").alias("y"))
-        named = materialize(pairs.join(x, "a").join(y, "b").select(F.col("a").alias("at"), F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "crossing")
+        low = [F.pow(F.lit(SIZE_STEP), F.shiftright(c, CODE_AT).bitwiseAND(CODES)) for c in ("a", "b")]
+        pairs = met.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= _needed(self.threshold, low, SIZE_STEP * (1 + 1e-9)))
+        x, y = (known.select(F.col("ref").alias(ref), F.col("digest").alias(x), F.col("grams").alias(size)) for ref, x, size in (("a", "x", "p"), ("b", "y", "q")))
+        named = pairs.join(x, "a").join(y, "b").where(F.col("n") >= _needed(self.threshold, (F.col("p"), F.col("q"))))
+        named = materialize(named.select(F.col("a").alias("at"), F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "crossing")
         return self.verified(known, named)
 
     def _frequent(self, classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -553,8 +571,8 @@ class Join:
 
         @arrow_udf("array<bigint>")
         def grams(texts: pa.Array) -> pa.Array:
-            claim(_words)
-            return pa.array([gram_set(t, n).view(np.int64) for _, _, some in slices(texts, SLICE) for t in some], pa.list_(pa.int64()))
+            claim(_none)
+            return pa.array([s.view(np.int64) for _, _, some in slices(texts, SLICE) for s in gram_sets(some, n)], pa.list_(pa.int64()))
 
         some = classes.orderBy(F.xxhash64("digest"), "digest").limit(SAMPLE).select(F.col("id").alias(OWN + "id"), F.col("hash").alias(OWN + "hash"))
         counted = self.texts(some).select(F.explode(grams("text")).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).cast("int").alias("n")).where(F.col("n") >= FREQUENT)

@@ -233,3 +233,55 @@ def test_links_of_documents_and_of_odd_rows(spark):
     d = docs(spark, [(1, None, "a"), (2, " .,! ", "a"), (5, "one two", "a"), (6, "One, TWO!", "b"), (None, "one two", "a"), (7, "x y z", "a"), (7, "x y z", "a"), (None, "q", "a"), (8, "x " * 40_000 + "y z", "a")])
     assert rows(J.links(d)) == sorted([(1, 1, 0), (2, 2, 0), (5, 5, 2), (6, 5, 2), (None, 5, 2), (7, 7, 1), (7, 7, 1), (None, None, 0), (8, 8, 0)], key=repr)
     assert rows(J.links(docs(spark, []))) == []
+
+
+def test_sets_of_many_texts_at_once(monkeypatch):
+    """Texts are hashed together: each different word once, nothing across their ends, and the sets are those of the words."""
+    texts_ = ["", None, " .,! ", "one", "One, TWO", "one two three", "a b c d", "Hello é Hello, World a-B hello", "hello É hello world AB Hello", "ΑΣ-Β ΟΔΟΣ. x", "lead\x1cx trail\x0b b\x0cc", "x " * 9, "x x x y", None]
+    for n in (1, 3, 5):
+        got = [set(s.tolist()) for s in J.gram_sets(texts_, n)]
+        wanted = [grams(t, n) for t in texts_]
+        assert [len(s) for s in got] == [len(s) for s in wanted]
+        assert all(len(got[i] & got[j]) == len(wanted[i] & wanted[j]) for i, j in itertools.combinations(range(len(texts_)), 2))
+    assert J.gram_sets([]) == []
+    hashed = []
+    digest = J.xxh3_64_intdigest
+    monkeypatch.setattr(J, "xxh3_64_intdigest", lambda word: hashed.append(word) or digest(word))
+    J.gram_sets(["many words, Many WORDS. ", "words many"] * 1000)
+    assert len(hashed) == 2
+
+
+def test_groups_that_share_little_are_not_verified(spark, monkeypatch):
+    """400 documents with a fifth of their n-grams in common, and none of it known as frequent: no similar pair, and next to none is looked at."""
+    rng = random.Random(6)
+    shared = [f"s{i}" for i in range(32)]
+    items = [(i, " ".join(shared + [f"o{rng.randrange(10**9)}" for _ in range(120)])) for i in range(400)]
+    items += [(1000, " ".join(f"p{i}" for i in range(90))), (1001, " ".join(f"p{i}" for i in range(46)))]
+    monkeypatch.setattr(J, "SAMPLE", 0)
+    monkeypatch.setattr(J, "_meet", lambda *_: lambda batches: iter(()))
+    looked, verified = [], J.Join.verified
+    monkeypatch.setattr(J.Join, "verified", lambda self, classes, candidates, forest=False: looked.append(candidates.count()) or verified(self, classes, candidates, forest))
+    found = rows(J.links(docs(spark, [(i, t, "s") for i, t in items])))
+    assert found == sorted(linked(items), key=repr) and sum(n for _, _, n in found) == 2
+    assert looked[0] == 0 and 1 <= looked[1] <= 40
+
+
+def test_prefixes_find_every_link_between_sizes(spark, monkeypatch):
+    """Bands that find nothing: sets of all sizes, down to the half of each other, many of them right at the threshold."""
+    rng = random.Random(8)
+    items = []
+    for g in range(14):
+        base = [f"b{g}x{i}" for i in range(rng.choice((4, 7, 30, 82, 150)))]
+        for _ in range(12):
+            kept = base[: rng.randint(len(base) // 2, len(base))]
+            for _ in range(rng.randint(0, 1 + len(kept) // 12)):
+                kept[rng.randrange(len(kept))] = f"w{rng.randrange(10**6)}"
+            items.append(" ".join(kept + [f"e{rng.randrange(10**6)}" for _ in range(rng.randint(0, len(base) // 4))]))
+        items += [" ".join(base), " ".join(base[: len(base) // 2 + 1])]
+    items = list(enumerate(items))
+    wanted = linked(items)
+    assert sum(s == 0.5 for _, _, s in expanded(items)) > 20
+    monkeypatch.setattr(J, "_meet", lambda *_: lambda batches: iter(()))
+    for sample_ in (1 << 15, 0):
+        monkeypatch.setattr(J, "SAMPLE", sample_)
+        assert rows(J.links(docs(spark, [(i, t, "s") for i, t in items]))) == sorted(wanted, key=repr)
