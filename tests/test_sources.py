@@ -107,6 +107,17 @@ def test_pushdown_reaches_the_scan(spark):
     assert "TakeOrderedAndProject" in plan
 
 
+@pytest.mark.parametrize("text", [
+    "SELECT p_partkey FROM part WHERE p_size >= ALL (SELECT p_size FROM part) OR p_retailprice = ANY (SELECT MIN(p_retailprice) FROM part)", "SELECT p_partkey FROM part WHERE p_size < ANY (SELECT p_size FROM part)", "SELECT p_partkey FROM part WHERE NOT p_size = ANY (SELECT o_custkey FROM orders)",
+    "SELECT p_partkey FROM part WHERE p_size = 1 OR p_size <> ALL (SELECT o_custkey FROM orders)", "SELECT CASE WHEN p_size = ANY (SELECT o_custkey FROM orders) THEN 1 ELSE 0 END AS x FROM part",
+    "SELECT p_partkey FROM part WHERE p_size = 1 OR p_size NOT IN (SELECT o_custkey FROM orders)",
+])
+def test_a_subquery_meets_no_row_pair_by_pair(spark, text):
+    s = Session(spark, [ParquetProvider(spark, SF, ["part", "orders"])])
+    plan = s.sql(text)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_snapshots_touch_only_files_concerned(spark, tmp_path):
     spark.range(100).select("id", (F.col("id") % 7).alias("k")).repartitionByRange(4, "id").write.parquet(str(tmp_path / "t.parquet"))
     before = {f: os.path.getmtime(tmp_path / "t.parquet" / f) for f in os.listdir(tmp_path / "t.parquet")}
